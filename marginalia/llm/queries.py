@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontaminate, line_dedup, simhash
+from marginalia.llm import ann, decontaminate, line_dedup, packing, simhash, simple8b
 
 QUERIES = {
+    "op2_simple8b": simple8b.op2_simple8b,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_multiprobe_ann": ann.op6_multiprobe_ann,
     "op7_simhash": simhash.op7_simhash,
+    "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
