@@ -17,8 +17,8 @@ from marginalia.llm.text import NOT_WORD, ascii_lower, whole
 from marginalia.scratch import Scratch
 
 N = 10
-#: Anchors beyond this many are joined by shuffle instead of broadcast (about 40 bytes each).
-BROADCAST_ANCHORS = 1_000_000
+#: Anchors (some 300 bytes each) that are broadcast at once; more of them take more passes over the documents.
+BROADCAST_ANCHORS = 100_000
 
 
 def raw_words(text: Column) -> Column:
@@ -35,60 +35,56 @@ def _gram(parts: list[Column]) -> Column:
 
 
 def item_anchors(bench: DataFrame, n: int) -> DataFrame:
-    """``(size, gram, item_id, at, words)``: size is the anchor's number of words."""
+    """``(size, gram, item_id, at, low, near, m)``.
+
+    size: the anchor's number of words, from item word ``at`` on. near: the
+    item's words that windows around the anchor can hold, from word ``low`` on.
+    m: the item's number of words.
+    """
     w = F.col("words")
-    size = F.least(F.size(w), F.lit(3))
     starts = F.when(F.size(w) < n, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(w) - 3, F.lit(n - 2)))
-    items = bench.where(F.size("words") > 0).select("item_id", "words", size.alias("size"), F.explode(starts).alias("at"))
-    part = [F.element_at("words", F.col("at") + k) for k in (1, 2, 3)]
-    gram = (F.when(F.col("size") == 1, F.xxhash64(F.element_at("words", 1)))
-            .when(F.col("size") == 2, F.xxhash64(F.element_at("words", 1), F.element_at("words", 2)))
-            .otherwise(F.xxhash64(*[F.get("words", F.col("at") + k) for k in (0, 1, 2)])))
-    return items.select("size", gram.alias("gram"), "item_id", "at", "words")
+    items = bench.where(F.size("words") > 0).select(
+        "item_id", "words", F.least(F.size(w), F.lit(3)).alias("size"), F.size(w).alias("m"), F.explode(starts).alias("at"))
+    part = [F.get("words", F.col("at") + k) for k in (0, 1, 2)]
+    gram = F.when(F.col("size") == 1, F.xxhash64(part[0])).when(F.col("size") == 2, F.xxhash64(*part[:2])).otherwise(F.xxhash64(*part))
+    low = F.greatest(F.col("at") - (n - 3), F.lit(0))
+    return items.select("size", gram.alias("gram"), "item_id", "at", low.alias("low"), F.slice("words", low + 1, F.lit(2 * n - 3)).alias("near"), "m")
 
 
 def contamination_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text", n: int = N) -> DataFrame:
-    """``(doc_id, text_hash, item_id, first, length)``: where a window of an item lies in a document, first from 0, verified word by word."""
+    """``(doc_id, text_hash, item_id, first, length)``: where a window of an item lies in a document, first from 0, verified word by word.
+
+    A document's words stay in its task: they pass the broadcast join by
+    reference and only rows that hit an anchor are copied.
+    """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = bench.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words"))
     anchors = scratch.put(item_anchors(items, n), "anchors")
     sizes = {r["size"]: r["n"] for r in anchors.groupBy("size").agg(F.count("*").alias("n")).collect()}
     texts = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    split = texts.select("doc_id", "text_hash", raw_words(F.col("text")).alias("w"))
+    split = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("w"))
+    length = F.least(F.col("m"), F.lit(n))
+    shift = F.col("pos") - F.col("at")
+    agree = F.filter(
+        F.sequence(F.col("low"), F.least("at", F.col("m") - F.least(F.col("m"), F.lit(n)))),
+        lambda i: (shift + i >= 0) & (F.transform(F.slice("w", F.greatest(shift + i, F.lit(0)) + 1, length), ascii_lower)
+                                      == F.slice("near", i - F.col("low") + 1, length)))
     found = None
     for size, count in sorted(sizes.items()):
         rest = [F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}") for k in range(1, size)]
         grams = (
-            split.where(F.size("w") >= size).select("doc_id", "text_hash", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), *rest)).alias("pos", "g"))
-            .select("doc_id", "text_hash", "pos", _gram([F.col(f"g.w{k}") for k in range(size)]).alias("gram")))
-        mine = anchors.where(F.col("size") == size).select("gram", "item_id", "at")
-        mine = F.broadcast(mine) if count <= BROADCAST_ANCHORS else mine
-        hit = grams.join(mine, "gram").select("doc_id", "text_hash", "pos", "item_id", "at")
-        found = hit if found is None else found.unionByName(hit)
-    schema = "doc_id long, text_hash long, item_id long, first int, length int"
+            split.where(F.size("w") >= size).select("doc_id", "text_hash", "w", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), *rest)).alias("pos", "g"))
+            .select("doc_id", "text_hash", "w", "pos", _gram([F.col(f"g.w{k}") for k in range(size)]).alias("gram")))
+        passes = -(-count // BROADCAST_ANCHORS)
+        for k in range(passes):
+            mine = anchors.where((F.col("size") == size) & (F.pmod("gram", F.lit(passes)) == k)).drop("size")
+            hit = grams.join(F.broadcast(mine), "gram").select("doc_id", "text_hash", "item_id", length.alias("length"), F.explode(agree).alias("i"), shift.alias("shift"))
+            hit = hit.select("doc_id", "text_hash", "item_id", (F.col("shift") + F.col("i")).alias("first"), "length")
+            found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    found = scratch.put(found.distinct(), "candidates")
-    # item words ride along once for each (document, item); both tables are keyed by document, so no group spans documents
-    per_doc = found.groupBy("doc_id", "text_hash", "item_id").agg(F.collect_list(F.struct("pos", "at")).alias("hits"))
-    item_words = items.select("item_id", F.col("words").alias("iw"))
-    lined = per_doc.join(item_words, "item_id")
-    held = texts.join(found.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    held = held.select("doc_id", "text_hash", words(F.col("text")).alias("dw"))
-    def verified(h: Column) -> Column:
-        """The windows around one anchor whose words all agree."""
-        begin, end = F.greatest(h["at"] - (n - 3), F.lit(0)), F.least(h["at"], F.size("iw") - F.col("size"))
-        agree = F.filter(F.sequence(begin, end), lambda i: (h["pos"] - h["at"] + i >= 0) & (
-            F.slice("dw", F.greatest(h["pos"] - h["at"] + i, F.lit(0)) + 1, F.col("size")) == F.slice("iw", i + 1, F.col("size"))))
-        return F.transform(agree, lambda i: h["pos"] - h["at"] + i)
-
-    return (
-        lined.join(held, ["doc_id", "text_hash"]).withColumn("size", F.least(F.size("iw"), F.lit(n)))
-        .select("doc_id", "text_hash", "item_id", F.col("size").alias("length"),
-                F.explode(F.array_distinct(F.flatten(F.transform("hits", verified)))).alias("first"))
-        .select("doc_id", "text_hash", "item_id", "first", "length").distinct())
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, first int, length int")
+    return found.distinct()
 
 
 def decontamination_report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
