@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ann, decontaminate, line_dedup, packing, simhash, simple8b
+from marginalia.llm import ann, decontaminate, line_dedup, packing, quality, secrets, simhash, simple8b
 
 QUERIES = {
     "op2_simple8b": simple8b.op2_simple8b,
+    "op3_secret_formats": secrets.op3_secret_formats,
+    "op4_bradley_terry": quality.op4_bradley_terry,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_multiprobe_ann": ann.op6_multiprobe_ann,
     "op7_simhash": simhash.op7_simhash,
