@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ann, decontaminate, line_dedup, packing, quality, secrets, simhash, simple8b
+from marginalia.llm import ann, decontaminate, langid, line_dedup, packing, quality, secrets, simhash, simple8b
 
 QUERIES = {
+    "op1_language_evidence": langid.op1_language_evidence,
     "op2_simple8b": simple8b.op2_simple8b,
     "op3_secret_formats": secrets.op3_secret_formats,
     "op4_bradley_terry": quality.op4_bradley_terry,

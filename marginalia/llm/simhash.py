@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.components import connected_components
+from marginalia.llm.text import attach
 from marginalia.scratch import Scratch
 
 SHINGLE = 3
@@ -140,19 +141,6 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return attach(prints, of_print, "fp")
 
 
-def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Left join on a key that a third of the rows may share.
-
-    The key's most frequent values (each in over 1/2000 of all rows, so fewer
-    than 2000 of them) go by broadcast, the others by shuffle.
-    """
-    n = rows.count()
-    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * 2000 > n).select(key))
-    by_value = small.join(hot, key, "left_semi")
-    frequent = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(by_value), key, "left")
-    return frequent.unionByName(rows.join(hot, key, "left_anti").join(small, key, "left"))
-
-
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicate_components(docs).select(
