@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ann, decontaminate, langid, line_dedup, packing, quality, secrets, simhash, simple8b
+from marginalia.llm import ann, decontaminate, langid, line_dedup, lm, packing, quality, secrets, simhash, simple8b
 
 QUERIES = {
     "op1_language_evidence": langid.op1_language_evidence,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_context_mixing": lm.op10_context_mixing,
 }
 SQL = {
     "op5_decontamination": decontaminate.OP5_SQL,
