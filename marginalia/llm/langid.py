@@ -137,7 +137,7 @@ def _smoothed(own: Column, back: Column) -> Column:
 
 def identify(rows: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang",
              host_col: str | None = "source", suffix_col: str | None = None, markup: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, language, posterior, declared, grams, accepted)``, one row for each row.
+    """``(doc_id, text_hash, language, posterior, declared, grams, accepted)``, one row for each row.
 
     markup: ``(doc_id, page_lang, page_host, page_suffix)``, at most one row
     for each id, which stands before the row's own columns. It meets the rows
@@ -152,13 +152,13 @@ def identify(rows: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", te
     scratch = Scratch(rows.sparkSession, "langid")
     missing = F.lit(None).cast("string")
     rows = rows.select(
-        F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"),
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), whole(F.col(text_col)).alias("text"),
         (primary(F.col(declared_col)) if declared_col else missing).alias("declared"),
         (F.lower(F.col(host_col)) if host_col else missing).alias("host"), (F.lower(F.col(suffix_col)) if suffix_col else missing).alias("suffix"))
     # languages by SLOTS rows at most, whatever the number of documents
     langs, table = text_model(text_counts(rows).toPandas())
     if not langs:
-        return rows.select("doc_id", missing.alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(0).cast("long").alias("grams"), F.lit(False).alias("accepted"))
+        return rows.select("doc_id", "text_hash", missing.alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(0).cast("long").alias("grams"), F.lit(False).alias("accepted"))
     n = len(langs)
     said = with_text_evidence(rows, langs, table)
     if markup is not None:
@@ -189,8 +189,8 @@ def identify(rows: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", te
     post = _softmax(F.array(*logs))
     best = F.array_max("post")
     name = F.array(*[F.lit(x) for x in langs])
-    return (out.select("doc_id", "declared", "grams", "lettered", post.alias("post"))
-            .select("doc_id", F.element_at(name, F.array_position("post", best).cast("int")).alias("language"), best.alias("posterior"), "declared", "grams",
+    return (out.select("doc_id", "text_hash", "declared", "grams", "lettered", post.alias("post"))
+            .select("doc_id", "text_hash", F.element_at(name, F.array_position("post", best).cast("int")).alias("language"), best.alias("posterior"), "declared", "grams",
                     ((best >= threshold) & F.col("lettered")).alias("accepted")))
 
 
@@ -208,4 +208,4 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def op1_language_evidence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return identify(docs, markup=Scratch(spark, "langid").put(pages, "pages"))
+    return identify(docs, markup=Scratch(spark, "langid").put(pages, "pages")).drop("text_hash")

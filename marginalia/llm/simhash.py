@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.components import connected_components
-from marginalia.llm.text import attach
+from marginalia.llm.text import attach, whole
 from marginalia.scratch import Scratch
 
 SHINGLE = 3
@@ -123,7 +123,7 @@ def linked_pairs(prints: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = N_
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``(doc_id, fp long, component_id)``, one row for each row of docs.
+    """``(doc_id, text_hash, fp long, component_id)``, one row for each row of docs.
 
     Component: the smallest id reachable over links of ``max_bits`` or fewer
     differing bits. Texts without words, null ones too, have fingerprint 0 and
@@ -132,7 +132,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     has one. Repeated ids are rows of their own. Empty tables give none.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.put(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
+    prints = scratch.put(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
     # A fingerprint's smallest id stands for it. An id with several texts can stand for several fingerprints: they form one component, as they share a document.
     nodes = scratch.put(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     edges = linked_pairs(nodes, max_bits, scratch=scratch)
