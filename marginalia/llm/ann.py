@@ -93,7 +93,7 @@ def best(query_ids, q, ids, x, k: int, allowed: np.ndarray | None = None) -> pd.
     floor = np.full(len(q), -np.inf) if n <= k else -np.partition(-rough, k - 1, axis=1)[:, k - 1]
     near = (rough >= (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None]) & (rough > -np.inf)
     r, c = np.nonzero(near)
-    score = np.einsum("ij,ij->i", q[r], x[c])
+    score = (q[r] * x[c]).sum(1)
     order = np.lexsort((ids[c], -score, r))
     r, c, score = r[order], c[order], score[order]
     place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -177,7 +177,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def rerank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """left: members of one slot; right: queries with the buckets they visit there."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "best": [], "bundle": []})
         names = {b: i for i, b in enumerate(dict.fromkeys(zip(left["tab"], left["bucket"])))}
         own = np.array([names[b] for b in zip(left["tab"], left["bucket"])])
         ids, first = np.unique(left["id"].to_numpy(), return_index=True)
@@ -190,11 +190,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             want = np.zeros((len(part), len(names)), np.float32)
             for i, wanted in enumerate(part["wanted"]):
                 want[i, [names[b] for b in ((w["tab"], w["bucket"]) for w in wanted) if b in names]] = 1
-            out.append(best(part["id"].to_numpy(), np.stack(part["v"].to_numpy()), ids, x, k, (want @ member) > 0))
-        return pd.concat(out)
-
-    found = members.groupBy("slot").cogroup(visits.groupBy("slot")).applyInPandas(rerank, _BEST)
-    return _top(found, k).select("query_id", "rank", "vec_id", "score", F.lit(probes).alias("probes"))
+            got = best(part["id"].to_numpy(), np.stack(part["v"].to_numpy()), ids, x, k, (want @ member) > 0)
+            for q, rows_of in got.groupby("query_id").indices.items():
+                out.append((q, [{"far": -s, "vec_id": i} for s, i in zip(got["score"].to_numpy()[rows_of], got["vec_id"].to_numpy()[rows_of])]))
+        return pd.DataFrame(out, columns=["query_id", "best"]).assign(bundle=int(key[0]) // 64)
+
+    # a slot gives a query one row; those of 64 slots are merged before all
+    found = members.groupBy("slot").cogroup(visits.groupBy("slot")).applyInPandas(rerank, "query_id long, best array<struct<far:double,vec_id:long>>, bundle long")
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best")
+    answer = found.groupBy("query_id", "bundle").agg(merged).groupBy("query_id").agg(merged)
+    return answer.select("query_id", F.posexplode("best").alias("at", "b")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"), F.lit(probes).alias("probes"))
 
 
 def fitted_probes(rows, index, queries, hasher: Hasher, k: int, fit_queries: int, fit_recall: float) -> int:
