@@ -2,11 +2,12 @@
 
 Encoding is the costly part and most words come again, so a text is cut where
 the tokenizer is bound to cut it and ids are kept by piece, in a bounded
-table of two generations. Texts with characters for which such cuts aren't proven are one piece.
+table that keeps the most frequent when it is full. Texts with characters for which such cuts aren't proven are one piece.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
@@ -14,9 +15,13 @@ from array import array
 import numpy as np
 
 #: Line feed, printable ASCII, and Latin letters and signs that normal forms leave alone: no other blanks, no combining marks.
-_OTHER = re.compile("[^\n\x20-\x7e¡-ɏ]")
+_OTHER = re.compile("[^\n\x20-\x7e¡-įı-ɏ]")
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
 _BLANK_RUN = re.compile(r"[ \n][ \n]")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest in order from U+0100. NUL, in no word, comes first.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+_DELIMITER = _BYTE_CHARS[0]
 
 
 class _Pieces(dict):
@@ -26,33 +31,102 @@ class _Pieces(dict):
         return n
 
 
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1 and so on, n[0] of them, then those from begin[1]."""
+    upto = np.cumsum(n)
+    return np.repeat(begin - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class _Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1 << 16, dtype), 0
+
+    def add(self, more) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(self.n, len(more)) + len(more), self.data.dtype)])
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Encoder:
     """style "space": a single blank begins the next piece; "split": blanks separate pieces and give no ids."""
 
-    def __init__(self, path: str, style: str, keep: int = 250_000, keep_chars: int = 6_000_000):
+    def __init__(self, path: str, style: str, keep: int = 1_500_000, keep_chars: int = 20_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.style, self.keep, self.keep_chars = style, keep, keep_chars
-        self.pieces, self.ids, self.ends = {}, array("I"), array("q", [0])
-        self._clear()
-
-    def _clear(self) -> None:
-        """The present pieces become the older generation, from which those met again are taken over."""
-        self.old = (self.pieces, self.ids, self.ends)
-        self.pieces = _Pieces()
-        self.pieces.new = []
-        self.ids, self.ends, self.chars = array("I"), array("q", [0]), 0
-
-    def _add(self, new: list[str]) -> None:
-        old, old_ids, old_ends = self.old
-        made = iter(self.tokenizer.encode_batch_fast([p for p in new if p not in old], add_special_tokens=False))
-        for p in new:
-            k = old.get(p)
-            self.ids.extend(next(made).ids if k is None else old_ids[old_ends[k] : old_ends[k + 1]])
-            self.ends.append(len(self.ids))
+        # words of letters are cut no further: they go to the tokenizer's model many at a time, without its normaliser and splitter
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Split(_DELIMITER, "isolated")
+        self.delimiter = self.bare.encode(_DELIMITER, add_special_tokens=False).ids
+        self._start([])
+        trial = [p + q for p in ("Añb", "the", "Zürich", "ŉa", "oł", "K") for q in ("", ".", ",")]
+        trial = [" " + p for p in trial] + trial if style == "space" else trial
+        if len(self.delimiter) != 1 or any(not np.array_equal(a, b) for a, b in zip(self._together(trial), self._one_by_one(trial))):
+            self._together = self._one_by_one
+
+    def _start(self, pieces: list[str]) -> None:
+        self.pieces, self.ids, self.ends, self.uses = _Pieces(), _Growing(np.uint32), _Growing(np.int64), np.zeros(0, np.int64)
+        self.pieces.new, self.chars = [], 0
+        self.ends.add([0])
+        for p in pieces:
+            self.pieces[p]
+        self._add()
+
+    def _renew(self) -> None:
+        """Keep the pieces that were met most, a quarter at most."""
+        names = list(self.pieces)
+        often = np.argsort(-self.uses[: len(names)], kind="stable")[: self.keep // 4]
+        self._start([names[i] for i in np.sort(often) if self.uses[i] > 2 and len(names[i]) < 64])
+
+    def _one_by_one(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _together(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that ``_plain`` accepts: letters, a blank before them for style "space", and a mark after them, which is a cut of its own."""
+        words, owner = [], []
+        for i, p in enumerate(some):
+            if p[-1] in ".,":
+                words += (p[:-1], p[-1])
+                owner += (i, i)
+            else:
+                words.append(p)
+                owner.append(i)
+        joined = "\0".join(words)
+        if self.style == "split":
+            joined = joined.lower()
+        (e,) = self.bare.encode_batch_fast([joined.encode().decode("latin-1").translate(_BYTE_CHARS)], add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.delimiter[0])
+        n = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        return np.delete(ids, cuts), np.bincount(owner, n, len(some)).astype(np.int64)
+
+    def _plain(self, p: str) -> bool:
+        if _OTHER.search(p):
+            return False
+        word = p[:-1] if p[-1:] in (".", ",") else p
+        return word.isalpha() or (self.style == "space" and word[:1] == " " and word[1:].isalpha())
+
+    def _add(self) -> None:
+        new = self.pieces.new
+        self.chars += sum(map(len, new))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            plain = np.fromiter(map(self._plain, some), bool, len(some))
+            made = [f([some[i] for i in np.flatnonzero(k)]) for f, k in ((self._together, plain), (self._one_by_one, ~plain)) if k.any()]
+            ids, n = (np.concatenate(x) for x in zip(*made))
+            order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+            self.ids.add(ids[_spread((np.cumsum(n) - n)[order], n[order])])
+            self.ends.add(self.ends.data[self.ends.n - 1] + np.cumsum(n[order]))
+        new.clear()
 
     def _cut(self, text: str) -> list[str]:
         if _OTHER.search(text):
@@ -66,23 +140,22 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one uint32 array, and the number of each text's ids."""
         if len(self.pieces) > self.keep or self.chars > self.keep_chars:
-            self._clear()
+            self._renew()
         pieces, seen, sizes = self.pieces, array("q"), []
         for text in texts:
             own = self._cut(text)
             seen.extend(map(pieces.__getitem__, own))
             sizes.append(len(own))
-        new = pieces.new
-        for at in range(0, len(new), 20_000):
-            self._add(new[at : at + 20_000])
-        self.chars += sum(map(len, new))
-        new.clear()
-        ids, ends, seen = np.array(self.ids, np.uint32), np.array(self.ends, np.int64), np.array(seen, np.int64)
-        n = ends[seen + 1] - ends[seen]
-        upto = np.cumsum(n)
-        flat = ids[np.repeat(ends[seen] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        upto = np.concatenate([[0], upto])
-        edges = upto[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        self._add()
+        seen = np.frombuffer(seen, np.int64) if len(seen) else np.zeros(0, np.int64)
+        uses = np.bincount(seen, minlength=len(pieces))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        ids, ends = self.ids.data, self.ends.data
+        begin = ends[seen]
+        n = ends[seen + 1] - begin
+        flat = ids[_spread(begin, n)]
+        edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
         return flat, np.diff(edges)
 
 
