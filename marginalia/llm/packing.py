@@ -80,76 +80,55 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 def local_search(lengths: np.ndarray, bins: list[list[int]], room: int) -> list[list[int]]:
     """Empty the emptiest bins into fuller ones; returns bins without empty ones."""
-    fill = np.array([int(lengths[b].sum()) for b in bins])
-    part = sorted((i for i in range(len(bins)) if fill[i] < room), key=lambda i: (fill[i], i))
-    done = set()
-    for s in part:
-        if s in done:
-            continue
-        while bins[s]:
-            # items of fuller bins with room left: the only partners that can make a squared sum grow
-            into = [t for t in part if t != s and fill[t] < room and (fill[t], t) > (fill[s], s) and bins[t]]
-            if not into:
-                break
-            step = _best_step(lengths, bins, fill, s, into, room)
+    bin_of = np.zeros(len(lengths), np.int64)
+    for b, items in enumerate(bins):
+        bin_of[items] = b
+    fill = np.bincount(bin_of, lengths, minlength=len(bins)).astype(np.int64)
+    # only bins with room change; a source gives to fuller bins alone, so that each step increases the sum of squares
+    for s in np.lexsort((np.arange(len(bins)), fill)):
+        while 0 < fill[s] < room:
+            into = (fill < room) & ((fill > fill[s]) | ((fill == fill[s]) & (np.arange(len(bins)) > s)))
+            step = _best_step(lengths, bin_of, room - fill, np.flatnonzero(bin_of == s), np.flatnonzero(into[bin_of]), into)
             if step is None:
                 break
             t, out, back = step
-            for i in out:
-                bins[s].remove(i)
-                bins[t].append(i)
-            for i in back:
-                bins[t].remove(i)
-                bins[s].append(i)
-            gain = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
+            bin_of[out], bin_of[back] = t, s
+            gain = int(lengths[out].sum() - lengths[back].sum())
             fill[s] -= gain
             fill[t] += gain
-        done.add(s)
-    return [b for b in bins if b]
+    order = np.lexsort((np.arange(len(lengths)), bin_of))
+    edges = np.flatnonzero(np.diff(bin_of[order])) + 1
+    return [x.tolist() for x in np.split(order, edges) if len(x)]
 
 
-def _best_step(lengths, bins, fill, s, into, room):
-    """The step that fills some fuller bin most: ``(bin, items to it, items back)``; None if there is none."""
-    gaps = room - fill[into]
-    own = np.array(sorted(bins[s], key=lambda i: (-lengths[i], i)))
+def _best_step(lengths, bin_of, gaps, own, items, into):
+    """``(bin, items to it, items back)``: a move, else the exchange that fills a fuller bin most; None if there is none."""
+    if not into.any():
+        return None
+    own = own[np.argsort(-lengths[own], kind="stable")]
     size = lengths[own]
-    best, found = 0, None
-    widest = int(gaps.max())
-    if (fits := np.flatnonzero(size <= widest)).size:  # a move
+    targets = np.flatnonzero(into)
+    if (fits := np.flatnonzero(size <= gaps[targets].max())).size:  # the longest that fits, into the least room for it
         i = fits[0]
-        t = int(np.flatnonzero(gaps >= size[i])[np.argmin(gaps[gaps >= size[i]])])
-        return into[t], [int(own[i])], []
-    items = np.array([i for t in into for i in bins[t]])
-    where = np.repeat(np.arange(len(into)), [len(bins[t]) for t in into])
-    other, gap = lengths[items], gaps[where]
+        able = targets[gaps[targets] >= size[i]]
+        return int(able[np.argmin(gaps[able])]), [int(own[i])], []
+    other, gap = lengths[items], gaps[bin_of[items]]
+    best, found = 0, None
     for i in range(len(own)):  # one for one
         gain = size[i] - other
-        ok = np.flatnonzero((gain > best) & (gain <= gap))
-        if ok.size:
-            k = ok[np.argmax(gain[ok])]
-            best, found = int(gain[k]), (into[where[k]], [int(own[i])], [int(items[k])])
-            if best == gap[k]:
-                return found
+        gain[(gain > gap) | (gain <= best)] = 0
+        if len(gain) and gain.max() > 0:
+            k = int(np.argmax(gain))
+            best, found = int(gain[k]), (int(bin_of[items[k]]), [int(own[i])], [int(items[k])])
     if found:
         return found
     for i in range(len(own) - 1):  # two for one
-        pair = size[i] + size[i + 1 :]
-        gain = pair[:, None] - other[None, :] if len(pair) * len(other) <= 2_000_000 else pair[:1, None] - other[None, :]
-        ok = (gain > best) & (gain <= gap[None, :])
-        if ok.any():
-            j, k = np.unravel_index(np.argmax(np.where(ok, gain, -1)), gain.shape)
-            return into[where[k]], [int(own[i]), int(own[i + 1 + j])], [int(items[k])]
-    for t in range(len(into)):  # one for two
-        theirs = bins[into[t]]
-        if len(theirs) < 2:
-            continue
-        x = np.array(theirs)
-        a, b = np.triu_indices(min(len(x), 200), 1)
-        gain = size[:, None] - (lengths[x[a]] + lengths[x[b]])[None, :]
-        ok = (gain > 0) & (gain <= gaps[t])
-        if ok.any():
-            j, k = np.unravel_index(np.argmax(np.where(ok, gain, -1)), gain.shape)
-            return into[t], [int(own[j])], [int(x[a[k]]), int(x[b[k]])]
+        for j in range(i + 1, len(own)):
+            gain = size[i] + size[j] - other
+            gain[(gain > gap) | (gain <= 0)] = 0
+            if len(gain) and gain.max() > 0:
+                k = int(np.argmax(gain))
+                return int(bin_of[items[k]]), [int(own[i]), int(own[j])], [int(items[k])]
     return None
 
 
