@@ -1,7 +1,500 @@
-"""The registered queries over the given tables and their SQL."""
+"""The registered queries over the given tables and their SQL.
+
+The tables stand in for a verifier's: orders are papers, line items their
+citations and claims, parts a bibliography, customers a registry, events
+notices and telemetry. Manuscripts are rendered from these by Spark and read
+back by the extraction operators; the SQL computes what must come out from the
+tables themselves.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import scalars as S
+from marginalia.operators import components, extract, graph, matching, resolve, scoring, vectors
+from marginalia.sources import readers
+from marginalia.streaming import timestate
+
+FLAGSHIP = "referencing_quality"
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- what stands in for manuscripts and claims -------------------------------------------------------------------
+
+
+def manuscripts(spark, d) -> DataFrame:
+    """A paper for each order: a line for each item, with two citations, a figure and references to figures."""
+    li = table(spark, d, "lineitem")
+    line = F.concat(
+        F.lit("We follow \\cite{p"), F.col("l_partkey"), F.lit(", s"), F.col("l_suppkey"), F.lit("} and Figure~\\ref{fig:"), F.col("l_linenumber"), F.lit("}."),
+        F.when(F.col("l_quantity") > 25, F.concat(F.lit(" \\label{fig:"), F.col("l_linenumber"), F.lit("}"))).otherwise(""),
+        F.when(F.col("l_tax") > 0.05, F.concat(F.lit(" \\citeunverified{p"), F.col("l_partkey"), F.lit("}"))).otherwise(""),
+        F.lit(" % \\cite{hidden}"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
+    return li.groupBy(F.col("l_orderkey").alias("paper")).agg(body.alias("text"))
+
+
+def claims(spark, d) -> DataFrame:
+    verdict = F.element_at(F.array(*map(F.lit, ["SUPPORTS", "PARTIALLY_SUPPORTS", "CANNOT_DETERMINE", "NOT_SUPPORTED", "SKIPPED"])), (F.col("l_quantity").cast("int") % 5) + 1)
+    purpose = F.element_at(F.array(*map(F.lit, [*scoring.PURPOSE_WEIGHTS, "unknown"])), (F.col("l_suppkey") % 9).cast("int") + 1)
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("paper"), F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("key"), (F.col("l_linenumber") * 30).alias("line"), F.when(F.col("l_linestatus") == "O", "").otherwise(F.concat(F.lit("sec"), F.col("l_partkey") % 4)).alias("section"),
+        verdict.alias("verdict"), purpose.alias("purpose"), (F.col("l_tax") > 0.07).alias("dismissed"))
+
+
+CLAIMS = """
+claims AS (SELECT l_orderkey AS paper, 's' || (l_suppkey % 3) AS key, l_linenumber * 30 AS line,
+  CASE WHEN l_linestatus = 'O' THEN '' ELSE 'sec' || (l_partkey % 4) END AS section,
+  CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'PARTIALLY_SUPPORTS' WHEN 2 THEN 'CANNOT_DETERMINE' WHEN 3 THEN 'NOT_SUPPORTED' ELSE 'SKIPPED' END AS verdict,
+  CASE l_suppkey % 9 WHEN 0 THEN 'evidence' WHEN 1 THEN 'contrast' WHEN 2 THEN 'method' WHEN 3 THEN 'definition' WHEN 4 THEN 'example' WHEN 5 THEN 'attribution' WHEN 6 THEN 'tool' WHEN 7 THEN 'context' ELSE 'unknown' END AS purpose,
+  l_tax > 0.07 AS dismissed FROM lineitem)"""
+WEIGHT = "CASE purpose WHEN 'evidence' THEN 1.0 WHEN 'contrast' THEN 0.9 WHEN 'method' THEN 0.8 WHEN 'definition' THEN 0.7 WHEN 'example' THEN 0.6 WHEN 'attribution' THEN 0.5 WHEN 'tool' THEN 0.4 ELSE 0.2 END"
+REF_SCORES = CLAIMS + f""",
+live AS (SELECT * FROM claims WHERE verdict <> 'SKIPPED'),
+pur AS (SELECT paper, key, purpose, {WEIGHT} AS weight, row_number() OVER (PARTITION BY paper, key ORDER BY count(*) DESC, {WEIGHT} DESC, purpose DESC) AS r FROM live GROUP BY paper, key, purpose),
+agg AS (SELECT paper, key, count(*) AS n, avg(CASE verdict WHEN 'SUPPORTS' THEN 1.0 WHEN 'PARTIALLY_SUPPORTS' THEN 0.5 WHEN 'CANNOT_DETERMINE' THEN 0.25 ELSE 0.0 END) FILTER (WHERE NOT dismissed) AS v,
+  min(CASE verdict WHEN 'NOT_SUPPORTED' THEN 0 WHEN 'CANNOT_DETERMINE' THEN 1 WHEN 'PARTIALLY_SUPPORTS' THEN 2 ELSE 3 END) FILTER (WHERE NOT dismissed) AS worst,
+  count(*) FILTER (WHERE verdict = 'SUPPORTS') AS supports, count(*) FILTER (WHERE verdict = 'PARTIALLY_SUPPORTS') AS partial, count(*) FILTER (WHERE verdict = 'NOT_SUPPORTED') AS not_supported FROM live GROUP BY paper, key),
+every AS (SELECT paper, key, count(*) AS n FROM claims GROUP BY paper, key),
+ref_scores AS (
+  SELECT e.paper, e.key, coalesce(p.purpose, 'context') AS purpose, coalesce(CAST(p.weight AS DOUBLE), 0.0) AS weight,
+    CASE WHEN a.n IS NULL THEN 'SKIPPED' ELSE CASE coalesce(a.worst, 3) WHEN 0 THEN 'NOT_SUPPORTED' WHEN 1 THEN 'CANNOT_DETERMINE' WHEN 2 THEN 'PARTIALLY_SUPPORTS' ELSE 'SUPPORTS' END END AS verdict,
+    CASE WHEN a.n IS NULL THEN 0.0 ELSE coalesce(CAST(a.v AS DOUBLE), 0.25) END AS verification, coalesce(a.n, e.n) AS claims,
+    coalesce(a.supports, 0) AS supports, coalesce(a.partial, 0) AS partial, coalesce(a.not_supported, 0) AS not_supported
+  FROM every e LEFT JOIN agg a USING (paper, key) LEFT JOIN pur p ON p.paper = e.paper AND p.key = e.key AND p.r = 1)"""
+
+
+#: A manuscript's line, which orders items that share a number.
+LINE = r"""'We follow \cite{p' || l_partkey || ', s' || l_suppkey || '} and Figure~\ref{fig:' || l_linenumber || '}.' || CASE WHEN l_quantity > 25 THEN ' \label{fig:' || l_linenumber || '}' ELSE '' END || CASE WHEN l_tax > 0.05 THEN ' \citeunverified{p' || l_partkey || '}' ELSE '' END"""
+
+
+# ---- extraction --------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT l_orderkey AS paper, CAST(rn AS INT) AS line, key FROM (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {LINE}) AS rn, unnest(CASE WHEN l_tax > 0.05 THEN ['p' || l_partkey, 's' || l_suppkey, 'p' || l_partkey] ELSE ['p' || l_partkey, 's' || l_suppkey] END) AS key FROM lineitem)""")
+def cite_keys(spark, d):
+    return extract.cite_keys(manuscripts(spark, d))
+
+
+@query("""SELECT DISTINCT l_orderkey AS paper, key FROM (SELECT l_orderkey, unnest(['p' || l_partkey, 's' || l_suppkey]) AS key FROM lineitem)
+  EXCEPT SELECT l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_tax > 0.05""")
+def bare_cite_keys(spark, d):
+    return extract.bare_keys(manuscripts(spark, d))
+
+
+@query("""SELECT DISTINCT l_orderkey AS paper, 'fig:' || l_linenumber AS label FROM lineitem EXCEPT SELECT l_orderkey, 'fig:' || l_linenumber FROM lineitem WHERE l_quantity > 25""")
+def dangling_references(spark, d):
+    m = manuscripts(spark, d)
+    return extract.refs(m).select("paper", "label").distinct().join(extract.labels(m).select("paper", "label"), ["paper", "label"], "left_anti")
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS paper, 'p' || l_partkey AS key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {LINE}) AS INT) AS line FROM lineitem),
+  b AS (SELECT l_orderkey AS paper, 'p' || l_partkey AS key FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 25)
+  SELECT paper, key, min(line) AS line FROM c WHERE paper IN (SELECT paper FROM b) AND (paper, key) NOT IN (SELECT (paper, key) FROM b) GROUP BY paper, key""")
+def dangling_citations(spark, d):
+    cites = extract.cite_keys(manuscripts(spark, d)).where(F.col("key").startswith("p"))
+    return resolve.dangling(cites, bibliography(spark, d))
+
+
+def bibliography(spark, d):
+    return table(spark, d, "lineitem").join(table(spark, d, "part").where("p_size < 25"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("paper"), F.concat(F.lit("p"), "l_partkey").alias("key"))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS key FROM lineitem WHERE l_quantity > 10), b AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS key FROM lineitem WHERE l_discount > 0.03)
+  SELECT coalesce(c.paper, b.paper) AS paper, coalesce(c.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'not_listed' ELSE 'not_cited' END AS problem FROM c FULL JOIN b ON c.paper = b.paper AND c.key = b.key WHERE c.key IS NULL OR b.key IS NULL""")
+def orphaned_references(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("key"), "l_quantity", "l_discount")
+    return resolve.orphans(li.where("l_quantity > 10"), li.where("l_discount > 0.03"))
+
+
+def _shielded(column: str) -> str:
+    for a in extract.ABBREVIATIONS:
+        column = f"replace({column}, '{a}', '{a.replace('.', chr(183))}')"
+    return column
+
+
+@query(rf"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace({_shielded('text')}, '([.!?])\s+([A-Z\\])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> '')) AS INTEGER) AS sentences FROM documents""")
+def sentence_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(extract.sentences(F.col("text"))).alias("sentences"))
+
+
+@query(r"""WITH p AS (SELECT doc_id AS paper, ord, trim(u) AS para FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents) WHERE trim(u) <> ''),
+  q AS (SELECT paper, row_number() OVER (PARTITION BY paper ORDER BY ord) - 1 AS p, para, max(length(para)) OVER (PARTITION BY paper) AS longest FROM p),
+  pw AS (SELECT paper, 'paragraph' AS granularity, CAST(p AS BIGINT) AS ord, left(string_agg(para, chr(10)) OVER (PARTITION BY paper ORDER BY p ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 30000) AS text FROM q WHERE longest <= 10000),
+  s AS (SELECT paper, p, unnest(l) AS sent, generate_subscripts(l, 1) - 1 AS s FROM (SELECT paper, p, list_filter(string_split(regexp_replace(para, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(trim(x)) > 30) AS l FROM q)),
+  sw AS (SELECT paper, 'sentence' AS granularity, CAST(p * 100000 + s AS BIGINT) AS ord, left(string_agg(trim(sent), ' ') OVER (PARTITION BY paper, p ORDER BY s ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 30000) AS text FROM s)
+  SELECT paper, granularity, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, min(md5(text)) AS least FROM (FROM pw UNION ALL FROM sw) GROUP BY ALL""")
+def centred_chunks(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper"), "text")
+    return extract.chunks(docs, "\n").groupBy("paper", "granularity").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("least"))
+
+
+@query("""SELECT c_custkey AS ord, base || CASE WHEN n = 1 THEN '' WHEN n <= 26 THEN chr(CAST(96 + n AS INT)) ELSE CAST(n AS VARCHAR) END AS key FROM (
+  SELECT c_custkey, lower(c_mktsegment) || (1990 + c_nationkey) AS base, row_number() OVER (PARTITION BY lower(c_mktsegment) || (1990 + c_nationkey) ORDER BY c_custkey) AS n FROM customer)""")
+def generated_cite_keys(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.lit(1).alias("paper"), F.concat(F.lower("c_mktsegment"), 1990 + F.col("c_nationkey")).alias("base"))
+    return extract.cite_key_names(rows).select("ord", "key")
+
+
+@query(r"""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title,
+  nullif(regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=([^"''>\s]+)', 1), '') AS redirect, len(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"')) AS links FROM pages""")
+def page_titles(spark, d):
+    return readers.page_facts(table(spark, d, "pages"))
+
+
+@query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+  v AS (SELECT page_id, s || '://' || CASE WHEN s = 'http' THEN regexp_replace(h, ':80$', '') ELSE regexp_replace(h, ':443$', '') END || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS base,
+    array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_(source|medium|campaign|term|content)|fbclid|gclid|mc_cid|mc_eid)(=|$)')), '&') AS q FROM u)
+  SELECT page_id, base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url, 'fn_' || left(sha256(base || CASE WHEN q = '' THEN '' ELSE '?' || q END), 10) AS key FROM v""")
+def canonical_urls(spark, d):
+    url = S.normalize_url(F.col("url"))
+    return table(spark, d, "pages").select("page_id", url.alias("url"), S.synthetic_key(url).alias("key"))
+
+
+@query("""SELECT p_partkey, p_size % 4 = 0 AS doi, p_size % 3 = 0 AS arxiv, p_size >= 10 AS pmid FROM part""")
+def identifier_formats(spark, d):
+    n = F.col("p_size")
+    return table(spark, d, "part").select(
+        "p_partkey", S.valid_id("doi", F.concat(F.lit("https://doi.org/10."), F.when(n % 4 == 0, "1234").otherwise("12"), F.lit("/"), "p_partkey")).alias("doi"),
+        S.valid_id("arxiv", F.concat(F.when(n % 3 == 0, "2101").otherwise("21"), F.lit(".0"), F.lpad("p_partkey", 6, "0"), F.lit("v2"))).alias("arxiv"), S.valid_id("pmid", F.when(n >= 10, n.cast("string")).otherwise("x1")).alias("pmid"))
+
+
+@query("""SELECT p_partkey, lower(p_type) AS venue FROM part""")
+def normalized_venues(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.normalize_venue(F.concat(F.lit("Proceedings of the {"), "p_type", F.lit("}, 2020"))).alias("venue"))
+
+
+@query("""SELECT o_orderkey, l_linenumber, CASE WHEN o_orderpriority LIKE '5%' THEN true ELSE abs(year(o_orderdate) - year(l_shipdate)) <= 1 END AS same FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def year_agreement(spark, d):
+    a = F.when(F.col("o_orderpriority").startswith("5"), "n.d.").otherwise(F.year("o_orderdate").cast("string"))
+    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", S.year_matches(a, F.year("l_shipdate")).alias("same"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'T1' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'T3' WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_acctbal > 0 THEN 'T1' ELSE 'T2' END
+  WHEN c_mktsegment = 'FURNITURE' THEN 'T2' WHEN c_mktsegment = 'MACHINERY' THEN CASE WHEN c_acctbal > 0 THEN 'T1' ELSE 'T2' END ELSE 'T3' END AS tier FROM customer""")
+def access_tiers(spark, d):
+    match = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "web_dead").when(F.col("c_mktsegment") == "BUILDING", "web_verified").when(F.col("c_mktsegment") == "FURNITURE", "web_blocked").when(F.col("c_mktsegment") == "MACHINERY", "verified").otherwise("not_found")
+    return table(spark, d, "customer").select("c_custkey", S.access_tier(match, F.when(F.col("c_acctbal") > 0, "a.pdf"), F.when(F.col("c_custkey") % 50 == 0, "T1")).alias("tier"))
+
+
+@query("""SELECT doc_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), ' ') AS text FROM documents WHERE text <> ''""")
+def inverted_abstracts(spark, d):
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.posexplode(words).alias("p", "w"))
+    index = docs.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    return index.select("doc_id", S.decode_inverted(F.col("index")).alias("text"))
+
+
+# ---- resolution --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id DESC) AS r FROM events)
+  SELECT c_custkey, event_type AS nature, coalesce(event_id, -1) AS event_id FROM customer LEFT JOIN n ON user_id = c_custkey AND r = 1""")
+def retraction_status(spark, d):
+    notices = table(spark, d, "events").select("user_id", "event_type", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    last = resolve.latest_notice(notices, "user_id", "date", "event_id")
+    return table(spark, d, "customer").join(last, F.col("user_id") == F.col("c_custkey"), "left").select("c_custkey", F.col("event_type").alias("nature"), F.coalesce("event_id", F.lit(-1)).alias("event_id"))
+
+
+@query("""WITH a AS (SELECT l_partkey AS key, min(l_suppkey) AS value FROM lineitem WHERE l_discount = 0 GROUP BY 1), b AS (SELECT l_partkey AS key, min(l_suppkey) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+  c AS (SELECT l_partkey AS key, min(l_suppkey) AS value FROM lineitem WHERE l_quantity = 7 GROUP BY 1)
+  SELECT p_partkey AS key, CASE WHEN a.key IS NOT NULL THEN 'a' WHEN b.key IS NOT NULL THEN 'b' WHEN c.key IS NOT NULL THEN 'c' ELSE 'not_found' END AS phase, CASE WHEN a.key IS NOT NULL THEN a.value WHEN b.key IS NOT NULL THEN b.value ELSE c.value END AS value
+  FROM part LEFT JOIN a ON a.key = p_partkey LEFT JOIN b ON b.key = p_partkey LEFT JOIN c ON c.key = p_partkey""")
+def resolution_cascade(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"), "l_discount", "l_returnflag", "l_quantity")
+    return resolve.cascade(table(spark, d, "part").select(F.col("p_partkey").alias("key")), [("a", li.where("l_discount = 0").select("key", "value")), ("b", li.where("l_returnflag = 'R'").select("key", "value")), ("c", li.where("l_quantity = 7").select("key", "value"))])
+
+
+@query("""WITH reg AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'd' || (c_custkey % 400) END AS doi, 'x' || (c_custkey % 90) AS arxiv, c_mktsegment AS title FROM customer),
+  refs AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 'd' || (o_custkey % 500) ELSE '' END AS doi, 'x' || (o_custkey % 100) AS arxiv, CASE WHEN o_orderstatus = 'F' THEN '' ELSE m.c_mktsegment END AS title FROM orders JOIN customer m ON m.c_custkey = o_custkey),
+  d1 AS (SELECT * FROM reg WHERE doi <> '' QUALIFY row_number() OVER (PARTITION BY doi ORDER BY entry) = 1), a1 AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY arxiv ORDER BY entry) = 1),
+  j AS (SELECT r.ref, d1.entry AS de, a1.entry AS ae, d1.entry IS NOT NULL AND (r.title = '' OR d1.title = r.title) AND (d1.arxiv = r.arxiv) AS dok,
+    a1.entry IS NOT NULL AND (r.title = '' OR a1.title = r.title) FROM refs r LEFT JOIN d1 ON d1.doi = r.doi AND r.doi <> '' LEFT JOIN a1 ON a1.arxiv = r.arxiv),
+  k AS (SELECT r.ref, d1.entry AS de, a1.entry AS ae, d1.entry IS NOT NULL AND (r.title = '' OR d1.title = r.title) AS dok, a1.entry IS NOT NULL AND (r.title = '' OR a1.title = r.title) AS aok FROM refs r LEFT JOIN d1 ON d1.doi = r.doi AND r.doi <> '' LEFT JOIN a1 ON a1.arxiv = r.arxiv)
+  SELECT ref, CASE WHEN dok THEN de ELSE ae END AS entry, CASE WHEN dok THEN 'doi' ELSE 'arxiv' END AS matched_by FROM k WHERE dok OR aok""")
+def registry_lookup(spark, d):
+    cust = table(spark, d, "customer")
+    reg = cust.select(F.col("c_custkey").alias("entry"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("d"), F.col("c_custkey") % 400)).alias("doi"), F.concat(F.lit("x"), F.col("c_custkey") % 90).alias("arxiv"), F.col("c_mktsegment").alias("title"))
+    refs = table(spark, d, "orders").join(cust, F.col("c_custkey") == F.col("o_custkey")).select(
+        F.col("o_orderkey").alias("ref"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("d"), F.col("o_custkey") % 500)).otherwise("").alias("doi"), F.concat(F.lit("x"), F.col("o_custkey") % 100).alias("arxiv"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("c_mktsegment")).alias("title"))
+    return resolve.registry_lookup(refs, reg, ["doi", "arxiv"], ["title"])
+
+
+@query("""WITH b AS (SELECT l_orderkey AS paper, l_partkey AS key, CASE WHEN l_quantity < 5 THEN '' ELSE CAST(year(l_shipdate) AS VARCHAR) END AS year, l_returnflag AS title FROM lineitem),
+  g AS (SELECT key, count(DISTINCT paper) AS papers, count(DISTINCT nullif(year, '')) AS years, count(DISTINCT title) AS titles FROM b GROUP BY key HAVING count(DISTINCT paper) >= 2)
+  SELECT key, 'year' AS field, 'error' AS level FROM g WHERE years > 1 UNION ALL SELECT key, 'title', 'warning' FROM g WHERE titles > 1""")
+def inconsistent_citations(spark, d):
+    li = table(spark, d, "lineitem")
+    return resolve.inconsistent_citations(li.select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("key"), F.when(F.col("l_quantity") < 5, "").otherwise(F.year("l_shipdate").cast("string")).alias("year"), F.col("l_returnflag").alias("title")))
+
+
+@query("""SELECT o_orderkey AS query, CASE WHEN o_custkey % 700 = o_custkey % 900 AND c_acctbal > 0 THEN 'hit' ELSE 'miss' END AS outcome FROM orders JOIN customer ON c_custkey = o_custkey""")
+def cached_prompts(spark, d):
+    cust = table(spark, d, "customer")
+    cache = cust.select(S.prompt_hash(F.col("c_mktsegment"), (F.col("c_custkey") % 700).cast("string")).alias("hash"), F.col("c_custkey").alias("check"), F.when(F.col("c_acctbal") > 0, "{}").alias("result"))
+    asked = table(spark, d, "orders").join(cust, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("query"), F.col("o_custkey").alias("check"), S.prompt_hash(F.col("c_mktsegment"), (F.col("o_custkey") % 900).cast("string")).alias("hash"))
+    hits, misses = resolve.split_cache(asked, cache, ["hash", "check"])
+    return hits.select("query", F.lit("hit").alias("outcome")).unionByName(misses.select("query", F.lit("miss").alias("outcome")))
+
+
+@query("""SELECT p.p_partkey AS key, CASE WHEN p.p_size % 2 = 0 AND p.p_size % 3 = 0 THEN 'verified' WHEN p.p_size % 3 = 0 THEN 'not_found' ELSE 'mismatch' END AS api_match, p.p_size % 2 = 0 AND p.p_size % 3 = 0 AS kept FROM part p""")
+def protected_matches(spark, d):
+    p = table(spark, d, "part")
+    old = p.select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 2 == 0, "verified").otherwise("mismatch").alias("api_match"))
+    new = p.select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 3 == 0, "not_found").otherwise("mismatch").alias("api_match"))
+    return resolve.protected(old, new)
+
+
+@query("""WITH o AS (SELECT c_custkey AS key, 'h' || (c_custkey % 5) AS hash, CASE c_custkey % 4 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'NOT_SUPPORTED' WHEN 2 THEN 'CANNOT_DETERMINE' ELSE 'PARTIALLY_SUPPORTS' END AS verdict FROM customer),
+  n AS (SELECT o_orderkey AS claim, o_custkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'h' || (o_orderkey % 5) END AS hash FROM orders)
+  SELECT n.claim, n.key, n.hash, o.verdict FROM n JOIN o ON n.key = o.key AND (n.hash = '' OR n.hash = o.hash) WHERE o.verdict <> 'CANNOT_DETERMINE'""")
+def reusable_verdicts(spark, d):
+    k = F.col("c_custkey")
+    old = table(spark, d, "customer").select(k.alias("key"), F.concat(F.lit("h"), k % 5).alias("hash"), F.element_at(F.array(*map(F.lit, ["SUPPORTS", "NOT_SUPPORTED", "CANNOT_DETERMINE", "PARTIALLY_SUPPORTS"])), (k % 4 + 1).cast("int")).alias("verdict"))
+    o = F.col("o_orderkey")
+    new = table(spark, d, "orders").select(o.alias("claim"), F.col("o_custkey").alias("key"), F.when(o % 4 == 0, "").otherwise(F.concat(F.lit("h"), o % 5)).alias("hash"))
+    return resolve.reusable(new, old, ["key"], "hash")
+
+
+@query("""SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 2 = 0""")
+def upserted_registry(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return resolve.upsert(c, c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
+
+
+@query("""SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5""")
+def latest_samples(spark, d):
+    return resolve.keep_last(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id")
+
+
+# ---- scores ------------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + REF_SCORES + " SELECT * FROM ref_scores")
+def reference_scores(spark, d):
+    return scoring.reference_scores(claims(spark, d))
+
+
+@query("WITH " + REF_SCORES + " SELECT paper, round(CASE WHEN sum(weight) > 0 THEN sum(weight * verification * verification) / sum(weight) ELSE 0.0 END + 1e-9, 6) AS quality FROM ref_scores GROUP BY paper")
+def referencing_quality(spark, d):
+    return scoring.referencing_quality(scoring.reference_scores(claims(spark, d))).withColumn("quality", F.round(F.col("quality") + 1e-9, 6))
+
+
+META = "greatest(0.0, least(1.0, CASE s_nationkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.3 END - CASE WHEN s_suppkey % 4 = 0 THEN 0.1 ELSE 0.0 END - 0.1 * (s_suppkey % 3) - CASE WHEN s_suppkey % 5 = 0 THEN 0.2 ELSE 0.0 END))"
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN s_acctbal < -500 AND s_suppkey % 2 = 0 THEN 0.3 WHEN s_acctbal < -500 THEN 0.0 ELSE CAST({META} AS DOUBLE) END AS score FROM supplier""")
+def metadata_integrity(spark, d):
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    tier = F.element_at(F.array(F.lit("T1"), F.lit("T2"), F.lit("T3")), F.col("s_nationkey") % 3 + 1)
+    return s.select("s_suppkey", scoring.metadata_score(tier, F.when(k % 4 == 0, "mismatch").otherwise("verified"), k % 3, k % 5 != 0, F.col("s_acctbal") < -500, F.when(k % 2 == 0, "Expression of Concern").otherwise("Retraction")).alias("score"))
+
+
+@query("""WITH i AS (SELECT c_custkey AS key, abs(c_acctbal) / 10000 AS x FROM customer WHERE c_custkey % 3 <> 0), m AS (SELECT c_custkey AS key, (c_custkey % 10) / 10.0 AS y FROM customer WHERE c_custkey % 4 <> 0)
+  SELECT coalesce(i.key, m.key) AS key, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 0.6 * x + 0.4 * y ELSE coalesce(x, y) END AS child FROM i FULL JOIN m ON i.key = m.key""")
+def blended_integrity(spark, d):
+    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "key")
+    return scoring.blended(c.where("key % 3 <> 0").select("key", (F.abs("c_acctbal") / 10000).alias("internal")), c.where("key % 4 <> 0").select("key", ((F.col("key") % 10) / 10.0).alias("meta")), ["key"])
+
+
+@query("""SELECT o_orderkey AS paper, coalesce(1 - count(*) FILTER (WHERE l_returnflag = 'R') * 1.0 / nullif(count(l_orderkey), 0), 1.0) AS consistency FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 20 GROUP BY 1""")
+def internal_consistency(spark, d):
+    found = table(spark, d, "lineitem").where("l_quantity > 20").select(F.col("l_orderkey").alias("paper"), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning").alias("level"))
+    return scoring.internal_consistency(table(spark, d, "orders").select(F.col("o_orderkey").alias("paper")), found)
+
+
+@query("""WITH a AS (SELECT c_custkey, c_acctbal / 10000 AS e, (c_custkey % 11) / 10.0 AS p, (c_custkey % 7) / 6.0 AS u, (c_custkey % 5) / 20.0 AS s, 1.2 AS t FROM customer),
+  b AS (SELECT c_custkey, greatest(0, least(1, e)) AS e, greatest(0, least(1, p)) AS p, greatest(0, least(1, u)) AS u, greatest(0, least(1, s)) AS s, 1.0 AS t FROM a)
+  SELECT c_custkey, CAST((e + p + u + s + t) / 5 * CASE WHEN s < 0.1 AND p > 0.5 THEN 0.5 + 0.5 * (1 - p) ELSE 1 END AS DOUBLE) AS overall FROM b""")
+def contribution_scores(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", scoring.contribution({"empirical_content": F.col("c_acctbal") / 10000, "progressiveness": (k % 11) / 10.0, "unification": (k % 7) / 6.0, "problem_solving": (k % 5) / 20.0, "test_severity": F.lit(1.2)}).alias("overall"))
+
+
+@query("WITH " + CLAIMS + " SELECT verdict, count(*) AS n FROM claims GROUP BY verdict")
+def verdict_histogram(spark, d):
+    return claims(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, count(*) AS runs, round(sum(value), 1) AS total, round(avg(value), 1) AS mean, round(min(value), 1) AS least, round(max(value), 1) AS most FROM events GROUP BY event_type""")
+def run_summary(spark, d):
+    r = lambda f, n: F.round(f("value"), 1).alias(n)
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("runs"), r(F.sum, "total"), r(F.avg, "mean"), r(F.min, "least"), r(F.max, "most"))
+
+
+@query("""WITH s AS (SELECT conv_id AS item, turn % 3 AS sample, turn AS ord, left(text, 1) AS text FROM conversations), n AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS span FROM s),
+  g AS (SELECT item, span, count(DISTINCT sample) AS votes, arg_min(text, sample * 1000000 + ord) AS text FROM n WHERE span <> '' GROUP BY item, span)
+  SELECT item, span, votes, text, CASE WHEN votes = 3 THEN 'warning' ELSE 'info' END AS level FROM g WHERE votes * 2 > 3""")
+def consistent_findings(spark, d):
+    s = table(spark, d, "conversations").select(F.col("conv_id").alias("item"), (F.col("turn") % 3).alias("sample"), F.col("turn").alias("ord"), F.left("text", F.lit(1)).alias("text"))
+    return scoring.votes(s, 3)
+
+
+@query("""WITH u AS (SELECT l_orderkey AS claim, l_linenumber AS ord, 'u' || l_linenumber AS unit, CASE CAST(l_quantity AS INT) % 4 WHEN 0 THEN 'NOT_SUPPORTED' WHEN 1 THEN 'CANNOT_DETERMINE' WHEN 2 THEN 'PARTIALLY_SUPPORTS' ELSE 'SUPPORTS' END AS verdict, CAST(l_quantity AS INT) % 4 AS r, l_discount * 10 AS confidence FROM lineitem)
+  SELECT claim, verdict, confidence, CASE WHEN verdict = 'NOT_SUPPORTED' AND confidence <= 0 THEN '' ELSE unit END AS unit FROM u QUALIFY row_number() OVER (PARTITION BY claim ORDER BY r DESC, confidence DESC, ord) = 1""")
+def best_evidence(spark, d):
+    r = F.col("l_quantity").cast("int") % 4
+    return scoring.best_unit(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("u"), "l_linenumber").alias("unit"), F.element_at(F.array(*map(F.lit, ["NOT_SUPPORTED", "CANNOT_DETERMINE", "PARTIALLY_SUPPORTS", "SUPPORTS"])), r + 1).alias("verdict"), (F.col("l_discount") * 10).alias("confidence")))
+
+
+DETECT = "SELECT d.lang, count(*) FILTER (WHERE n_chars % 5 > 1 AND quality = 1) AS tp, count(*) FILTER (WHERE n_chars % 5 > 1 AND quality = 0) AS fp, count(*) FILTER (WHERE n_chars % 5 <= 1 AND quality = 1) AS fn FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang"
+
+
+def _detected(spark, d):
+    m = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    flagged, right = F.col("n_chars") % 5 > 1, F.col("quality") == 1
+    return m.groupBy("lang").agg(F.count_if(flagged & right).alias("tp"), F.count_if(flagged & ~right).alias("fp"), F.count_if(~flagged & right).alias("fn"))
+
+
+@query(f"WITH c AS ({DETECT}), r AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c) SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM r")
+def detection_or_null(spark, d):
+    return scoring.detection_metrics(_detected(spark, d), True)
+
+
+@query(f"WITH c AS ({DETECT}), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall FROM c) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM r")
+def detection_or_zero(spark, d):
+    return scoring.detection_metrics(_detected(spark, d), False)
+
+
+@query("""SELECT s_suppkey, CAST((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1) * 4 // count(*) OVER () AS INT) + 1 AS quartile FROM supplier""")
+def score_quartiles(spark, d):
+    return scoring.quartiles(table(spark, d, "supplier"), F.col("s_acctbal"), F.col("s_suppkey")).select("s_suppkey", "quartile")
+
+
+@query("""SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS window_sum, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events""")
+def counter_deltas(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("user_id", "event_id", F.sum("value").over(w.rowsBetween(-4, 0)).alias("window_sum"), (F.col("value") - F.lag("value").over(w)).alias("delta"))
+
+
+@query("""SELECT l_orderkey AS paper, l_linenumber AS ord FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_discount > 0.05) DESC, (l_tax > 0.04) DESC, l_linenumber) <= 3""")
+def prioritised_entries(spark, d):
+    li = table(spark, d, "lineitem")
+    return resolve.keep_last(li, "l_orderkey", [(F.col("l_discount") > 0.05).desc(), (F.col("l_tax") > 0.04).desc(), F.col("l_linenumber")], 3).select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord"))
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, s_acctbal AS x FROM supplier) SELECT l.k AS left_key, r.k AS right_key, CASE WHEN l.k % 3 = 0 THEN l.x > r.x WHEN l.k % 3 = 1 THEN l.x < r.x ELSE abs(l.x - r.x) <= 500 END AS holds FROM a l JOIN a r ON r.k = l.k + 1""")
+def ordinal_constraints(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"))
+    want = s.select(F.col("k").alias("left_key"), (F.col("k") + 1).alias("right_key"), F.element_at(F.array(F.lit(">"), F.lit("<"), F.lit("~")), (F.col("k") % 3 + 1).cast("int")).alias("op"))
+    both = want.join(s.select(F.col("k").alias("left_key"), F.col("x").alias("l")), "left_key").join(s.select(F.col("k").alias("right_key"), F.col("x").alias("r")), "right_key")
+    holds = F.when(F.col("op") == ">", F.col("l") > F.col("r")).when(F.col("op") == "<", F.col("l") < F.col("r")).otherwise(F.abs(F.col("l") - F.col("r")) <= 500)
+    return both.select("left_key", "right_key", holds.alias("holds"))
+
+
+# ---- graphs, vectors, time ---------------------------------------------------------------------------------------
+
+BUCKETS = CLAIMS + ", m AS (SELECT DISTINCT paper, key, CASE WHEN section <> '' THEN section ELSE 'lines_' || (line // 50) END AS bucket FROM claims)"
+
+
+@query("WITH " + BUCKETS + " SELECT DISTINCT a.paper, a.key AS src, b.key AS dst FROM m a JOIN m b ON a.paper = b.paper AND a.bucket = b.bucket AND a.key < b.key")
+def co_citations(spark, d):
+    return graph.co_citations(claims(spark, d))
+
+
+@query("WITH RECURSIVE " + BUCKETS + """, e AS (SELECT DISTINCT a.paper, a.key AS src, b.key AS dst FROM m a JOIN m b ON a.paper = b.paper AND a.bucket = b.bucket),
+  r AS (SELECT paper, src, dst FROM e UNION SELECT r.paper, r.src, e.dst FROM r JOIN e ON r.paper = e.paper AND r.dst = e.src),
+  c AS (SELECT paper, src, min(dst) AS cluster FROM r GROUP BY paper, src), n AS (SELECT paper, count(*) AS refs, count(DISTINCT cluster) AS clusters FROM c GROUP BY paper),
+  k AS (SELECT p.paper, p.key AS gone, q.key FROM (SELECT DISTINCT paper, key FROM m) p JOIN (SELECT DISTINCT paper, key FROM m) q ON p.paper = q.paper AND p.key <> q.key),
+  t AS (SELECT paper, gone, key AS src, key AS dst FROM k UNION SELECT t.paper, t.gone, t.src, e.dst FROM t JOIN e ON t.paper = e.paper AND t.dst = e.src AND e.dst <> t.gone),
+  tc AS (SELECT paper, gone, count(DISTINCT cluster) AS clusters FROM (SELECT paper, gone, src, min(dst) AS cluster FROM t GROUP BY paper, gone, src) GROUP BY paper, gone),
+  b AS (SELECT tc.paper, count(*) AS bridges FROM tc JOIN n ON n.paper = tc.paper WHERE tc.clusters > n.clusters GROUP BY tc.paper)
+  SELECT n.paper, n.refs, n.clusters, coalesce(bridges, 0) AS bridges, CASE WHEN refs < 2 OR clusters <= 1 THEN 0.0 ELSE least(1.0, 1 - 1.0 / clusters + least(0.2, 0.05 * coalesce(bridges, 0))) END AS score FROM n LEFT JOIN b ON b.paper = n.paper""")
+def unification(spark, d):
+    return graph.unification(claims(spark, d))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, (c_custkey * 7) % 1000 AS b FROM customer WHERE c_custkey % 4 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+  r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
+def reference_clusters(spark, d):
+    return components.connected_components(table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7) % 1000).alias("dst")))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("label", F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("iv"))
+
+
+COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, {COS.format(a='q.embedding', b='i.embedding')} AS score FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INT) AS rank FROM s), t AS (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM k WHERE rank <= 10)
+  SELECT query, item, rank, round(score, 9) AS score FROM t WHERE score >= 0.6 * best""")
+def scoped_neighbours(spark, d):
+    v = _vectors(spark, d)
+    found = vectors.scoped_nearest(v.where("item % 50 = 0").select("label", F.col("item").alias("query"), F.col("iv").alias("qv")), v, "label", 11, 0.0)
+    found = found.where("query <> item")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    found = found.withColumn("rank", F.row_number().over(w)).where("rank <= 10").withColumn("best", F.max("score").over(Window.partitionBy("query")))
+    return found.where("score >= 0.6 * best").select("query", "item", "rank", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT a.label, a.vec_id AS first, b.vec_id AS second, {COS.format(a='a.embedding', b='b.embedding')} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+  SELECT label, first, second, round(score, 9) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, first, second) <= 12""")
+def near_paraphrases(spark, d):
+    return vectors.forward_pairs(_vectors(spark, d), "label", 0.3, 12).withColumn("score", F.round("score", 9))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+  r AS (SELECT user_id, i, value AS s FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, 0.3 * o.value + 0.7 * r.s FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+  SELECT user_id, CAST(max(i) AS INT) AS n, arg_max(s, i) AS smoothed FROM r GROUP BY user_id""")
+def smoothed_usage(spark, d):
+    return timestate.smoothed(table(spark, d, "events"), "user_id", "ts", "value", "event_id")
+
+
+@query("""SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def hourly_events(spark, d):
+    return timestate.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _ticks(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select((F.col("user_id") % 50).alias("series"), F.col("event_id").alias("tick"), (F.pmod(v, F.lit(100.0)) / 100).alias("kv"), F.pmod(F.col("event_id"), F.lit(17)).cast("int").alias("waiting"), F.pmod(F.col("event_id") * 3, F.lit(40)).cast("int").alias("running"), F.lit(100).alias("in_flight"), F.when(F.col("event_id") % 41 == 0, 1).otherwise(0).alias("preempted"))
+
+
+@query()
+def capacity_controller(spark, d):
+    return timestate.capped(_ticks(spark, d).where("kv IS NOT NULL"))
+
+
+@query()
+def rate_limits(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 50).alias("series"), F.col("event_id").alias("tick"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    return timestate.token_bucket(e.select("series", "tick", (F.col("us") / 1e6).alias("seconds")), 3, 60.0)
+
+
+@query()
+def fuzzy_part_matches(spark, d):
+    p = table(spark, d, "part")
+    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    sim = matching.title_similarity(S.normalize_title(F.col("a.p_name")), S.normalize_title(F.col("b.p_name")))
+    scored = pairs.select(F.col("a.p_partkey").alias("key"), F.col("b.p_partkey").alias("ord"), sim.alias("title_sim"), F.lit(None).cast("double").alias("author_sim"), F.col("a.p_size").alias("year"), F.col("b.p_size").alias("cand_year"), F.lit(None).cast("double").alias("venue_sim"))
+    return matching.best_candidate(scored, 0.4)
+
+
+@query("""SELECT o_orderkey AS paper, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS errors, CAST(count(l_orderkey) AS BIGINT) AS findings FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def findings_report(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.count_if(F.col("l_returnflag") == "R").alias("errors"), F.count("*").alias("findings"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("paper")).join(li, "paper", "left").select("paper", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("findings", F.lit(0)).alias("findings"))
