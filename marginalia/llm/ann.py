@@ -101,6 +101,10 @@ def best(query_ids, q, ids, x, k: int, allowed: np.ndarray | None = None) -> pd.
     return pd.DataFrame({"query_id": query_ids[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]})
 
 
+def _found(rows: list, bundle: int) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series([q for q, _ in rows], dtype="int64"), "best": pd.Series([b for _, b in rows], dtype=object), "bundle": pd.Series([bundle] * len(rows), dtype="int64")})
+
+
 _BEST = "query_id long, vec_id long, score double"
 
 
@@ -177,7 +181,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def rerank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """left: members of one slot; right: queries with the buckets they visit there."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "best": [], "bundle": []})
+            return _found([], 0)
         names = {b: i for i, b in enumerate(dict.fromkeys(zip(left["tab"], left["bucket"])))}
         own = np.array([names[b] for b in zip(left["tab"], left["bucket"])])
         ids, first = np.unique(left["id"].to_numpy(), return_index=True)
@@ -193,7 +197,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             got = best(part["id"].to_numpy(), np.stack(part["v"].to_numpy()), ids, x, k, (want @ member) > 0)
             for q, rows_of in got.groupby("query_id").indices.items():
                 out.append((q, [{"far": -s, "vec_id": i} for s, i in zip(got["score"].to_numpy()[rows_of], got["vec_id"].to_numpy()[rows_of])]))
-        return pd.DataFrame(out, columns=["query_id", "best"]).assign(bundle=int(key[0]) // 64)
+        return _found(out, int(key[0]) // 64)
 
     # a slot gives a query one row; those of 64 slots are merged before all
     found = members.groupBy("slot").cogroup(visits.groupBy("slot")).applyInPandas(rerank, "query_id long, best array<struct<far:double,vec_id:long>>, bundle long")
