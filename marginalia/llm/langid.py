@@ -64,7 +64,8 @@ def text_counts(rows: DataFrame) -> DataFrame:
                     own += np.bincount(trigram_slots(raw), minlength=SLOTS)
         for lang, own in total.items():
             at = np.flatnonzero(own)
-            yield pd.DataFrame({"declared": [lang] * len(at), "slot": at, "n": own[at]})
+            if len(at):
+                yield pd.DataFrame({"declared": [lang] * len(at), "slot": at, "n": own[at]})
 
     return (rows.where("declared IS NOT NULL").select("declared", "text").mapInPandas(count, "declared string, slot long, n long")
             .groupBy("declared", "slot").agg(F.sum("n").alias("n")))
