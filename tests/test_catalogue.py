@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from marginalia.plans import findings  # noqa: F401  adds to the catalogue
 from marginalia.plans.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
