@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +45,22 @@ def unification(claims: DataFrame) -> DataFrame:
 
     Clusters are components of the co-citation graph; a bridge is a reference
     without which there would be more of them. One paper's references are one
-    group, whose size doesn't grow with the corpus.
+    row, whose size doesn't grow with the corpus.
     """
-    def per_paper(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = {k: set() for k in pdf["key"]}
-        for _, own in pdf.groupby("bucket")["key"]:
-            own = set(own)
-            for k in own:
-                links[k] |= own - {k}
-        nodes = set(links)
-        clusters = _components(nodes, links)
-        bridges = sum(_components(nodes - {k}, links) > clusters for k in nodes if links[k])
-        score = 0.0 if len(nodes) < 2 or clusters <= 1 else min(1.0, 1 - 1 / clusters + min(0.2, 0.05 * bridges))
-        return pd.DataFrame({"paper": pdf["paper"].iloc[:1], "refs": [len(nodes)], "clusters": [clusters], "bridges": [bridges], "score": [score]})
-
-    return members(claims).groupBy("paper").applyInPandas(per_paper, "paper long, refs long, clusters long, bridges long, score double")
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for paper, buckets in zip(pdf["paper"], pdf["buckets"]):
+                links: dict[str, set] = {}
+                for own in buckets:
+                    for k in own:
+                        links.setdefault(k, set()).update(x for x in own if x != k)
+                nodes = set(links)
+                clusters = _components(nodes, links)
+                bridges = sum(_components(nodes - {k}, links) > clusters for k in nodes if links[k])
+                score = 0.0 if len(nodes) < 2 or clusters <= 1 else min(1.0, 1 - 1 / clusters + min(0.2, 0.05 * bridges))
+                out.append((paper, len(nodes), clusters, bridges, score))
+            yield pd.DataFrame(out, columns=["paper", "refs", "clusters", "bridges", "score"])
+
+    buckets = members(claims).groupBy("paper", "bucket").agg(F.collect_list("key").alias("keys"))
+    return buckets.groupBy("paper").agg(F.collect_list("keys").alias("buckets")).mapInPandas(measure, "paper long, refs long, clusters long, bridges long, score double")
