@@ -46,6 +46,41 @@ def fuzzy_partial(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pairwise(partial_ratio), "double")(a, b)
 
 
+def name_variants(name: str) -> list[str]:
+    """Ways to write a name: given names whole or as initials, middle names there or not, family name last or first. At most three middle names vary; variants of initials alone are left out."""
+    name = " ".join(name.lower().replace(".", " ").split())
+    if "," in name:
+        family, given = (x.strip() for x in name.split(",", 1))
+        parts = [*given.split(), family]
+    else:
+        parts = name.split()
+    if len(parts) < 2:
+        return parts
+    *given, family = parts
+    first = {given[0], given[0][0]}
+    middles = [""]
+    for m in given[1:4]:
+        middles = [f"{a} {b}".strip() for a in middles for b in ("", m, m[0])]
+    made = {" ".join(x.split()) for f in first for m in middles for x in (f"{f} {m} {family}", f"{family} {f} {m}")}
+    return sorted(v for v in made if any(len(w) > 1 for w in v.split()))
+
+
+def author_overlap(query: list[str], candidate: list[str]) -> float:
+    """The mean, over the query's authors, of the best ratio of any variants; 0 without authors. Not symmetric."""
+    if not query or not candidate:
+        return 0.0
+    theirs = [v for c in candidate for v in name_variants(c)]
+    return sum(max((indel_ratio(a, b) for a in name_variants(q) for b in theirs), default=0.0) for q in query) / len(query)
+
+
+def author_similarity(a: Column, b: Column) -> Column:
+    """``author_overlap`` of two arrays of names."""
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([author_overlap(list(p) if p is not None else [], list(q) if q is not None else []) for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(score, "double")(a, b)
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """The best ratio of whole titles and what stands before a colon; 0 if either is empty."""
     heads = [(x, y) for x in (a, F.trim(F.substring_index(a, ":", 1))) for y in (b, F.trim(F.substring_index(b, ":", 1)))]

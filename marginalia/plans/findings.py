@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import findings
-from marginalia.plans.catalogue import CLAIMS, claims, query, table
+from marginalia.functions import latex
+from marginalia.operators import extract, findings
+from marginalia.plans.catalogue import CLAIMS, LINE, claims, manuscripts, query, table
 
 
 @query("""SELECT event_id AS key, CASE event_type WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS level, 'retracted-cite' AS rule FROM events WHERE event_type IN ('purchase', 'click', 'view')""")
@@ -113,3 +114,18 @@ def fresh_states(spark, d):
     e = table(spark, d, "events")
     now = e.agg(F.max("ts").alias("now"))
     return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("last")).crossJoin(F.broadcast(now)).select("user_id", "state", (F.col("last") >= F.col("now") - F.expr("INTERVAL 30 DAY")).alias("fresh"))
+
+
+@query(f"""SELECT l_orderkey AS paper, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {LINE}) AS INT) AS line,
+  'We follow [CITE] and Figure fig:' || l_linenumber || '.' || CASE WHEN l_quantity > 25 THEN ' fig:' || l_linenumber ELSE '' END || CASE WHEN l_tax > 0.05 THEN ' [CITE]' ELSE '' END AS text FROM lineitem""")
+def cleaned_manuscripts(spark, d):
+    return extract.lines(manuscripts(spark, d)).select("paper", "line", latex.clean_latex(F.col("content")).alias("text"))
+
+
+@query("""SELECT doc_id, md5(string_agg('## Section ' || i || chr(10) || chr(10) || line, chr(10) || chr(10) ORDER BY i)) AS markdown FROM (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
+def markdown_documents(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    section = F.concat(F.lit("## Section "), F.col("i") + 1, F.lit("\n\n"), F.col("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", section.alias("s")))), lambda x: x["s"])
+    return parts.groupBy("doc_id").agg(F.md5(F.array_join(ordered, "\n\n")).alias("markdown"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import latex
 from marginalia.functions import scalars as S
 from marginalia.operators import components, extract, graph, matching, resolve, scoring
 from marginalia.sources import readers
@@ -147,3 +148,22 @@ def test_stream_smoothing(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("smooth"), "user_id", "n", F.round("smoothed", 6)) == [(1, 2, 1.3), (2, 1, 5.0)]
+
+
+def test_latex(spark):
+    def one(text, f):
+        return docs(spark, text).select(f(F.col("text"))).first()[0]
+
+    assert one("a 5\\% % gone\nb", latex.strip_comments) == "a 5\\% \nb"
+    assert one("a\n\\begin{verbatim}\n\\cite{x}\n\\end{verbatim}\nb", latex.strip_verbatim) == "a\n\n\n\nb"
+    assert one("x \\begin{table}..\n\\end{table} y", latex.prose) == "x  y"
+    assert one("\\emph{One}~\\cite{a, b} two\\footnote{no} \\section{Three}\\\\ four", lambda c: latex.clean_latex(c, "b")) == "One [TARGET_CITE] two Three four"
+    assert one("See https://x.org \\textbf{two words}", latex.word_count) == 3
+
+
+def test_authors(spark):
+    assert matching.author_overlap(["J. R. Smith"], ["Smith, John"]) == 1.0
+    assert matching.author_overlap([], ["A B"]) == 0.0
+    assert matching.author_overlap(["Ann Lee"], ["Ann Lee", "Bo Chan"]) > matching.author_overlap(["Ann Lee", "Bo Chan"], ["Ann Lee"])
+    d = spark.createDataFrame([(["Ann Lee"], ["Lee Ann"]), (None, ["x"])], "a array<string>, b array<string>")
+    assert [r[0] for r in d.select(matching.author_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
