@@ -163,7 +163,7 @@ def identify(rows: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", te
     n = len(langs)
     said = with_text_evidence(rows, langs, table)
     if markup is not None:
-        said = scratch.put(said, "texts").join(markup, "doc_id", "left").withColumns({
+        said = scratch.put(said, "texts").join(markup.hint("merge"), "doc_id", "left").withColumns({
             "declared": F.coalesce("page_lang", "declared"), "host": F.coalesce("page_host", "host"), "suffix": F.coalesce("page_suffix", "suffix")})
         said = said.drop("page_lang", "page_host", "page_suffix")
     said = scratch.put(said.withColumn("said", F.when(F.col("grams") > 0, _softmax(F.col("evidence"))))
