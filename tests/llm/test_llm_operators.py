@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import ann, decontaminate, encoding, langid, line_dedup, lm, packing, quality, secrets, simhash, simple8b
+from marginalia.llm import ann, decontaminate, encoding, langid, line_dedup, lm, near_copies, packing, quality, secrets, simhash, simple8b
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -268,6 +268,54 @@ def test_components_edges(spark):
     assert simhash.near_duplicate_components(docs.limit(0)).count() == 0
 
 
+# ---- near copies of the pipeline
+
+
+def plain_near_copies(rows):
+    """id -> least id of its group, by brute force."""
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := split(t)) else set() for i, t in rows}
+    comp, changed = {i: i for i in sets}, True
+    links = [(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            if comp[i] != comp[j]:
+                comp[i] = comp[j] = min(comp[i], comp[j])
+                changed = True
+    return comp
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    rows, shared = [(0, None), (1, ""), (2, "a b c"), (3, "A b  c"), (4, "a b d"), (5, "one two three four five six")], word(40)
+    for base in range(12):  # near copies of every distance, a crowded group of them, and a passage that many share
+        text = word(60 + 30 * base)
+        for _ in range(90 if base == 5 else 8):
+            copy = list(text)
+            for at in rng.choice(len(copy), rng.integers(0, 1 + len(copy) // 40), replace=False):
+                copy[at] = "x" + copy[at]
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + k, " ".join(word(8) + shared + word(int(rng.integers(1, 8))))) for k in range(40)]
+    order = rng.permutation(len(rows))
+    rows = [(int(order[i]), t) for i, t in rows]
+    docs = make(spark, rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_components(docs).collect()}
+    want = plain_near_copies(rows)
+    assert got == want and 20 < len(set(want.values())) < len(rows) - 60
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()} == set(want.values())
+
+
+def test_near_copies_edges(spark):
+    docs = make(spark, [(4, "same text"), (2, "same text"), (9, None), (7, ""), (None, "same text"), (2, "same text"), (11, "quite another text of words")]).withColumn("held", F.lit("x"))
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_copies.near_copy_components(docs).collect())
+    assert got == Counter([(4, 2), (2, 2), (2, 2), (None, 2), (9, 7), (7, 7), (11, 11)])
+    assert near_copies.near_copy_components(docs.limit(0)).count() == 0
+
+
 # ---- 8: packing
 
 
