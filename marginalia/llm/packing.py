@@ -6,7 +6,8 @@ its emptiest bins are moved to fuller ones, or exchanged one for one, two for
 one or one for two, wherever that makes the fuller bin fuller. Each such step
 increases the sum of squared fills, and the emptiest bins run empty. What
 groups leave in underfull bins is packed again in fewer groups, until one
-group has had all that is left.
+group has had all that is left or a round closes little of what it was given:
+then the rest doesn't fill bins in any groups, and that round's bins stay.
 """
 
 from __future__ import annotations
@@ -149,10 +150,11 @@ def _pack_group(room: int, number: int):
     return pack
 
 
-def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, group_bins: int = 1000, closed: float = 0.995, again: bool = True) -> DataFrame:
+def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, group_bins: int = 1000, closed: float = 0.995, again: bool = True, least: float = 1 / 16) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, start, length, ids_crc32``.
 
     ``closed``: bins filled to this share are left as they are in later rounds.
+    ``least``: a round that closes bins of less than this share of its tokens is the last.
     Rows longer than ``max_tokens`` are an error; equal rows stay rows of their
     own; no rows give none.
     """
@@ -165,10 +167,11 @@ def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, group_bins: int = 1000,
         dealt = left.withColumn("grp", F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
         packed = scratch.put(dealt.groupBy("grp").applyInPandas(
             _pack_group(max_tokens, number), f"{schema}, grp long, sequence_id long, offset long, fill long"), "packed")
-        if groups == 1 or not again:
+        full = F.col("fill") >= closed * max_tokens
+        # a sequence id has 7 bits for the round
+        if groups == 1 or not again or number == 127 or (packed.where(full).agg(F.sum("length")).first()[0] or 0) < least * tokens:
             done.append(packed)
             break
-        full = F.col("fill") >= closed * max_tokens
         done.append(packed.where(full))
         left, number = packed.where(~full).select(*rows.columns), number + 1
     out = done[0]

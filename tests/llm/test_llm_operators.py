@@ -345,6 +345,20 @@ def test_packing_in_groups(spark):
     assert many["sequence_id"].nunique() <= one["sequence_id"].nunique() * 1.05 + 1
 
 
+def test_packing_ends_where_nothing_fits(spark, monkeypatch):
+    rounds, put = [], packing.Scratch.put
+
+    def counted(self, df, name, *a):
+        rounds.append(name)
+        assert rounds.count("packed") <= 5
+        return put(self, df, name, *a)
+
+    monkeypatch.setattr(packing.Scratch, "put", counted)
+    rows = spark.range(2100).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(3000).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    got = packing.pack(rows, group_bins=50).toPandas()
+    assert sorted(got["doc_id"]) == list(range(2100)) and got["sequence_id"].nunique() == 2100 and (got["offset"] == 0).all()
+
+
 # ---- 9: line dedup
 
 
