@@ -11,11 +11,14 @@ import itertools
 import os
 import re
 from array import array
+from collections import defaultdict
 
 import numpy as np
 
 #: Line feed, printable ASCII, and Latin letters and signs that normal forms leave alone: no other blanks, no combining marks.
 _OTHER = re.compile("[^\n\x20-\x7e¡-įı-ɏ]")
+#: Those of them that are letters.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and not _OTHER.search(c))
 _BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
 _BLANK_RUN = re.compile(r"[ \n][ \n]")
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest in order from U+0100. NUL, in no word, comes first.
@@ -24,13 +27,6 @@ _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b
 _DELIMITER = _BYTE_CHARS[0]
 
 
-class _Pieces(dict):
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
-
-
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1 and so on, n[0] of them, then those from begin[1]."""
     upto = np.cumsum(n)
@@ -61,6 +57,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.style, self.keep, self.keep_chars = style, keep, keep_chars
+        # a word of letters, with a blank before it for style "space", and maybe a mark after it
+        self._plain = re.compile(f"{' ?' if style == 'space' else ''}[{_LETTERS}]+[.,]?").fullmatch
         # words of letters are cut no further: they go to the tokenizer's model many at a time, without its normaliser and splitter
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = Split(_DELIMITER, "isolated")
@@ -72,15 +70,23 @@ class Encoder:
             self._together = self._one_by_one
 
     def _start(self, pieces: list[str]) -> None:
-        self.pieces, self.ids, self.ends, self.uses = _Pieces(), _Growing(np.uint32), _Growing(np.int64), np.zeros(0, np.int64)
-        self.pieces.new, self.chars = [], 0
+        self.pieces = defaultdict(itertools.count().__next__)
+        self.ids, self.ends, self.uses = _Growing(np.uint32), _Growing(np.int64), np.zeros(0, np.int64)
+        self.met, self.n_met, self.chars = [], 0, 0
         self.ends.add([0])
         for p in pieces:
             self.pieces[p]
         self._add()
 
+    def _count(self) -> None:
+        """Add what was met since the last count to ``uses``."""
+        uses = np.bincount(np.concatenate(self.met), minlength=len(self.pieces)) if self.met else np.zeros(len(self.pieces), np.int64)
+        uses[: len(self.uses)] += self.uses
+        self.uses, self.met, self.n_met = uses, [], 0
+
     def _renew(self) -> None:
         """Keep the pieces that were met most, a quarter at most."""
+        self._count()
         names = list(self.pieces)
         often = np.argsort(-self.uses[: len(names)], kind="stable")[: self.keep // 4]
         self._start([names[i] for i in np.sort(often) if self.uses[i] > 2 and len(names[i]) < 64])
@@ -91,42 +97,35 @@ class Encoder:
         return np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
 
     def _together(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces that ``_plain`` accepts: letters, a blank before them for style "space", and a mark after them, which is a cut of its own."""
-        words, owner = [], []
-        for i, p in enumerate(some):
-            if p[-1] in ".,":
-                words += (p[:-1], p[-1])
-                owner += (i, i)
-            else:
-                words.append(p)
-                owner.append(i)
-        joined = "\0".join(words)
+        """Pieces that ``_plain`` accepts; a mark at the end is a cut of its own."""
+        joined = "\0".join(some).replace(".", "\0.").replace(",", "\0,")
         if self.style == "split":
             joined = joined.lower()
-        (e,) = self.bare.encode_batch_fast([joined.encode().decode("latin-1").translate(_BYTE_CHARS)], add_special_tokens=False)
+        if joined.isascii():
+            joined = joined.replace(" ", _BYTE_CHARS[32]).replace("\0", _DELIMITER)
+        else:
+            joined = joined.encode().decode("latin-1").translate(_BYTE_CHARS)
+        (e,) = self.bare.encode_batch_fast([joined], add_special_tokens=False)
         ids = np.array(e.ids, np.uint32)
         cuts = np.flatnonzero(ids == self.delimiter[0])
         n = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-        return np.delete(ids, cuts), np.bincount(owner, n, len(some)).astype(np.int64)
-
-    def _plain(self, p: str) -> bool:
-        if _OTHER.search(p):
-            return False
-        word = p[:-1] if p[-1:] in (".", ",") else p
-        return word.isalpha() or (self.style == "space" and word[:1] == " " and word[1:].isalpha())
+        parts = np.fromiter((2 if p[-1] in ".," else 1 for p in some), np.int64, len(some))
+        return np.delete(ids, cuts), np.add.reduceat(n, np.cumsum(parts) - parts)
 
     def _add(self) -> None:
-        new = self.pieces.new
+        """Encode the pieces that were named since the last time."""
+        n_new = len(self.pieces) - (self.ends.n - 1)
+        new = list(itertools.islice(reversed(self.pieces), n_new))[::-1]
         self.chars += sum(map(len, new))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            plain = np.fromiter(map(self._plain, some), bool, len(some))
-            made = [f([some[i] for i in np.flatnonzero(k)]) for f, k in ((self._together, plain), (self._one_by_one, ~plain)) if k.any()]
-            ids, n = (np.concatenate(x) for x in zip(*made))
-            order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+            plain = np.fromiter((self._plain(p) is not None for p in some), bool, len(some))
+            ascii_ = np.fromiter(map(str.isascii, some), bool, len(some))
+            kinds = [(f, np.flatnonzero(k)) for f, k in ((self._together, plain & ascii_), (self._together, plain & ~ascii_), (self._one_by_one, ~plain)) if k.any()]
+            ids, n = (np.concatenate(x) for x in zip(*(f([some[i] for i in k]) for f, k in kinds)))
+            order = np.argsort(np.concatenate([k for _, k in kinds]))
             self.ids.add(ids[_spread((np.cumsum(n) - n)[order], n[order])])
             self.ends.add(self.ends.data[self.ends.n - 1] + np.cumsum(n[order]))
-        new.clear()
 
     def _cut(self, text: str) -> list[str]:
         if _OTHER.search(text):
@@ -148,9 +147,10 @@ class Encoder:
             sizes.append(len(own))
         self._add()
         seen = np.frombuffer(seen, np.int64) if len(seen) else np.zeros(0, np.int64)
-        uses = np.bincount(seen, minlength=len(pieces))
-        uses[: len(self.uses)] += self.uses
-        self.uses = uses
+        self.met.append(seen)
+        self.n_met += len(seen)
+        if self.n_met > 4_000_000:
+            self._count()
         ids, ends = self.ids.data, self.ends.data
         begin = ends[seen]
         n = ends[seen + 1] - begin

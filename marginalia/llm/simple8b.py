@@ -8,7 +8,7 @@ a block is decoded alone and all words of one selector at once.
 A shard, all little-endian: ``S8B1``, uint32 block size, uint64 documents,
 uint64 ids, uint64 blocks; then int64 doc_id and uint64 number of ids for each
 document, uint64 first word for each block and one past the last, and the
-words.
+words. A doc_id of -2**63 stands for a document without one.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ BLOCK = 1024
 #: Ids in a word and bits of each, by selector; 0 is the escape.
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _WIDTH = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
+NO_ID = -(1 << 63)
 _MAGIC, _HEAD = b"S8B1", struct.Struct("<4sIQQQ")
 
 
@@ -162,11 +163,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, style: str =
                        id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 19) -> None:
     """Encode whole texts in ascending id order into a table of shards ``(part, seq, part_start, n_docs, n_ids, shard)``.
 
-    Documents are dealt by ranges of their id and sorted; a shard takes whole
+    Documents are dealt by ranges of their id and the beginning of their text,
+    so that one id with many rows is split, and sorted; a shard takes whole
     documents until it has ``shard_ids`` ids. The table is Parquet, so only
     whole parts are ever committed. Null texts are empty; ``end_id`` follows
     each document. Rows that share an id are ordered by their text and stay
-    rows of their own; rows without an id are an error.
+    rows of their own; rows without an id come first and keep a null id. Other
+    columns are not carried; an empty table gives a table without shards.
     """
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode_texts, part = encoding.encoder(tokenizer, style), TaskContext.get().partitionId()
@@ -191,16 +194,14 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, style: str =
         if held:
             yield close()
 
-    rows = docs.select(
-        F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a document has no id"))).otherwise(F.col(id_col)).cast("long").alias("doc_id"),
-        whole(F.col(text_col)).alias("text"))
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole(F.col(text_col)).alias("text"))
+    (rows.withColumn("begin", F.substring("text", 1, 32)).repartitionByRange("doc_id", "begin").sortWithinPartitions("doc_id", "text").drop("begin")
      .mapInPandas(shards, "part int, seq int, part_start long, n_docs long, n_ids long, shard binary")
      .write.option("compression", "zstd").parquet(path))
 
 
 def read_token_shards(spark, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of each document, decoded from the shards. start counts all ids before it."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of each document, decoded from the shards. start counts all ids before it. No shards give no rows."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part, part_start, data in zip(pdf["part"], pdf["part_start"], pdf["shard"]):
@@ -217,7 +218,7 @@ def read_token_shards(spark, path: str) -> DataFrame:
     return (
         shards.select("part", "part_start", "shard").mapInPandas(rows, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
         .join(F.broadcast(base), "part")
-        .select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
+        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
 def op2_simple8b(spark, sf_dir: str) -> DataFrame:
