@@ -1,11 +1,13 @@
-"""Benchmark decontamination with a broadcast set of n-grams, JVM-side throughout.
+"""Benchmark decontamination with broadcast sets of n-grams, JVM-side throughout.
 
 Every window of ``n`` item words covers one item position that is a multiple
 of ``n - 2``, with the three words from there on. So only those trigrams of an
-item are anchors. Documents stream their word trigrams past the anchors; a hit
-fixes how the item would lie over the document, and the at most ``n - 2``
-windows around the anchor are then compared word by word. Items shorter than
-``n`` are one window anchored at its start.
+item are anchors. A document is read once, in a row of its own: its trigrams
+are looked up in the set of anchors, and only the windows that lie around a
+hit, at most ``n - 2`` of them each, leave the row, as text. There they meet
+the distinct windows of all items word for word. Items are attached to windows
+last, so a passage that many items hold costs one row where it is found.
+Items shorter than ``n`` are one window anchored at its start.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from marginalia.llm.text import NOT_WORD, ascii_lower, whole
 from marginalia.scratch import Scratch
 
 N = 10
-#: Anchors (some 300 bytes each) that are broadcast at once; more of them take more passes over the documents.
-BROADCAST_ANCHORS = 100_000
+#: Anchors in a set; more of them take more passes over the documents. A pass broadcasts at most ``n - 2`` windows for each of its anchors.
+PASS_ANCHORS = 20_000
+#: Windows with their items are broadcast up to this number.
+BROADCAST_ITEMS = 200_000
 
 
 def raw_words(text: Column) -> Column:
@@ -27,64 +31,85 @@ def raw_words(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(whole(text)), NOT_WORD), lambda w: w != "")
+    return F.transform(raw_words(text), ascii_lower)
 
 
-def _gram(parts: list[Column]) -> Column:
-    return F.xxhash64(*[ascii_lower(p) for p in parts])
+def _gram(w: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(w, at + k) for k in range(size)])
 
 
-def item_anchors(bench: DataFrame, n: int) -> DataFrame:
-    """``(size, gram, item_id, at, low, near, m)``.
+def _window(w: Column, at: Column, length: Column | int) -> Column:
+    return F.array_join(F.slice(w, at + 1, length), " ")
 
-    size: the anchor's number of words, from item word ``at`` on. near: the
-    item's words that windows around the anchor can hold, from word ``low`` on.
-    m: the item's number of words.
-    """
-    w = F.col("words")
-    starts = F.when(F.size(w) < n, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(w) - 3, F.lit(n - 2)))
-    items = bench.where(F.size("words") > 0).select(
-        "item_id", "words", F.least(F.size(w), F.lit(3)).alias("size"), F.size(w).alias("m"), F.explode(starts).alias("at"))
-    part = [F.get("words", F.col("at") + k) for k in (0, 1, 2)]
-    gram = F.when(F.col("size") == 1, F.xxhash64(part[0])).when(F.col("size") == 2, F.xxhash64(*part[:2])).otherwise(F.xxhash64(*part))
-    low = F.greatest(F.col("at") - (n - 3), F.lit(0))
-    return items.select("size", gram.alias("gram"), "item_id", "at", low.alias("low"), F.slice("words", low + 1, F.lit(2 * n - 3)).alias("near"), "m")
 
+def item_windows(bench: DataFrame, n: int = N) -> DataFrame:
+    """``(item_id, length, text, gram)``, distinct, from ``(item_id, words)``: every window of an item and the hash of its anchor."""
+    w, m = F.col("words"), F.size("words")
+    rows = bench.where(m > 0).select("item_id", "words", F.least(m, F.lit(n)).alias("length"), F.explode(F.sequence(F.lit(0), F.greatest(m - n, F.lit(0)))).alias("at"))
+    # the least multiple of n - 2 from the window's start on; a short item's own start
+    anchor = F.when(F.col("length") < n, F.lit(0)).otherwise(F.ceil(F.col("at") / (n - 2)).cast("int") * (n - 2))
+    size = F.least(F.col("length"), F.lit(3))
+    gram = F.when(size == 1, _gram(w, anchor, 1)).when(size == 2, _gram(w, anchor, 2)).otherwise(_gram(w, anchor, 3))
+    return rows.select("item_id", "length", _window(w, F.col("at"), F.col("length")).alias("text"), gram.alias("gram")).distinct()
 
-def contamination_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       item_col: str = "item_id", item_text_col: str = "text", n: int = N) -> DataFrame:
-    """``(doc_id, text_hash, item_id, first, length)``: where a window of an item lies in a document, first from 0, verified word by word.
 
-    A document's words stay in its task: they pass the broadcast join by
-    reference and only rows that hit an anchor are copied.
-    """
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = bench.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words"))
-    anchors = scratch.put(item_anchors(items, n), "anchors")
-    sizes = {r["size"]: r["n"] for r in anchors.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
-    split = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("w"))
-    length = F.least(F.col("m"), F.lit(n))
-    shift = F.col("pos") - F.col("at")
-    agree = F.filter(
-        F.sequence(F.col("low"), F.least("at", F.col("m") - F.least(F.col("m"), F.lit(n)))),
-        lambda i: (shift + i >= 0) & (F.transform(F.slice("w", F.greatest(shift + i, F.lit(0)) + 1, length), ascii_lower)
-                                      == F.slice("near", i - F.col("low") + 1, length)))
+def _near(length: int, anchors: list[int], n: int) -> Column:
+    """``array<struct<first, length, window>>``: the windows of so many words of ``w`` that lie around an anchor, first from 0."""
+    size = min(length, 3)
+    gram = ", ".join(f"get(w, i + {k})" for k in range(size))
+    hit = f"filter(sequence(0, size(w) - {size}), i -> xxhash64({gram}) IN ({', '.join(f'{a}L' for a in anchors)}))"
+    if length == n:  # the anchor may be any of the window's first n - 2 words
+        around = f"sequence(greatest(p - {n - 3}, 0), least(p, size(w) - {n}))"
+        hit = f"array_distinct(flatten(transform(filter({hit}, p -> p - {n - 3} <= size(w) - {n}), p -> {around})))"
+    made = f"transform({hit}, p -> struct(p AS first, {length} AS length, array_join(slice(w, p + 1, {length}), ' ') AS window))"
+    return F.expr(f"CASE WHEN size(w) >= {length} THEN {made} ELSE CAST(array() AS array<struct<first:int,length:int,window:string>>) END")
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
+    """``(doc_id, text_hash, first, length, window)``: where windows of ``item_windows`` lie in documents, word for word. Rows may repeat."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), words(F.col(text_col)).alias("w"))
+    anchors = windows.select("length", "gram").distinct()
+    passes = -(-anchors.count() // PASS_ANCHORS)
     found = None
-    for size, count in sorted(sizes.items()):
-        rest = [F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}") for k in range(1, size)]
-        grams = (
-            split.where(F.size("w") >= size).select("doc_id", "text_hash", "w", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), *rest)).alias("pos", "g"))
-            .select("doc_id", "text_hash", "w", "pos", _gram([F.col(f"g.w{k}") for k in range(size)]).alias("gram")))
-        passes = -(-count // BROADCAST_ANCHORS)
-        for k in range(passes):
-            mine = anchors.where((F.col("size") == size) & (F.pmod("gram", F.lit(passes)) == k)).drop("size")
-            hit = grams.join(F.broadcast(mine), "gram").select("doc_id", "text_hash", "item_id", length.alias("length"), F.explode(agree).alias("i"), shift.alias("shift"))
-            hit = hit.select("doc_id", "text_hash", "item_id", (F.col("shift") + F.col("i")).alias("first"), "length")
-            found = hit if found is None else found.unionByName(hit)
+    for k in range(passes):
+        mine = F.pmod("gram", F.lit(passes)) == k
+        sets: dict[int, list[int]] = {}
+        for r in anchors.where(mine).collect():
+            sets.setdefault(r["length"], []).append(r["gram"])
+        if not sets:
+            continue
+        near = F.explode(F.concat(*[_near(length, grams, n) for length, grams in sorted(sets.items())])).alias("x")
+        of_pass = windows.where(mine).select(F.col("text").alias("window")).distinct()
+        hit = texts.select("doc_id", "text_hash", near).select("doc_id", "text_hash", "x.first", "x.length", "x.window").join(F.broadcast(of_pass), "window", "left_semi")
+        found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, first int, length int")
-    return found.distinct()
+        found = spark.createDataFrame([], "doc_id long, text_hash long, first int, length int, window string")
+    return found.select("doc_id", "text_hash", "first", "length", "window")
+
+
+def _with_items(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """hits with ``item_id``, a row for each item that holds the window."""
+    items = windows.select(F.col("text").alias("window"), "item_id").distinct()
+    return hits.join(F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items, "window")
+
+
+def _windows(docs: DataFrame, bench: DataFrame, item_col: str, item_text_col: str, n: int) -> DataFrame:
+    items = bench.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words"))
+    return Scratch(docs.sparkSession, "decontaminate").put(item_windows(items, n), "windows")
+
+
+def contamination_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       item_col: str = "item_id", item_text_col: str = "text", n: int = N) -> DataFrame:
+    """``(doc_id, text_hash, item_id, first, length)``: where a window of an item lies in a document, first from 0, verified word by word."""
+    windows = _windows(docs, bench, item_col, item_text_col, n)
+    return _with_items(window_hits(docs, windows, id_col, text_col, n), windows).select("doc_id", "text_hash", "item_id", "first", "length").distinct()
+
+
+def contaminated_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           item_col: str = "item_id", item_text_col: str = "text", n: int = N) -> DataFrame:
+    """``(doc_id, text_hash)`` of the documents with any hit."""
+    return window_hits(docs, _windows(docs, bench, item_col, item_text_col, n), id_col, text_col, n).select("doc_id", "text_hash").distinct()
 
 
 def decontamination_report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -92,22 +117,29 @@ def decontamination_report(docs: DataFrame, bench: DataFrame, id_col: str = "doc
     """Docs' own columns plus ``n_words, n_hit, n_items, items, contaminated``.
 
     Null and empty texts have no words. Rows that share id and text have the
-    same result; rows without an id are clean by definition. Items without
+    same result; rows without an id are judged like any other. Items without
     words match nothing; repeated items count by id. Hit positions are
-    counted once however many windows cover them. Columns named like the new
-    ones are replaced.
+    counted once however many windows cover them. No documents give none, no
+    items leave all clean. Columns named like the new ones are replaced. A
+    row holds its own text's hits alone, so texts of any length, and of one
+    word all through, take memory in proportion to their words.
     """
-    hits = contamination_hits(docs, bench, id_col, text_col, item_col, item_text_col, n)
-    hits = Scratch(docs.sparkSession, "decontaminate").put(hits, "hits")
-    covered = hits.select("doc_id", "text_hash", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("p"))
-    n_hit = covered.distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit"))
-    found = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    found = n_hit.join(found, ["doc_id", "text_hash"]).select(
-        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "n_hit", F.sort_array("items").alias("items"))
+    windows = _windows(docs, bench, item_col, item_text_col, n)
+    hits = Scratch(docs.sparkSession, "decontaminate").put(window_hits(docs, windows, id_col, text_col, n), "hits")
+    items = _with_items(hits, windows).select("doc_id", "text_hash", F.lit(None).cast("struct<first:int,length:int>").alias("at"), F.col("item_id").cast("string").alias("item")).distinct()
+    places = hits.select("doc_id", "text_hash", F.struct("first", "length").alias("at"), F.lit(None).cast("string").alias("item"))
+    found = places.unionByName(items).groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(
+        F.sort_array(F.collect_set("at")).alias("at"), F.sort_array(F.collect_set("item")).alias("items"))
+    # by ascending first word: what a window adds beyond the end of those before it
+    covered = F.aggregate(
+        "at", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda s, x: F.struct(F.greatest(s["end"], x["first"] + x["length"]).alias("end"),
+                              (s["n"] + F.greatest(x["first"] + x["length"] - F.greatest(s["end"], x["first"]), F.lit(0))).alias("n")), lambda s: s["n"])
+    found = found.select("__doc", "__hash", covered.cast("long").alias("n_hit"), "items")
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")]
     base = docs.select(*own, F.col(id_col).alias("__id"), F.xxhash64(whole(F.col(text_col))).alias("__th"),
                        F.size(raw_words(F.col(text_col))).cast("long").alias("n_words"))
-    return base.join(found, (F.col("__id") == F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left").select(
+    return base.join(found, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left").select(
         *own, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -125,7 +157,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "document", **n
     w = raw_words(F.col(text_col))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__hit")), lambda i: F.element_at(w, i + 1)), " ")
     out = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(whole(F.col(text_col)))})
-    out = out.join(spans, (F.col("__id") == F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
+    out = out.join(spans, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
     return out.select(*[F.when(F.col("__hit").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

@@ -36,10 +36,10 @@ def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
 
 
 def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that aren't in drop ``(doc_id, text_hash)``.
+    """Rows of docs that aren't in drop ``(doc_id, text_hash)``; a null id is a value like any other.
 
     Both sides are dealt by key whatever their size: drop grows with the input.
     """
     drop = drop.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
     kept = docs.withColumn("__th", F.xxhash64(whole(F.col(text_col))))
-    return kept.join(drop.hint("merge"), (F.col(id_col) == F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left_anti").select(*docs.columns)
+    return kept.join(drop.hint("merge"), F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left_anti").select(*docs.columns)

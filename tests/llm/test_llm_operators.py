@@ -174,7 +174,7 @@ def test_decontamination(spark):
     items = [(1, " ".join(words[:40])), (2, "Just four words here"), (3, ""), (4, None), (5, "solo"), (6, "two words"), (7, " ".join(words[:40])), (10, "x " * 25)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [(1, " ".join(words[3:13])), (2, " ".join(words[3:12])), (3, "JUST, four -words; here!"), (4, None), (5, ""), (6, "a solo b"), (7, "two words two words"), (8, "x " * 30), (9, " ".join(words[20:40] + ["q"] + words[:11]))]
-    texts += [(10, "É" + " ".join(words)), (1, "other text"), (11, "x " * 9), (12, "two; WORDS ~ solo")]
+    texts += [(None, " ".join(words[5:30])), (10, "É" + " ".join(words)), (1, "other text"), (11, "x " * 9), (12, "two; WORDS ~ solo")]
     docs = make(spark, texts).withColumn("items", F.lit("clash")).withColumn("pos", F.lit(1))
     got = decontaminate.decontamination_report(docs, bench).collect()
     assert len(got) == len(texts)
@@ -186,10 +186,17 @@ def test_decontamination(spark):
     assert spans[9]["text"] == "q" and decontaminate.decontaminate(docs, bench).where("doc_id = 8").count() == 0
 
 
+def test_decontamination_of_long_and_repetitive_texts(spark):
+    long, rows = " ".join(f"v{i}" for i in range(100_000)), [(1, "x " * 3000), (3, "x " * 9), (4, None)]
+    bench = spark.createDataFrame([(1, long), (2, "x " * 300), (3, "x " * 40)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontamination_report(make(spark, [*rows, (2, long)]), bench).collect()}
+    assert got == {1: (3000, 3000, ["2", "3"]), 2: (100_000, 100_000, ["1"]), 3: (9, 0, []), 4: (0, 0, [])}
+
+
 def test_decontamination_in_several_passes(spark, monkeypatch):
     docs, bench = documents(spark), spark.read.parquet(f"{DIR}/benchmark.parquet")
     one = sorted(tuple(r) for r in decontaminate.contamination_hits(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "BROADCAST_ANCHORS", 30)
+    monkeypatch.setattr(decontaminate, "PASS_ANCHORS", 30)
     assert one == sorted(tuple(r) for r in decontaminate.contamination_hits(docs, bench).collect())
 
 
