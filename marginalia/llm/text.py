@@ -32,7 +32,7 @@ def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * 2000 > n).select(key))
     by_value = small.join(hot, key, "left_semi")
     frequent = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(by_value), key, "left")
-    return frequent.unionByName(rows.join(hot, key, "left_anti").join(small, key, "left"))
+    return frequent.unionByName(rows.join(hot, key, "left_anti").join(small.hint("merge"), key, "left"))
 
 
 def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -243,8 +243,20 @@ def test_fingerprints(spark):
     assert got == {i: plain_print(t) for i, t in texts}
 
 
-@pytest.mark.parametrize("limit", [64, 2])
-def test_links_equal_all_pairs(spark, limit):
+def linked(nodes, bits=2):
+    """Position of the least linked fingerprint, over links of all pairs."""
+    root, changed = list(range(len(nodes))), True
+    links = [(i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes) if i != j and (a ^ b).bit_count() <= bits]
+    while changed:
+        changed = False
+        for i, j in links:
+            if root[j] < root[i]:
+                root[i], changed = root[j], True
+    return root
+
+
+@pytest.mark.parametrize("limit,least", [(64, simhash.LEAST_VARIANCE), (2, simhash.LEAST_VARIANCE), (2, 0.0), (3, 99.0)])
+def test_links_equal_all_pairs(spark, limit, least):
     rng = np.random.default_rng(2)
     base = [int(v) for v in rng.integers(0, 2**63, 30)]
     prints = set(base)
@@ -252,22 +264,22 @@ def test_links_equal_all_pairs(spark, limit):
         for _ in range(12):
             b ^= int(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), replace=False)))
             prints.add(b)
+    crowded = [int(v) << 22 for v in rng.integers(0, 2**41, 150)]  # one bucket of unlike fingerprints
+    prints |= {c ^ x for c in crowded for x in (0, *([1 << 40, 3 << 30] if c % 3 == 0 else []))}
     nodes = sorted(prints)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)), i) for i, p in enumerate(nodes)], "fp long, node long")
     from marginalia.operators.components import connected_components
 
-    got = {r["node"]: r["component"] for r in connected_components(simhash.linked_pairs(df, bucket_limit=limit)).collect()}
-    root = list(range(len(nodes)))
-    changed = True
-    while changed:
-        changed = False
-        for i, a in enumerate(nodes):
-            for j, b in enumerate(nodes):
-                if (a ^ b).bit_count() <= 2 and root[j] < root[i]:
-                    root[i], changed = root[j], True
+    got = {r["node"]: r["component"] for r in connected_components(simhash.linked_pairs(df, bucket_limit=limit, least_variance=least)).collect()}
+    root = linked(nodes)
     assert all(got.get(i, i) == r for i, r in enumerate(root)) and len(set(root)) < len(root)
 
 
+def test_repeated_ids_are_one_component(spark):
+    docs = make(spark, [(3, "alpha beta gamma"), (5, "alpha beta gamma"), (5, "quite another text"), (9, "quite another text"), (11, "neither of both")])
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_components(docs).collect()) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+
+
 def test_components_edges(spark):
     docs = make(spark, [(4, "same text"), (2, "same text"), (9, None), (7, ""), (None, "same text"), (2, "same text"), (11, "quite another text of words")]).withColumn("fp", F.lit("x"))
     got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_components(docs).collect())
