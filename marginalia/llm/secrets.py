@@ -4,10 +4,10 @@ Credentials that the patterns catch are labelled examples. For each kind their
 prefix tree, over classes of characters, is reduced to a probabilistic
 automaton: states are merged whose outgoing frequencies, and those of all
 states reached by the same suffixes, are compatible by Hoeffding's bound.
-Every other candidate of a text, a run of token characters with letters and
-digits, is scored by the mean log-likelihood of its characters under each
-automaton against that of common candidates, and added as ``format`` where it
-scores like the examples do.
+Every other candidate of a text, a run of 8 and more token characters or what
+follows an equals sign in it, is scored by its log-likelihood under each
+automaton and its length's, against that of common candidates, and added as
+``format`` where it scores like the examples do.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.text import whole
@@ -28,49 +28,50 @@ from marginalia.scratch import Scratch
 KINDS = ("assign", "access", "hex")
 
 
-def _either_case(word: str) -> str:
-    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
-
-
 # fixed values: the base patterns
-_ASSIGN = re.compile(
-    "(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
-    + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_TAIL = re.compile(r"[^=]{8,}=*$")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """``(kind, start, end)`` in code points, by start and then kind; of an assignment, the value."""
+def base_spans(text: str) -> list[tuple[str, int, int, str]]:
+    """``(kind, start, end, value)`` in code points, by start and then kind; the value of an assignment is what is assigned."""
     found = []
     low = text.lower()
     if any(k in low for k in _KEYWORDS):
-        found += [("assign", *m.span(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        found += [("assign", *m.span(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     for run in _RUN.finditer(text):  # both other kinds lie within runs of 16 token characters
         at, s = run.start(), run.group()
         if "AKIA" in s:
-            found += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(s) if m.end() - m.start() >= 16]
+            found += [("access", at + m.start(), at + m.end(), m[0]) for m in _ACCESS.finditer(s) if m.end() - m.start() >= 16]
         if len(s) >= 32:
-            found += [("hex", at + m.start(), at + m.end()) for m in _HEX.finditer(s) if m.end() - m.start() >= 32]
+            found += [("hex", at + m.start(), at + m.end(), m[0]) for m in _HEX.finditer(s) if m.end() - m.start() >= 32]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 token characters and more, with a letter and a digit, that touch no base span."""
-    out = []
-    for run in _RUN.finditer(text):
-        s = run.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < run.end() and run.start() < b for _, a, b in taken):
-            out.append(run.span())
-    return out
+def candidates(text: str, taken: list[tuple]) -> Iterator[tuple[int, int, str]]:
+    """Runs of 8 token characters and more that touch no base span, and of each what follows an equals sign inside it."""
+    for run in _CANDIDATE.finditer(text):
+        a, b = run.span()
+        if taken and any(x[1] < b and a < x[2] for x in taken):
+            continue
+        yield a, b, run[0]
+        if "=" in run[0] and (tail := _TAIL.search(run[0])) and tail.start():
+            yield a + tail.start(), b, tail[0]
 
 
 def char_class(c: str) -> str:
     return "d" if "0" <= c <= "9" else "a" if "a" <= c <= "f" else "z" if "g" <= c <= "z" else "A" if "A" <= c <= "F" else "Z" if "G" <= c <= "Z" else c
 
 
+#: All classes of token characters.
+CLASSES = [*"dazAZ+/_.=-"]
+
+
 class Automaton:
     """A deterministic probabilistic automaton, from a prefix tree by merging compatible states."""
 
@@ -91,8 +92,6 @@ class Automaton:
             self.n[s][""] += 1
         self._merge_all()
         self.total = [sum(n.values()) for n in self.n]
-        self.least = min(map(len, examples), default=0)
-        self.most = max(map(len, examples), default=0)
 
     def _compatible(self, a: int, b: int) -> bool:
         todo = [(a, b)]
@@ -138,7 +137,7 @@ class Automaton:
         self.states = red
 
     def score(self, token: str) -> float:
-        """Mean natural log-likelihood of a character; steps never seen count as half a use among all."""
+        """Natural log-likelihood of the characters; steps never seen count as half a use among all."""
         s, total = 0, 0.0
         for c in token:
             k = char_class(c)
@@ -148,82 +147,126 @@ class Automaton:
                 continue
             total += math.log(self.n[s][k] / (self.total[s] + 1))
             s = self.out[s][k]
-        return total / max(1, len(token))
+        return total
 
 
 class Formats:
-    """An automaton for each kind and the least score of its examples, and how usual each character class is."""
-
-    def __init__(self, examples: dict[str, list[str]], usual: dict[str, int], share: float = 0.02):
-        self.automata = {k: Automaton(v) for k, v in sorted(examples.items()) if v}
-        self.floor = {}
-        for k, a in self.automata.items():
-            scores = sorted(a.score(e) for e in examples[k])
-            self.floor[k] = scores[int(share * (len(scores) - 1))]
-        total = sum(usual.values()) + 80
-        self.usual = {c: math.log((usual.get(c, 0) + 1) / total) for c in [*usual, "d", "a", "z", "A", "Z", *"+/_.=-"]}
-
-    def accepts(self, token: str) -> bool:
-        usual = sum(self.usual[char_class(c)] for c in token) / len(token)
-        return any(a.least <= len(token) <= 2 * a.most and (s := a.score(token)) >= self.floor[k] and s > usual for k, a in self.automata.items())
-
-
-_FOUND = "array<struct<kind:string,first:int,past:int,value:string>>"
+    """For each kind an automaton, its examples' lengths and the least score of most of them; and how usual classes and lengths are.
 
+    A score is a log-likelihood ratio: characters by the automaton and length
+    by the examples, against usual candidates. ``usual`` counts characters by
+    class, ``lengths`` candidates by length.
+    """
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, base, other)``: base spans and the candidates beside them, with their strings."""
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, examples: dict[str, list[str]], usual: dict[str, int], lengths: dict[int, int], share: float = 0.02):
+        total, n = sum(usual.values()) + 80, sum(lengths.values()) + 80
+        self.usual = {c: math.log((usual.get(c, 0) + 1) / total) for c in CLASSES}
+        self.lengths = {k: math.log((v + 1) / n) for k, v in lengths.items()}
+        self.unseen = math.log(1 / n)
+        self.automata, self.own, self.floor = {}, {}, {}
+        for k, v in sorted(examples.items()):
+            if v:
+                self.automata[k], seen = Automaton(v), Counter(map(len, v))
+                self.own[k] = ({i: math.log((c + 0.5) / (len(v) + 1)) for i, c in seen.items()}, math.log(0.5 / (len(v) + 1)))
+                scores = sorted(self.score(k, e) for e in v)
+                self.floor[k] = max(0.0, scores[int(share * (len(scores) - 1))])
+        self.known: dict[str, float | None] = {}
+
+    def score(self, kind: str, token: str) -> float:
+        own, unseen = self.own[kind]
+        usual = sum(self.usual[char_class(c)] for c in token) + self.lengths.get(len(token), self.unseen)
+        return self.automata[kind].score(token) + own.get(len(token), unseen) - usual
+
+    def accepted(self, token: str) -> float | None:
+        """The best score, if it is one that its kind's examples have."""
+        if token not in self.known:
+            if len(self.known) > 200_000:  # only so that work isn't repeated
+                self.known.clear()
+            fit = [s for k in self.automata if (s := self.score(k, token)) >= self.floor[k]]
+            self.known[token] = max(fit, default=None)
+        return self.known[token]
+
+
+_BASE = "array<struct<kind:string,first:int,past:int,value:string>>"
+_ADDED = "array<struct<kind:string,first:int,past:int,value:string,score:double>>"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
+
+
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(kind, value, uses)``: distinct credentials of base spans; and under the kinds ``class`` and ``length`` the counts of candidates."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes, lengths = Counter(), Counter()
         for pdf in batches:
-            base, other = [], []
+            found = Counter()
             for t in pdf["text"]:
                 spans = base_spans(t)
-                base.append([{"kind": k, "first": a, "past": b, "value": t[a:b]} for k, a, b in spans])
-                other.append([{"kind": "format", "first": a, "past": b, "value": t[a:b]} for a, b in candidates(t, spans)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": base, "other": other})
+                found.update((k, v) for k, _, _, v in spans)
+                own = [v for _, _, v in candidates(t, spans)]
+                lengths.update(map(len, own))
+                classes.update("".join(own))
+            yield pd.DataFrame([(k, v, n) for (k, v), n in found.items()], columns=["kind", "value", "uses"])
+        by_class = Counter()
+        for c, n in classes.items():
+            by_class[char_class(c)] += n
+        yield pd.DataFrame([("class", k, n) for k, n in by_class.items()] + [("length", str(k), n) for k, n in lengths.items()], columns=["kind", "value", "uses"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text")).mapInPandas(
-        found, f"doc_id long, base {_FOUND}, other {_FOUND}")
+    return docs.select(whole(F.col(text_col)).alias("text")).mapInPandas(rows, "kind string, value string, uses long").groupBy("kind", "value").agg(F.sum("uses").alias("uses"))
 
 
-def learn_formats(scanned: DataFrame, examples: int = 1000) -> Formats:
-    """Automata from at most ``examples`` distinct labelled credentials a kind (those of least hash); class counts are of all candidates."""
-    values = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+def learn_formats(docs: DataFrame, text_col: str = "text", examples: int = 1000) -> Formats:
+    """Automata from at most ``examples`` distinct labelled credentials a kind, those of least hash; classes and lengths are counted over all candidates.
+
+    The hash up to which examples are fetched follows from each kind's number
+    of values, so that little more than ``examples`` rows come.
+    """
+    found = Scratch(docs.sparkSession, "secrets").put(labelled(docs, text_col), "labelled")
+    order = F.xxhash64("value").bitwiseAND(F.lit(2**62 - 1))
+    usual = {r["value"]: r["uses"] for r in found.where("kind = 'class'").collect()}  # 12 classes at most
+    lengths = {r["length"]: r["n"] for r in found.where("kind = 'length'").groupBy(F.least(F.col("value").cast("long"), F.lit(4096)).alias("length")).agg(F.sum("uses").alias("n")).collect()}
     chosen: dict[str, list[str]] = {}
-    for r in values.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= examples).orderBy("kind", "value").collect():
-        chosen.setdefault(r["kind"], []).append(r["value"])
-    classes = {"d": "[0-9]", "a": "[a-f]", "z": "[g-z]", "A": "[A-F]", "Z": "[G-Z]"} | {c: re.escape(c) for c in "+/_.=-"}
-    counts = scanned.select(F.explode("other").alias("o")).agg(
-        *[F.coalesce(F.sum(F.regexp_count("o.value", F.lit(p))), F.lit(0)).alias(str(i)) for i, p in enumerate(classes.values())]).first()
-    return Formats(chosen, dict(zip(classes, counts)))
+    for kind, n in found.where(F.col("kind").isin(*KINDS)).groupBy("kind").count().collect():
+        most = min(1.0, (examples + 8 * math.sqrt(examples)) / n)
+        some = found.where((F.col("kind") == kind) & (order < F.lit(int(2**62 * most)))).select("value", order.alias("h")).collect()
+        chosen[kind] = sorted(r["value"] for r in sorted(some, key=lambda r: (r["h"], r["value"]))[:examples])
+    return Formats(chosen, usual, lengths)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = 1000) -> DataFrame:
-    """``(doc_id, base array, added array)``; elements are ``kind, first, past`` (code points, past exclusive) and ``value``.
+    """``(doc_id, base array, added array)``; elements are ``kind, first, past`` (code points, past exclusive) and ``value``, of added ones ``score`` too.
 
-    Null and empty texts have no spans. Each row is a text of its own, so
-    repeated ids give repeated rows and a null id stays null. Without any
-    labelled credential nothing is added. Other columns are not carried.
+    Null and empty texts have no spans, empty tables no rows. Each row is a
+    text of its own, so repeated ids give repeated rows and a null id stays
+    null. Of a run and what follows an equals sign in it, the run is added if
+    both fit. Without any labelled credential nothing is added. Other columns
+    are not carried.
     """
-    scanned = Scratch(docs.sparkSession, "secrets").put(scan(docs, id_col, text_col), "spans")
-    formats = learn_formats(scanned, examples)
+    formats = learn_formats(docs, text_col, examples)
 
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["added"] = [[x for x in other if formats.accepts(x["value"])] for other in pdf["other"]]
-            yield pdf[["doc_id", "base", "added"]]
+            base, added = [], []
+            for t in pdf["text"]:
+                spans = base_spans(t)
+                base.append([{"kind": k, "first": a, "past": b, "value": v} for k, a, b, v in spans])
+                own, end = [], 0
+                for a, b, v in candidates(t, spans) if formats.automata else ():
+                    if a >= end and (s := formats.accepted(v)) is not None:
+                        own.append({"kind": "format", "first": a, "past": b, "value": v, "score": s})
+                        end = b
+                added.append(own)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": base, "added": added})
 
-    some = scanned.where(F.size("other") > 0).mapInPandas(added, f"doc_id long, base {_FOUND}, added {_FOUND}")
-    none = scanned.where(F.size("other") == 0).select("doc_id", "base", F.array().cast(_FOUND).alias("added"))
-    return some.unionByName(none)
+    return _texts(docs, id_col, text_col).mapInPandas(found, f"doc_id long, base {_BASE}, added {_ADDED}")
 
 
 def _joined(spans):
     """``kind:first:past`` by first and then kind as listed, joined by commas."""
     rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, "format")) for x in (k, i)])
     keyed = F.transform(spans, lambda s: F.struct(s["first"].alias("f"), rank[s["kind"]].alias("r"), s["past"].alias("p"), s["kind"].alias("k")))
-    return F.array_join(F.transform(F.sort_array(keyed), lambda s: F.concat_ws(":", s["k"], s["f"], s["p"])), ",")
+    return F.transform(F.sort_array(keyed), lambda s: F.concat_ws(":", s["k"], s["f"], s["p"]))
 
 
 def op3_secret_formats(spark, sf_dir: str) -> DataFrame:
@@ -233,5 +276,7 @@ def op3_secret_formats(spark, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-                        _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    plain = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["past"].alias("past"), s["value"].alias("value")))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(F.array_join(_joined(F.col("base")), ","), 256).alias("base_sha256"),
+                        F.array_join(_joined(F.concat("base", plain)), ",").alias("spans"), F.size("added").cast("long").alias("n_added"),
+                        F.array_max(F.transform("added", lambda s: s["score"])).alias("best_score"))
