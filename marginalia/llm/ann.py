@@ -80,7 +80,7 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v")).where("v IS NOT NULL")
     dim = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (dim["n"] if dim else 0)).distinct()
+    return rows.where(F.size("v") == (dim["n"] if dim else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def best(query_ids, q, ids, x, k: int, allowed: np.ndarray | None = None) -> pd.DataFrame:
@@ -125,15 +125,18 @@ def brute_force(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, tables: int = 6, projections: int = 8,
-            width: float = 2.0, group_rows: int = 8192, fit_queries: int = 64, fit_recall: float = 0.95) -> DataFrame:
+            width: float = 2.0, group_rows: int = 8192, block_queries: int = 4096, fit_queries: int = 64, fit_recall: float = 0.95) -> DataFrame:
     """``(query_id, rank, vec_id, score, probes)``: the k best found of every row but its own, for rows whose id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most, or that hold a
     null or non-finite component take no part. Ties go to the smaller id. Of
     equal vectors only the k + 1 smallest ids can be among the best, so only
-    those are indexed; no answer is lost. A row that is repeated counts once.
+    those are indexed; no answer is lost. A row that is repeated counts once;
+    of an id's several vectors the least counts, compared by component.
     Buckets of more than ``group_rows`` vectors are split, and queries visit
-    every split. Fewer candidates than k give fewer rows, no vectors none.
+    every split; queries meet a slot in blocks of about ``block_queries``, for
+    each of which the slot's vectors are repeated, so no group grows with the
+    input. Other columns are not carried. Fewer candidates than k give fewer rows, no vectors none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -176,7 +179,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
               .join(full, ["tab", "bucket"], "left")
               .withColumn("split", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)))
               .select(slot.alias("slot"), "tab", "bucket", "id"))
-    visits = visits.groupBy("slot", "id").agg(F.collect_set(F.struct("tab", "bucket")).alias("wanted")).join(queries.select("id", "v"), "id")
+    visits = visits.groupBy("slot", "id").agg(F.collect_set(F.struct("tab", "bucket")).alias("wanted")).join(queries.select("id", "v").hint("merge"), "id")
+    blocks = max(1, -(-queries.count() // block_queries))
+    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     def rerank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """left: members of one slot; right: queries with the buckets they visit there."""
@@ -200,7 +206,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return _found(out, int(key[0]) // 64)
 
     # a slot gives a query one row; those of 64 slots are merged before all
-    found = members.groupBy("slot").cogroup(visits.groupBy("slot")).applyInPandas(rerank, "query_id long, best array<struct<far:double,vec_id:long>>, bundle long")
+    found = members.groupBy("slot", "block").cogroup(visits.groupBy("slot", "block")).applyInPandas(rerank, "query_id long, best array<struct<far:double,vec_id:long>>, bundle long")
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best")
     answer = found.groupBy("query_id", "bundle").agg(merged).groupBy("query_id").agg(merged)
     return answer.select("query_id", F.posexplode("best").alias("at", "b")).select(
