@@ -2,8 +2,8 @@
 
 Pieces are dealt at random into groups of about ``group_bins`` sequences'
 worth of tokens. A group is packed best fit, longest first; then documents of
-its emptiest bins are moved to fuller ones, or exchanged one for one, two for
-one or one for two, wherever that makes the fuller bin fuller. Each such step
+its emptiest bins are moved to fuller ones, or exchanged one for one or two
+for one, wherever that makes the fuller bin fuller. Each such step
 increases the sum of squared fills, and the emptiest bins run empty. What
 groups leave in underfull bins is packed again in fewer groups, until one
 group has had all that is left or a round closes little of what it was given:
@@ -135,7 +135,7 @@ def _best_step(lengths, bin_of, gaps, own, items, into):
 
 def _pack_group(room: int, number: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32", "salt"]).reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         bins = local_search(lengths, best_fit(lengths, room), room)
         seq, offset, fill = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
@@ -160,24 +160,25 @@ def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, group_bins: int = 1000,
     """
     scratch = Scratch(rows.sparkSession, "packing")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    left, done, number = scratch.put(rows, "pieces"), [], 0
+    # the salt, written once, spreads rows that are equal
+    left, done, number = scratch.put(rows.withColumn("salt", F.rand(7)), "pieces"), [], 0
     while True:
         tokens = left.agg(F.sum("length")).first()[0] or 0
         groups = max(1, -(-tokens // (max_tokens * group_bins)))
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64(F.lit(number), "salt"), F.lit(groups)))
         packed = scratch.put(dealt.groupBy("grp").applyInPandas(
-            _pack_group(max_tokens, number), f"{schema}, grp long, sequence_id long, offset long, fill long"), "packed")
+            _pack_group(max_tokens, number), f"{schema}, salt double, grp long, sequence_id long, offset long, fill long"), "packed")
         full = F.col("fill") >= closed * max_tokens
         # a sequence id has 7 bits for the round
         if groups == 1 or not again or number == 127 or (packed.where(full).agg(F.sum("length")).first()[0] or 0) < least * tokens:
             done.append(packed)
             break
         done.append(packed.where(full))
-        left, number = packed.where(~full).select(*rows.columns), number + 1
+        left, number = packed.where(~full).select(*rows.columns, "salt"), number + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("grp", "fill")
+    return out.drop("salt", "grp", "fill")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
