@@ -3,7 +3,7 @@
 Documents are split into batches by descending id. A batch's line keys are
 merge-anti-joined with the runs so far: keys that no run holds are new, and
 the batch's largest document holding one becomes its keeper. The batch then
-adds its own run, ``(h1, h2, n_docs, keeper)``, sorted by hash; once a level
+adds its own run, ``(h1, h2, n_docs, n_rows, keeper)``, sorted by hash; once a level
 has ``fanout`` runs they are compacted into one run of the next level, adding
 counts. The last compaction says which keys are in enough documents.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.text import BLANKS, ascii_lower, whole
 from marginalia.scratch import Scratch
 
-#: A key in over 1/HOT of all line rows is joined by broadcast; there are fewer than HOT such keys, however large the input.
+#: A key with over 1/HOT of all line rows is joined by broadcast; there are fewer than HOT such keys, however large the input.
 HOT = 2000
 
 
@@ -25,7 +25,7 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levels of runs ``(h1, h2, n_docs, keeper)``. Keeper is null in runs whose batch met a key that an earlier run holds."""
+    """Levels of runs ``(h1, h2, n_docs, n_rows, keeper)``. Keeper is null in runs whose batch met a key that an earlier run holds."""
 
     def __init__(self, scratch: Scratch, fanout: int = 2):
         self.scratch, self.fanout, self.levels = scratch, fanout, [[]]
@@ -40,10 +40,10 @@ class LineRuns:
         out = runs[0]
         for r in runs[1:]:
             out = out.unionByName(r)
-        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_rows").alias("n_rows"), F.max("keeper").alias("keeper"))
 
     def add(self, batch: DataFrame) -> None:
-        """batch: one row ``(h1, h2, n_docs, keeper)`` per key."""
+        """batch: one row ``(h1, h2, n_docs, n_rows, keeper)`` per key."""
         runs = self.runs()
         if runs:
             held = runs[0].select("h1", "h2")
@@ -88,13 +88,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         part = part if low is None else part.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
         runs.add(
-            part.select("h1", "h2", "doc_id").distinct()
-            .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
+            part.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
+            .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_rows"), F.max("doc_id").alias("keeper")))
     repeated = scratch.put(runs.compacted().where(F.col("n_docs") >= min_docs), "repeated")
-    hot = F.col("n_docs") * HOT > n_rows
+    hot = F.col("n_rows") * HOT > n_rows
     lose = keys.join(F.broadcast(repeated.where(hot)), ["h1", "h2"]).unionByName(
         keys.join(F.broadcast(repeated.where(hot).select("h1", "h2")), ["h1", "h2"], "left_anti")
-        .join(repeated.where(~hot), ["h1", "h2"]), allowMissingColumns=True)
+        .join(repeated.where(~hot).hint("merge"), ["h1", "h2"]), allowMissingColumns=True)
     return (
         lose.where(F.col("doc_id") < F.col("keeper"))
         .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop")))
