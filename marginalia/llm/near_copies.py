@@ -6,9 +6,10 @@ prefix of a little over a fifth, and linked sets share a shingle there, so
 buckets by prefix shingle hold every linked pair. Shingles that a sample finds
 in many texts come last in the order, which concerns speed alone.
 
-A bucket isn't paired up at once: its members meet one of them, and those that
-verify are components. Pairs within a component need no look; those across are
-all verified at the end, whatever the size of the bucket.
+Buckets of up to ``SMALL`` texts are paired up. Members of larger ones meet
+``CENTRES`` of them, turn by turn, and those that verify are components. Pairs
+within a component need no look; those across that are left after the turns
+are all verified, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.simhash import shingle_hashes
 from marginalia.llm.text import attach, whole
 from marginalia.operators.components import connected_components
 from marginalia.scratch import Scratch
@@ -33,8 +33,37 @@ PART, OF = 4, 5
 COMMON = 400_000
 
 
+#: Buckets up to this size are paired up.
+SMALL = 16
+CENTRES = 4
+_M, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class _Words(dict):
+    """Hashes of words; forgotten when there are many, so that only work is repeated."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_words = _Words()
+
+
 def _set(text: str | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
+    """Sorted distinct 64-bit hashes of all runs of ``SHINGLE`` words; of the whole sequence if shorter. Words are those of ``shingle_hashes``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    size = min(SHINGLE, len(w))
+    h = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * _M + w[k : len(w) - size + 1 + k]
+    h = (h ^ (h >> np.uint64(32))) * _C
+    return np.unique(h ^ (h >> np.uint64(29)))
 
 
 def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -74,60 +103,68 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(cut, "doc_id long, text_hash long, held long, size int, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of distinct pairs of sets ``(src, dst)`` that are linked."""
-    a, b = (sets.select(F.col("held").alias(x), F.col("size").alias(f"{x}_size"), F.col("prefix").alias(f"{x}_prefix")) for x in ("src", "dst"))
-    # to the lesser end of both prefixes all of both sets is known; past it, at most the rest of either is shared
-    end = "least(element_at(src_prefix, -1), element_at(dst_prefix, -1))"
-    rest = [f"{x}_size - size(filter({x}_prefix, k -> k <= {end}))" for x in ("src", "dst")]
-    bound = F.expr(f"size(array_intersect(src_prefix, dst_prefix)) + least({rest[0]}, {rest[1]})")
-    # PART / OF of the union, in whole numbers
-    least = PART * (F.col("src_size") + F.col("dst_size"))
-    able = scratch.put(pairs.join(a, "src").join(b, "dst").where(bound * (OF + PART) >= least).select("src", "dst", least.alias("least")), "able")
-    met = able.select(F.explode(F.array("src", "dst")).alias("held")).distinct()
-    of_text = rows.join(met, "held", "left_semi").groupBy("held").agg(F.min("text_hash").alias("text_hash"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(of_text, "text_hash").groupBy("held").agg(F.first("text").alias("text"))
+    pairs = scratch.put(pairs, "pairs")
+    met = pairs.select(F.explode(F.array("src", "dst")).alias("held")).distinct()
+    of_text = sets.select("held", "text_hash").join(met.hint("merge"), "held", "left_semi")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(of_text.hint("merge"), "text_hash").dropDuplicates(["held"])
     whole_sets = scratch.put(texts.select("held", shingle_sets(F.col("text")).alias("shingles")), "shingles")
-    a, b = (whole_sets.select(F.col("held").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("src", "dst"))
-    return able.join(a, "src").join(b, "dst").where(F.size(F.array_intersect("src_set", "dst_set")) * (OF + PART) >= F.col("least")).select("src", "dst")
+    a, b = (whole_sets.select(F.col("held").alias(x), F.col("shingles").alias(f"{x}_set")).hint("merge") for x in ("src", "dst"))
+    shared = F.size(F.array_intersect("src_set", "dst_set"))
+    # PART / OF of the union, in whole numbers
+    linked = shared * (OF + PART) >= PART * (F.size("src_set") + F.size("dst_set"))
+    out = scratch.put(pairs.join(a, "src").join(b, "dst").where(linked).select("src", "dst"), "verified")
+    scratch.drop(pairs, whole_sets)
+    return out
+
+
+def _pairs(both: DataFrame) -> DataFrame:
+    """Distinct pairs of rows with ``held, size, held_, size_`` whose sizes allow a link."""
+    able = (OF * F.least("size", "size_") >= PART * F.greatest("size", "size_")) & (F.col("held") != F.col("held_"))
+    return both.where(able).select(F.least("held", "held_").alias("src"), F.greatest("held", "held_").alias("dst")).distinct()
 
 
 def linked_sets(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` of the sets in rows of ``prefixes`` that are linked to another."""
-    sets = scratch.put(rows.where("size > 0").groupBy("held").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets")
-    keys = sets.select(F.explode("prefix").alias("shingle"), "held")
-    shared = scratch.put(keys.groupBy("shingle").agg(F.count("*").alias("n"), F.min("held").alias("low"), F.max("held").alias("high")).where("n > 1"), "shared")
-    # a bucket of two is a pair
-    two = shared.where("n = 2").select(F.col("low").alias("src"), F.col("high").alias("dst")).distinct()
-    many = scratch.put(keys.join(shared.where("n > 2").select("shingle"), "shingle"), "buckets")
-    edges, turn, before = scratch.put(_verified(two, sets, rows, docs, scratch), "linked"), 0, None
+    sets = scratch.put(rows.where("size > 0").groupBy("held").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash")), "sets")
+    keys = sets.select(F.explode("prefix").alias("shingle"), "held", "size")
+    shared = scratch.put(keys.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets = scratch.put(keys.join(shared.hint("merge"), "shingle"), "buckets")
+    other = {"held": "held_", "size": "size_"}
+    small, crowd = buckets.where(F.col("n") <= SMALL).drop("n"), buckets.where(F.col("n") > SMALL).drop("n")
+
+    def centred(members: DataFrame, turn: int) -> DataFrame:
+        """Each member beside each of its bucket's centres; all buckets prefer the same sets."""
+        ones = [F.min_by(F.struct("held", "size"), F.xxhash64("held", F.lit(CENTRES * turn + k))) for k in range(CENTRES)]
+        centres = members.groupBy("shingle").agg(F.array_distinct(F.array(*ones)).alias("c")).select("shingle", F.explode("c").alias("c")).select("shingle", F.col("c.held").alias("held_"), F.col("c.size").alias("size_"))
+        return members.select("shingle", "held", "size").join(centres.hint("merge"), "shingle")
+
+    first = small.join(small.withColumnsRenamed(other).hint("merge"), "shingle").where("held < held_")
+    edges = _verified(_pairs(first.unionByName(centred(crowd, 0))), sets, docs, scratch)
+    comp, turn, before = connected_components(edges), 1, None
     while True:
-        comp = connected_components(edges)
-        label = scratch.put(many.join(comp.withColumnRenamed("node", "held"), "held", "left").select("shingle", "held", F.coalesce("component", "held").alias("label")), "labels")
+        label = scratch.put(crowd.join(comp.withColumnRenamed("node", "held").hint("merge"), "held", "left").select("shingle", "held", "size", F.coalesce("component", "held").alias("label")), "labels")
         spread = label.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("n * n > squares")
         left = spread.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
         if not left["n"]:
             return comp
-        mixed = label.join(spread.select("shingle"), "shingle", "left_semi")
+        mixed = label.join(spread.select("shingle").hint("merge"), "shingle", "left_semi")
         last = left["pairs"] <= 16 * left["n"] or (before is not None and left["pairs"] > 0.8 * before)
+        across = mixed.join(mixed.withColumnsRenamed(other | {"label": "label_"}).hint("merge"), "shingle").where("held < held_ AND label <> label_") if last else centred(mixed, turn)
+        edges = scratch.put(edges.unionByName(_verified(_pairs(across), sets, docs, scratch)), "linked")
+        comp = connected_components(edges)
         if last:
-            both = mixed.join(mixed.withColumnsRenamed({"held": "held_", "label": "label_"}), "shingle").where("held < held_")
-        else:
-            one = mixed.groupBy("shingle").agg(F.min_by(F.struct("held", "label"), F.xxhash64("held", F.lit(turn))).alias("one"))
-            both = mixed.join(one.select("shingle", F.col("one.held").alias("held_"), F.col("one.label").alias("label_")), "shingle")
-        pairs = both.where("label <> label_").select(F.least("held", "held_").alias("src"), F.greatest("held", "held_").alias("dst")).distinct()
-        edges = scratch.put(edges.unionByName(_verified(pairs, sets, rows, docs, scratch)), "linked")
-        if last:
-            return connected_components(edges)
+            return comp
         before, turn = left["pairs"], turn + 1
 
 
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_hash, component_id)``, one row for each row of docs.
 
-    Component: the smallest id reachable over links. Words are those of
-    ``shingle_hashes``; a shorter text is one shingle. Texts without words,
+    Component: the smallest id reachable over links. A text of fewer
+    words is one shingle. Texts without words,
     null ones too, are linked with each other. Rows without an id link nothing
     and take the component of their set, if it has one. Repeated ids are rows
     of their own. Empty tables give none.
@@ -137,7 +174,7 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = scratch.put(prefixes(texts), "prefixes")
     named = rows.where("doc_id IS NOT NULL")
     comp = linked_sets(named, texts, scratch)
-    of_set = scratch.put(named.groupBy("held").agg(F.min("doc_id").alias("first")).join(comp.withColumnRenamed("node", "held"), "held", "left")
+    of_set = scratch.put(named.groupBy("held").agg(F.min("doc_id").alias("first")).join(comp.withColumnRenamed("node", "held").hint("merge"), "held", "left")
                          .select("held", "first", F.coalesce("component", "held").alias("component")), "firsts")
     low = of_set.groupBy("component").agg(F.min("first").alias("component_id"))
-    return attach(rows.select("doc_id", "text_hash", "held"), of_set.join(low, "component").select("held", "component_id"), "held").select("doc_id", "text_hash", "component_id")
+    return attach(rows.select("doc_id", "text_hash", "held"), of_set.join(low.hint("merge"), "component").select("held", "component_id"), "held").select("doc_id", "text_hash", "component_id")
