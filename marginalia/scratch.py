@@ -47,10 +47,15 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables made by ``put``; the caller no longer reads them."""
+        """Delete tables made by ``put``; the caller no longer reads them.
+
+        Shuffle files of finished steps go when the driver collects its
+        garbage, which long jobs can't wait for, so that is asked for too.
+        """
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = getattr(t, "_scratch_path", None)
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        jvm.System.gc()
