@@ -456,16 +456,102 @@ def test_lm(spark):
     made = Counter(("None" if r.doc_id != r.doc_id else str(int(r.doc_id)), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got.itertuples())
     assert made == want and (got["score"] < 0).all() and set(got["train_tokens"]) == {n}
     assert got[got["n_tokens"] > 50]["bits_per_byte"].mean() < 4.5
+    clash = docs.withColumn("portion", F.lit(1)).withColumn("score", F.lit("x"))
+    small = lm.score_documents(clash, frequent=300, shard=2_000).toPandas()  # many shards, hot words
+    assert small["base_score"].sum() == pytest.approx(got["base_score"].sum()) and small["score"].sum() == pytest.approx(got["score"].sum(), rel=0.03)
+    assert lm.score_documents(docs.limit(0)).count() == 0
+
+
+def test_lm_beats_its_base_and_tells_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one = docs.where("doc_id % 97 = 0 AND length(text) > 400")
+    docs = docs.unionByName(one.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    got = lm.score_documents(docs).toPandas()
+    out = got[got["held_out"] & (got["n_known"] == got["n_tokens"])]  # the base doesn't spell new words
+    assert len(out) > 20 and out["score"].sum() > out["base_score"].sum()
+    got["each"] = got["score"] / got["n_tokens"]
+    twice = got["doc_id"] >= 1_000_000
+    assert got[twice]["each"].median() > got[~twice]["each"].quantile(0.8)
+
+
+def plain_mixed(train, before, before2, symbol, code, batch):
+    """The mixer by dictionaries, bit by bit and batch by batch."""
+    turn = np.random.default_rng(11).permutation(len(symbol))
+    steps = [(i, int(code.node[k]), bool(code.bit[k])) for i in turn for k in range(code.start[symbol[i]], code.start[symbol[i]] + code.length[symbol[i]])]
+    seen, pairs = defaultdict(lambda: [0, 0]), Counter(zip(before, before2))
+    for i, node, bit in steps:
+        if train[i]:
+            for context in ((before[i],), (before[i], before2[i])):
+                seen[(*context, node)][bit] += 1
+    stretch = lambda p: np.log(min(max(p, 1e-5), 1 - 1e-5) / (1 - min(max(p, 1e-5), 1 - 1e-5)))
+    rows = []
+    for i, node, bit in steps:
+        p, x, gate = float(code.p[node]), [stretch(float(code.p[node]))], 0
+        for k, context in enumerate(((before[i],), (before[i], before2[i]))):
+            zero, one = seen[(*context, node)] if k == 0 or pairs[before[i], before2[i]] > 1 else (0, 0)
+            if train[i] and (k == 0 or pairs[before[i], before2[i]] > 1):
+                zero, one = zero - (not bit), one - bit
+            p = (one + lm.BACK * p) / (zero + one + lm.BACK)
+            x.append(stretch(p))
+            gate += sum(zero + one >= v for v in (1, 2, 4, 16, 256)) * 6**k
+        rows.append((i, bit, x, gate + 36 * (one == 0 or zero == 0)))
+    w, squares = defaultdict(lambda: np.array([0.0, 0.0, 1.0])), defaultdict(lambda: np.full(3, 1e-4))
+    cells = defaultdict(lambda: 1 / (1 + np.exp(-np.linspace(-8, 8, 33))))
+    mix = lambda x, g: float(np.clip(w[g] @ np.array(x), -7.999, 7.999))
+    for at in range(0, len(rows), batch):
+        grads, met = defaultdict(lambda: np.zeros(3)), defaultdict(list)
+        for i, bit, x, g in rows[at : at + batch]:
+            if train[i]:
+                z = mix(x, g)
+                grads[g] += (bit - 1 / (1 + np.exp(-z))) * np.array(x)
+                met[g, int(round((z + 8) * 2))].append(bit)
+        for g, d in grads.items():
+            squares[g] += d * d
+            w[g] = w[g] + 0.05 * d / np.sqrt(squares[g])
+        for (g, c), bits in met.items():
+            cells[g] = cells[g].copy()
+            cells[g][c] += (sum(bits) - len(bits) * cells[g][c]) / (len(bits) + 200)
+    out = np.zeros(len(symbol))
+    for i, bit, x, g in rows:
+        z = mix(x, g)
+        low = min(int((z + 8) * 2), 31)
+        part = (z + 8) * 2 - low
+        q = (1 / (1 + np.exp(-z)) + cells[g][low] * (1 - part) + cells[g][low + 1] * part) / 2
+        out[i] += np.log10(q if bit else 1 - q)
+    return out
+
+
+def test_mixer_equals_plain_version_and_is_a_distribution():
+    rng = np.random.default_rng(8)
+    code = lm.Code([50, 30, 12, 5, 2, 1, 9])
+    n = 1500
+    before, before2, symbol = rng.integers(0, 12, n).astype(np.uint32), rng.integers(0, 5, n).astype(np.uint32), rng.choice(7, n, p=np.array([50, 30, 12, 5, 2, 1, 9]) / 109)
+    symbol[before == 3] = 2
+    train = rng.random(n) < 0.8
+    before[-7:], before2[-7:], symbol[-7:], train[-7:] = 4, 2, np.arange(7), False
+    got = lm.mixed_scores(train, before, before2, symbol, code, batch=512, room=8)
+    assert np.allclose(got, plain_mixed(train, before.tolist(), before2.tolist(), symbol, code, 512), atol=2e-3)
+    assert (10 ** got[-7:]).sum() == pytest.approx(1, abs=1e-4)
+    assert lm.mixed_scores(train[:3], before[:3], before2[:3], np.zeros(3, int), lm.Code([5])).tolist() == [0, 0, 0]
+
+
+def test_spelling_is_a_distribution():
+    n, ones = lm.empty_tables()
+    words = [b"the", b"then", b"cat", lm.END]
+    lm.count_spellings(words, n, ones)
+    s = lm.Speller(n, ones)
+    total = lambda: sum(10.0 ** s.score([bytes([b])], np.array([False]))[0] for b in range(256) if b not in (10, 32))  # noqa: E731  one-letter words are followed by a blank
+    assert total() < 1 and 10 ** s.score([b"the"], np.array([False]))[0] > 10 ** s.score([b"qzx"], np.array([False]))[0]
+    assert lm.segments([b"x" * 200])[1].tolist() == [0, 0, 0, 0] and lm.segments([b"abcdefghij" * 8])[2].tolist() == [0, int.from_bytes(b"ghijabcd", "big")]
+    assert s.score([b"x" * 5000], np.array([False]))[0] < 0
+    s.learn(words * 30)  # each is left out of its own counts, so what is learnt is that none of them is known
+    assert total() < 1
 
 
-def test_lm_is_a_distribution():
-    n, ones = ([np.zeros(1 << bits, np.float32) for _, bits, _ in lm.PREDICTORS] for _ in range(2))
-    words = [b"the", b"then", b"cat", lm.END]
-    lm.count_contexts(words, np.array([5, 2, 1, 3]), n, ones, 1)
-    m = lm.Mixer(n, ones)
-    total = sum(10.0 ** m.score([bytes([b])])[0] for b in range(256) if b not in (10, 32))  # one-letter words are followed by a blank
-    assert total < 1 and 10 ** m.score([b"the"])[0] > 10 ** m.score([b"qzx"])[0]
-    assert lm.segments([b"x" * 200])[1].tolist() == [0, 0, 0, 0]
+def test_packed_tokens_round_trip():
+    rng = np.random.default_rng(1)
+    arrays = [rng.integers(0, 60_000, 500).astype(np.uint16), np.sort(rng.integers(0, 2**32, 500).astype(np.uint32)), rng.integers(0, 2**24, 500).astype(np.uint32), rng.integers(0, 2**16, 500).astype(np.uint16)]
+    assert all((a == b).all() for a, b in zip(arrays, lm._unpack(lm._pack(*arrays))))
 
 
 # ---- the pipeline
