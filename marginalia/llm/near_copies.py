@@ -36,6 +36,8 @@ COMMON = 400_000
 #: Buckets up to this size are paired up.
 SMALL = 16
 CENTRES = 4
+#: So many sets at most are named by broadcast (16 bytes each) to the texts they are read from.
+BROADCAST_SETS = 500_000
 _M, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -107,9 +109,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scrat
     """Those of distinct pairs of sets ``(src, dst)`` that are linked."""
     pairs = scratch.put(pairs, "pairs")
     met = pairs.select(F.explode(F.array("src", "dst")).alias("held")).distinct()
-    of_text = sets.select("held", "text_hash").join(met.hint("merge"), "held", "left_semi")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(of_text.hint("merge"), "text_hash").dropDuplicates(["held"])
-    whole_sets = scratch.put(texts.select("held", shingle_sets(F.col("text")).alias("shingles")), "shingles")
+    of_text = scratch.put(sets.select("held", "text_hash").join(met.hint("merge"), "held", "left_semi"), "met")
+    of_text = F.broadcast(of_text) if of_text.count() <= BROADCAST_SETS else of_text.hint("merge")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(of_text, "text_hash")
+    # copies of a text give its set more than once
+    whole_sets = scratch.put(texts.select("held", shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["held"]), "shingles")
     a, b = (whole_sets.select(F.col("held").alias(x), F.col("shingles").alias(f"{x}_set")).hint("merge") for x in ("src", "dst"))
     shared = F.size(F.array_intersect("src_set", "dst_set"))
     # PART / OF of the union, in whole numbers
@@ -126,11 +130,14 @@ def _pairs(both: DataFrame) -> DataFrame:
 
 
 def linked_sets(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` of the sets in rows of ``prefixes`` that are linked to another."""
+    """``(node, component)`` of the sets in rows of ``prefixes``, a written table that is deleted, that are linked to another."""
     sets = scratch.put(rows.where("size > 0").groupBy("held").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash")), "sets")
+    scratch.drop(rows)
     keys = sets.select(F.explode("prefix").alias("shingle"), "held", "size")
     shared = scratch.put(keys.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = scratch.put(keys.join(shared.hint("merge"), "shingle"), "buckets")
+    prefixed, sets = sets, scratch.put(sets.select("held", "size", "text_hash"), "narrow")
+    scratch.drop(prefixed, shared)
     other = {"held": "held_", "size": "size_"}
     small, crowd = buckets.where(F.col("n") <= SMALL).drop("n"), buckets.where(F.col("n") > SMALL).drop("n")
 
@@ -171,10 +178,11 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
-    rows = scratch.put(prefixes(texts), "prefixes")
+    prefixed = scratch.put(prefixes(texts), "prefixes")
+    rows = scratch.put(prefixed.select("doc_id", "text_hash", "held"), "rows")
     named = rows.where("doc_id IS NOT NULL")
-    comp = linked_sets(named, texts, scratch)
+    comp = linked_sets(prefixed, texts, scratch)
     of_set = scratch.put(named.groupBy("held").agg(F.min("doc_id").alias("first")).join(comp.withColumnRenamed("node", "held").hint("merge"), "held", "left")
                          .select("held", "first", F.coalesce("component", "held").alias("component")), "firsts")
     low = of_set.groupBy("component").agg(F.min("first").alias("component_id"))
-    return attach(rows.select("doc_id", "text_hash", "held"), of_set.join(low.hint("merge"), "component").select("held", "component_id"), "held").select("doc_id", "text_hash", "component_id")
+    return attach(rows, of_set.join(low.hint("merge"), "component").select("held", "component_id"), "held").select("doc_id", "text_hash", "component_id")
