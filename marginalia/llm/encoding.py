@@ -49,7 +49,7 @@ class _Growing:
 class Encoder:
     """style "space": a single blank begins the next piece; "split": blanks separate pieces and give no ids."""
 
-    def __init__(self, path: str, style: str, keep: int = 1_500_000, keep_chars: int = 20_000_000):
+    def __init__(self, path: str, style: str, keep: int = 900_000, keep_chars: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
@@ -149,7 +149,7 @@ class Encoder:
         seen = np.frombuffer(seen, np.int64) if len(seen) else np.zeros(0, np.int64)
         self.met.append(seen)
         self.n_met += len(seen)
-        if self.n_met > 4_000_000:
+        if self.n_met > 1_000_000:
             self._count()
         ids, ends = self.ids.data, self.ends.data
         begin = ends[seen]

@@ -45,7 +45,7 @@ class _Words(dict):
     """Hashes of words; forgotten when there are many, so that only work is repeated."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 42)
         return h
