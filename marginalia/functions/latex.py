@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +14,22 @@ def strip_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)(?<!\\)%.*$", "")
 
 
-def strip_verbatim(text: Column) -> Column:
-    """Verbatim blocks become as many line feeds as they had, so that line numbers hold."""
-    import re
+# fixed values: environments and the command whose content is printed as it stands
+VERBATIM = r"(?s)\\begin\{(lstlisting|verbatim|minted|Verbatim|alltt)\}.*?\\end\{\1\}"
+VERB = r"\\verb(.)(.*?)\1"
 
-    block = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\*?\}.*?\\end\{\1\*?\}", re.S)
 
-    def blank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: None if t is None else block.sub(lambda m: "\n" * m.group().count("\n"), t))
+def strip_verbatim(text: Column) -> Column:
+    """Verbatim blocks become as many line feeds as they had, so that line numbers hold; what is printed inline goes."""
+    blocks = F.regexp_extract_all(text, F.lit(VERBATIM), 0)
+    feeds = lambda b: F.repeat(F.lit("\n"), F.coalesce(F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))), F.lit(0)))
+    kept = F.array_join(F.zip_with(F.split(text, VERBATIM, -1), blocks, lambda part, b: F.concat(part, feeds(b))), "")
+    return F.regexp_replace(F.when(F.size(blocks) == 0, text).otherwise(kept), VERB, "")
+
 
-    blank.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(blank, "string")(text)
+def body(text: Column) -> Column:
+    """What stands between the document's begin and end; all of it, if it has neither."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)\A.*?\\begin\{document\}", ""), r"(?s)\\end\{document\}.*\z", "")
 
 
 def prose(text: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +25,31 @@ def missing(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
+# fixed values: letters that decompose into nothing, and marks, with what they are read as
+_READ_AS = dict(zip("øØłŁđĐħĦıŧŦ‘’“”–—‐‑−", "oOlLdDhHitT''\"\"-----"))
+_SPELT = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
+
+
+def _plain_letters() -> dict[str, str]:
+    """Latin letters with marks and the letter below them."""
+    parts = {c: unicodedata.normalize("NFKD", c) for c in map(chr, range(0xC0, 0x250))}
+    return {c: p[0] for c, p in parts.items() if len(p) > 1 and p[0].isascii() and all(map(unicodedata.combining, p[1:]))}
+
+
+def transliterate(c: Column) -> Column:
+    """Latin letters without their marks, quotes and dashes in ASCII. Other scripts stay."""
+    for a, b in _SPELT.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    table = _plain_letters() | _READ_AS
+    return F.translate(c, "".join(table), "".join(table.values()))
+
+
 def normalize_title(c: Column) -> Column:
-    """Lower case, commands unwrapped, braces and quotes dropped, blanks collapsed."""
-    c = F.lower(c)
+    """Transliterated, lower case, commands unwrapped, braces, ties and backslashes blanked, quotes dropped, blanks collapsed."""
+    c = F.lower(transliterate(c))
     c = F.regexp_replace(c, r"\\[a-z]+\{([^}]*)\}", "$1")
-    c = F.regexp_replace(c, r"[{}~\\]", "")
-    c = F.regexp_replace(c, "[\"'`‘’“”]", "")
+    c = F.regexp_replace(c, r"[{}~\\]", " ")
+    c = F.regexp_replace(c, "[\"'`]", "")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
@@ -100,5 +123,70 @@ def acquisition_exhausted(reasons: Column, definitive: list[str]) -> Column:
     return (F.size(reasons) > 0) & F.forall(reasons, lambda r: F.exists(F.array(*map(F.lit, definitive)), lambda d: F.contains(r, d)))
 
 
-def grobid_timeout(megabytes: Column) -> Column:
-    return F.least(F.greatest(60 + 10 * megabytes, F.lit(60)), F.lit(600))
+def fold(c: Column) -> Column:
+    """Compatibility forms, no combining marks, lower case, blanks collapsed: for matching in any script."""
+    def folded(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else re.sub(r"\s+", " ", "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).lower()))
+
+    folded.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(folded, "string")(c)
+
+
+# fixed values: words that begin a family name
+PARTICLES = ["van", "de", "von", "der", "den", "du", "da", "la", "le"]
+
+
+def last_token_surname(name: Column) -> Column:
+    """What stands before a comma, else the last word."""
+    n = F.trim(name)
+    return F.when(F.contains(n, F.lit(",")), F.trim(F.substring_index(n, ",", 1))).otherwise(F.coalesce(F.get(F.split(n, r"\s+"), F.size(F.split(n, r"\s+")) - 1), F.lit("")))
+
+
+def particle_surname(name: Column) -> Column:
+    """What stands before a comma, else the words from the first particle on, else the last word."""
+    words = F.split(F.trim(name), r"\s+")
+    at = F.array_position(F.transform(words, lambda w: F.lower(w).isin(PARTICLES)), True)
+    return F.when(F.contains(F.trim(name), F.lit(",")) | (at == 0), last_token_surname(name)).otherwise(F.array_join(F.slice(words, at.cast("int"), F.size(words)), " "))
+
+
+def search_query(title: Column, surname: Column) -> Column:
+    """A title without marks but hyphens, after the first author's name, if there is one."""
+    plain = F.trim(F.regexp_replace(title, r"(?U)[^\w\s-]", ""))
+    return F.when(missing(surname), plain).otherwise(F.concat(surname, F.lit(" "), plain))
+
+
+def status_reason(code: Column) -> Column:
+    return F.when(code.isin(401, 403, 405, 429, 451), F.concat(F.lit("site (HTTP "), code, F.lit(")"))).when((code >= 500) & (code < 600), F.concat(F.lit("server error (HTTP "), code, F.lit(")"))).otherwise(F.concat(F.lit("HTTP "), code))
+
+
+def coerce_year(value: Column) -> Column:
+    """The year that the first four characters give, from 1500 to 2100; else null."""
+    y = F.when(F.left(F.trim(value), F.lit(4)).rlike(r"^\d{1,4}$"), F.left(F.trim(value), F.lit(4)).cast("int"))
+    return F.when(y.between(1500, 2100), y)
+
+
+def year_in_text(text: Column, year: Column) -> Column:
+    """True where the year stands as a number of its own."""
+    return F.coalesce(F.regexp_like(text, F.concat(F.lit(r"(?<!\d)"), year.cast("string"), F.lit(r"(?!\d)"))), F.lit(False))
+
+
+def local_kind(path: Column) -> Column:
+    """pdf, web_page, summary or none, by the file's name."""
+    return F.when(path.endswith(".pdf"), "pdf").when(path.endswith(".md"), F.when(F.contains(path, F.lit("_web")), "web_page").otherwise("summary")).otherwise("none")
+
+
+# fixed values: what an issue says, in this order, with level and rule
+ISSUE_RULES = [
+    ("dead url", "error", "reference-exists"), ("blocked by ", "warning", "reference-exists"), ("web content saved", "info", "reference-exists"),
+    ("content extraction failed", "warning", "reference-exists"), ("not found", "error", "reference-exists"), ("retracted", "error", "retracted-cite"),
+    ("mismatch", "warning", "reference-accuracy"), ("unverified url identifier", "info", "reference-accuracy"),
+    ("open access pdf available", "info", "reference-exists"), ("doi available but missing", "info", "reference-exists"),
+]
+
+
+def issue_rule(issue: Column) -> Column:
+    """``struct<level, rule>`` of an issue's text."""
+    low, out = F.lower(issue), F.struct(F.lit("warning").alias("level"), F.lit("reference-exists").alias("rule"))
+    for text, level, rule in reversed(ISSUE_RULES):
+        out = F.when(F.contains(low, F.lit(text)), F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"))).otherwise(out)
+    return out

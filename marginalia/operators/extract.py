@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import latex
+
 # fixed values: what counts as a citation command, and abbreviations that end no sentence
 CITE = r"\\cite(?:unverified|[tp]|yearpar)?\{([^}]+)\}"
 ABBREVIATIONS = ["et al.", "e.g.", "i.e.", "cf.", "vs.", "Dr.", "Mr.", "Mrs.", "Prof.", "Fig.", "Eq.", "Ref.", "Sec.", "Vol.", "No.", "U.S.", "U.K.", "N.J."]
@@ -12,9 +14,9 @@ MAX_PARAGRAPH, MAX_CHUNK, MIN_SENTENCE = 10_000, 30_000, 30
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``(paper, line, content)``, lines from 1, comments cut at an unescaped ``%``."""
-    return docs.select("paper", F.posexplode(F.split("text", "\n")).alias("line", "content")).select(
-        "paper", (F.col("line") + 1).alias("line"), F.regexp_replace("content", r"(?<!\\)%.*$", "").alias("content"))
+    """``(paper, line, content)``, lines from 1, comments cut at an unescaped ``%``, then verbatim text blanked."""
+    text = latex.strip_verbatim(latex.strip_comments(F.col("text")))
+    return docs.select("paper", F.posexplode(F.split(text, "\n")).alias("line", "content")).select("paper", (F.col("line") + 1).alias("line"), "content")
 
 
 def _arguments(docs: DataFrame, pattern: str, name: str) -> DataFrame:
@@ -32,8 +34,11 @@ def unverified_keys(docs: DataFrame) -> DataFrame:
 
 
 def bare_keys(docs: DataFrame) -> DataFrame:
-    """Cited, but never as unverified."""
-    return cite_keys(docs).select("paper", "key").distinct().join(unverified_keys(docs).select("paper", "key"), ["paper", "key"], "left_anti")
+    """Cited, but never as unverified; in one pass."""
+    found = lambda group: F.regexp_extract_all("content", F.lit(r"\\cite(unverified|[tp]|yearpar)?\{([^}]+)\}"), group)
+    rows = lines(docs).select("paper", F.explode(F.arrays_zip(found(1).alias("kind"), found(2).alias("keys"))).alias("c"))
+    rows = rows.select("paper", (F.col("c.kind") == "unverified").alias("unverified"), F.explode(F.split("c.keys", ",")).alias("key")).withColumn("key", F.trim("key")).where("key <> ''")
+    return rows.groupBy("paper", "key").agg(F.bool_or("unverified").alias("u")).where("NOT u").drop("u")
 
 
 def labels(docs: DataFrame) -> DataFrame:
@@ -41,7 +46,45 @@ def labels(docs: DataFrame) -> DataFrame:
 
 
 def refs(docs: DataFrame) -> DataFrame:
-    return _arguments(docs, r"\\(?:ref|eqref|pageref|autoref|cref|Cref)\{([^}]+)\}", "label")
+    return _arguments(docs, r"\\(?:ref|eqref|pageref)\{([^}]+)\}", "label")
+
+
+def dangling_refs(docs: DataFrame) -> DataFrame:
+    """``(paper, label)`` that are referred to and not defined, in one pass."""
+    def found(pattern: str, defined: bool) -> Column:
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda x: F.struct(F.trim(x).alias("label"), F.lit(defined).alias("defined")))
+
+    rows = lines(docs).select("paper", F.explode(F.concat(found(r"\\(?:ref|eqref|pageref)\{([^}]+)\}", False), found(r"\\label\{([^}]+)\}", True))).alias("x"))
+    return rows.groupBy("paper", "x.label").agg(F.bool_or("x.defined").alias("d")).where("NOT d").drop("d")
+
+
+def unreferenced_figures(docs: DataFrame) -> DataFrame:
+    """``(paper, label)``: labels ``fig:...`` inside figures that nothing refers to."""
+    text = docs.select("paper", latex.body(latex.strip_comments(F.col("text"))).alias("text"))
+    figures = F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{(?:figure|figure\*|subfigure)\}(.*?)\\end\{(?:figure|figure\*|subfigure)\}"), 1)
+    labels_ = F.flatten(F.transform(figures, lambda f: F.regexp_extract_all(f, F.lit(r"\\label\{(fig:[^}]+)\}"), 1)))
+    used = F.regexp_extract_all("text", F.lit(r"\\(?:ref|eqref|pageref)\{([^}]+)\}"), 1)
+    return text.select("paper", F.explode(F.array_except(labels_, used)).alias("label"))
+
+
+def aux_citations(aux: DataFrame) -> DataFrame:
+    """``(paper, key)`` of the ``\\citation`` records of compiled manuscripts."""
+    found = aux.select("paper", F.explode(F.regexp_extract_all("text", F.lit(r"\\citation\{([^}]+)\}"), 1)).alias("arg"))
+    return found.select("paper", F.explode(F.split("arg", ",")).alias("key")).select("paper", F.trim("key").alias("key")).distinct()
+
+
+def cited(docs: DataFrame, aux: DataFrame | None = None) -> DataFrame:
+    """``(paper, key)``, each once: cited, named by ``\\nocite`` (``*`` too), or in the compiled records."""
+    text = docs.select("paper", latex.strip_comments(F.col("text")).alias("text"))
+    none = text.select("paper", F.explode(F.regexp_extract_all("text", F.lit(r"\\nocite\{([^}]+)\}"), 1)).alias("arg"))
+    none = none.select("paper", F.explode(F.split("arg", ",")).alias("key")).select("paper", F.trim("key").alias("key")).where("key <> ''")
+    out = cite_keys(docs).select("paper", "key").unionByName(none)
+    return (out.unionByName(aux_citations(aux)) if aux is not None else out).distinct()
+
+
+def keep_cited(entries: DataFrame, docs: DataFrame, aux: DataFrame | None = None) -> DataFrame:
+    """Bibliography entries that their manuscript cites."""
+    return entries.join(cited(docs, aux), ["paper", "key"], "left_semi")
 
 
 def bracket_citations(docs: DataFrame) -> DataFrame:
@@ -94,11 +137,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def numbered_entries(docs: DataFrame) -> DataFrame:
-    """Numbered bibliography entries with the identifiers they name."""
-    rows = docs.select("paper", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+\.\s+.*)$"), 1)).alias("entry"))
+    """``(paper, number, doi, arxiv_id, pmid, title)`` of numbered bibliography entries, each up to the next; those with neither identifier nor title go."""
+    rows = docs.select("paper", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^\d+\.\s+.*?(?=^\d+\.\s|\z)"), 0)).alias("entry"))
+    rows = rows.withColumn("entry", F.regexp_replace("entry", r"\s+\z", ""))
     first = lambda p: F.nullif(F.regexp_extract("entry", p, 1), F.lit(""))
-    return rows.select("paper", F.regexp_extract("entry", r"^(\d+)", 1).cast("int").alias("number"), first(r"(?i)(?:doi:\s*|doi\.org/)(10\.\d{4,}/[^\s,;]+)").alias("doi"),
-                       first(r"(?i)(?:arXiv:\s*|arxiv\.org/abs/)(\d{4}\.\d{4,5}(?:v\d+)?)").alias("arxiv_id"), first(r"(?i)(?:PMID:\s*|pubmed/)(\d{6,9})").alias("pmid"))
+    title = F.trim(F.regexp_extract("entry", r"^\d+\.\s+(?:[A-Z][^.]*?\.\s+)*(?:\(\d{4}\)\.\s*)?(.+?)(?:\.|$)", 1))
+    return rows.select("paper", F.regexp_extract("entry", r"^(\d+)", 1).cast("int").alias("number"), F.regexp_replace(first(r"(?i)(?:doi:\s*|doi\.org/)(10\.\d{4,}/[^\s,;]+)"), r"\.+$", "").alias("doi"),
+                       first(r"(?i)(?:arXiv:\s*|arxiv\.org/abs/)(\d{4}\.\d{4,5}(?:v\d+)?)").alias("arxiv_id"), first(r"(?i)(?:PMID:\s*|pubmed/)(\d{6,9})").alias("pmid"),
+                       F.when((F.length(title) > 10) & (F.length(title) < 300), title).alias("title")).where("coalesce(doi, arxiv_id, pmid, title) IS NOT NULL")
 
 
 def cite_key_names(rows: DataFrame, base: str = "base", order: str = "ord", by: str = "paper") -> DataFrame:

@@ -26,9 +26,9 @@ def claim_support(claims: DataFrame) -> DataFrame:
 
 
 def cite_purpose(claims: DataFrame) -> DataFrame:
-    """Citations that support nothing in particular."""
+    """Citations that support nothing in particular; skipped claims were never classified."""
     weight = lookup(PURPOSE_WEIGHTS, F.coalesce("purpose", F.lit("context")), 0.2)
-    kept = claims.where(~F.coalesce("dismissed", F.lit(False)) & (weight <= NO_PURPOSE))
+    kept = claims.where(~F.coalesce("dismissed", F.lit(False)) & (F.coalesce("verdict", F.lit("")) != "SKIPPED") & (weight <= NO_PURPOSE))
     return kept.select("paper", "key", "line", F.lit("warning").alias("level"), F.lit("cite-purpose").alias("rule"))
 
 
@@ -74,10 +74,12 @@ def effective_severity(findings: DataFrame, rules: DataFrame, overrides: DataFra
 
 
 def citation_direction(cites: DataFrame, rules: DataFrame) -> DataFrame:
-    """``paper, other, kind``: papers that cite what is forbidden, or not what is required."""
+    """``paper, other, kind``: each forbidden key that a paper cites, and papers that cite none of the keys required of them (``other`` null)."""
     c = cites.select("paper", F.col("key").alias("other")).distinct().withColumn("cited", F.lit(True))
     checked = rules.join(c, ["paper", "other"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
-    return checked.where(((F.col("kind") == "forbidden") & F.col("cited")) | ((F.col("kind") == "required") & ~F.col("cited"))).select("paper", "other", "kind")
+    forbidden = checked.where((F.col("kind") == "forbidden") & F.col("cited")).select("paper", "other", "kind")
+    required = checked.where("kind = 'required'").groupBy("paper").agg(F.bool_or("cited").alias("any")).where("NOT any")
+    return forbidden.unionByName(required.select("paper", F.lit(None).cast(rules.schema["other"].dataType).alias("other"), F.lit("required").alias("kind")))
 
 
 def with_neighbours(hits: DataFrame, sections: DataFrame, most: int) -> DataFrame:

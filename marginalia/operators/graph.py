@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 
 def bucket() -> Column:
-    """References are cited together in one section, or within 50 lines; without either, alone."""
-    section = F.nullif("section", F.lit(""))
-    return F.coalesce(section, F.concat(F.lit("lines_"), F.floor(F.col("line") / 50).cast("string")), F.concat(F.lit("key_"), "key"))
+    """References are cited together in one section, or within 50 lines; no line counts as line 0."""
+    return F.coalesce(F.nullif("section", F.lit("")), F.concat(F.lit("lines_"), F.floor(F.coalesce("line", F.lit(0)) / 50).cast("string")))
 
 
 def members(claims: DataFrame) -> DataFrame:

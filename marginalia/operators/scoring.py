@@ -47,11 +47,12 @@ def reference_scores(claims: DataFrame) -> DataFrame:
                       F.when(some, F.col("n")).otherwise(F.col("all")).alias("claims"), F.col("SUPPORTS").alias("supports"), F.col("PARTIALLY_SUPPORTS").alias("partial"), F.col("NOT_SUPPORTED").alias("not_supported"))
 
 
-def referencing_quality(scores: DataFrame, child: DataFrame | None = None) -> DataFrame:
-    """``(paper, quality)``: weighted mean of verification times the cited paper's own score (its verification, where unknown)."""
+def referencing_quality(scores: DataFrame, child: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
+    """``(paper, quality)``: weighted mean of verification times the cited paper's own score (its verification, where unknown). Of ``papers``, those without references have 1."""
     s = scores.join(child, ["paper", "key"], "left") if child is not None else scores.withColumn("child", F.lit(None).cast("double"))
     s = s.withColumn("v", F.col("weight") * F.col("verification") * F.coalesce("child", "verification"))
-    return s.groupBy("paper").agg(F.when(F.sum("weight") > 0, F.sum("v") / F.sum("weight")).otherwise(0.0).alias("quality"))
+    out = s.groupBy("paper").agg(F.when(F.sum("weight") > 0, F.sum("v") / F.sum("weight")).otherwise(0.0).alias("quality"))
+    return out if papers is None else papers.select("paper").distinct().join(out, "paper", "left").select("paper", F.coalesce("quality", F.lit(1.0)).alias("quality"))
 
 
 def metadata_score(tier: Column, api_match: Column, mismatches: Column, formal: Column, retracted: Column, nature: Column) -> Column:

@@ -102,8 +102,7 @@ def bare_cite_keys(spark, d):
 
 @query("""SELECT DISTINCT l_orderkey AS paper, 'fig:' || l_linenumber AS label FROM lineitem EXCEPT SELECT l_orderkey, 'fig:' || l_linenumber FROM lineitem WHERE l_quantity > 25""")
 def dangling_references(spark, d):
-    m = manuscripts(spark, d)
-    return extract.refs(m).select("paper", "label").distinct().join(extract.labels(m).select("paper", "label"), ["paper", "label"], "left_anti")
+    return extract.dangling_refs(manuscripts(spark, d))
 
 
 @query(f"""WITH c AS (SELECT l_orderkey AS paper, 'p' || l_partkey AS key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {LINE}) AS INT) AS line FROM lineitem),
@@ -293,9 +292,10 @@ def reference_scores(spark, d):
     return scoring.reference_scores(claims(spark, d))
 
 
-@query("WITH " + REF_SCORES + " SELECT paper, round(CASE WHEN sum(weight) > 0 THEN sum(weight * verification * verification) / sum(weight) ELSE 0.0 END + 1e-9, 6) AS quality FROM ref_scores GROUP BY paper")
+@query("WITH " + REF_SCORES + " SELECT paper, round(CASE WHEN sum(weight) > 0 THEN sum(weight * verification * verification) / sum(weight) ELSE 0.0 END + 1e-9, 6) AS quality FROM ref_scores GROUP BY paper UNION ALL SELECT o_orderkey, 1.0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def referencing_quality(spark, d):
-    return scoring.referencing_quality(scoring.reference_scores(claims(spark, d))).withColumn("quality", F.round(F.col("quality") + 1e-9, 6))
+    papers = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper"))
+    return scoring.referencing_quality(scoring.reference_scores(claims(spark, d)), papers=papers).withColumn("quality", F.round(F.col("quality") + 1e-9, 6))
 
 
 META = "greatest(0.0, least(1.0, CASE s_nationkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.3 END - CASE WHEN s_suppkey % 4 = 0 THEN 0.1 ELSE 0.0 END - 0.1 * (s_suppkey % 3) - CASE WHEN s_suppkey % 5 = 0 THEN 0.2 ELSE 0.0 END))"
@@ -340,11 +340,11 @@ def run_summary(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("runs"), r(F.sum, "total"), r(F.avg, "mean"), r(F.min, "least"), r(F.max, "most"))
 
 
-@query("""WITH s AS (SELECT conv_id AS item, turn % 3 AS sample, turn AS ord, left(text, 1) AS text FROM conversations), n AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS span FROM s),
+@query("""WITH s AS (SELECT conv_id AS item, turn % 3 AS sample, turn AS ord, text FROM conversations), n AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS span FROM s),
   g AS (SELECT item, span, count(DISTINCT sample) AS votes, arg_min(text, sample * 1000000 + ord) AS text FROM n WHERE span <> '' GROUP BY item, span)
   SELECT item, span, votes, text, CASE WHEN votes = 3 THEN 'warning' ELSE 'info' END AS level FROM g WHERE votes * 2 > 3""")
 def consistent_findings(spark, d):
-    s = table(spark, d, "conversations").select(F.col("conv_id").alias("item"), (F.col("turn") % 3).alias("sample"), F.col("turn").alias("ord"), F.left("text", F.lit(1)).alias("text"))
+    s = table(spark, d, "conversations").select(F.col("conv_id").alias("item"), (F.col("turn") % 3).alias("sample"), F.col("turn").alias("ord"), "text")
     return scoring.votes(s, 3)
 
 
@@ -424,10 +424,10 @@ def unification(spark, d):
     return graph.unification(claims(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, (c_custkey * 7) % 1000 AS b FROM customer WHERE c_custkey % 4 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey - c_custkey % 10 + (c_custkey * 7) % 10 AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
   r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
 def reference_clusters(spark, d):
-    return components.connected_components(table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7) % 1000).alias("dst")))
+    return components.connected_components(table(spark, d, "customer").selectExpr("c_custkey AS src", "c_custkey - c_custkey % 10 + (c_custkey * 7) % 10 AS dst"))
 
 
 def _vectors(spark, d):
@@ -469,22 +469,6 @@ def hourly_events(spark, d):
     return timestate.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def _ticks(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").select((F.col("user_id") % 50).alias("series"), F.col("event_id").alias("tick"), (F.pmod(v, F.lit(100.0)) / 100).alias("kv"), F.pmod(F.col("event_id"), F.lit(17)).cast("int").alias("waiting"), F.pmod(F.col("event_id") * 3, F.lit(40)).cast("int").alias("running"), F.lit(100).alias("in_flight"), F.when(F.col("event_id") % 41 == 0, 1).otherwise(0).alias("preempted"))
-
-
-@query()
-def capacity_controller(spark, d):
-    return timestate.capped(_ticks(spark, d).where("kv IS NOT NULL"))
-
-
-@query()
-def rate_limits(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") % 50).alias("series"), F.col("event_id").alias("tick"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    return timestate.token_bucket(e.select("series", "tick", (F.col("us") / 1e6).alias("seconds")), 3, 60.0)
-
-
 @query()
 def fuzzy_part_matches(spark, d):
     p = table(spark, d, "part")

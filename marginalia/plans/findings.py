@@ -21,7 +21,7 @@ def claim_support_findings(spark, d):
     return findings.claim_support(claims(spark, d))
 
 
-@query("WITH " + CLAIMS + " SELECT paper, key, line, 'warning' AS level, 'cite-purpose' AS rule FROM claims WHERE NOT dismissed AND purpose IN ('context', 'unknown')")
+@query("WITH " + CLAIMS + " SELECT paper, key, line, 'warning' AS level, 'cite-purpose' AS rule FROM claims WHERE NOT dismissed AND verdict <> 'SKIPPED' AND purpose IN ('context', 'unknown')")
 def cite_purpose_findings(spark, d):
     return findings.cite_purpose(claims(spark, d))
 
@@ -69,20 +69,21 @@ def open_access_ranks(spark, d):
     return table(spark, d, "part").select(k.alias("key"), score.alias("score"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'error' WHEN 'view' THEN 'warning' ELSE 'info' END AS level FROM events WHERE event_type IN ('click', 'view', 'purchase')""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'error' WHEN 'view' THEN 'warning' ELSE 'info' END AS level FROM events""")
 def overridden_severity(spark, d):
-    e = table(spark, d, "events").where("event_type IN ('click', 'view', 'purchase')").select("event_id", F.col("event_type").alias("rule"), F.lit("info").alias("level"))
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("rule"), F.lit("info").alias("level"))
     rules = spark.createDataFrame([("click", "warning"), ("view", "warning"), ("purchase", "info")], "rule string, severity string")
     return findings.effective_severity(e, rules, spark.createDataFrame([("click", "error")], "rule string, override string")).select("event_id", "level")
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS other FROM lineitem), r AS (SELECT o_orderkey AS paper, o_custkey % 50 AS other, CASE WHEN o_orderkey % 2 = 0 THEN 'forbidden' ELSE 'required' END AS kind FROM orders)
-  SELECT r.paper, r.other, r.kind FROM r LEFT JOIN c ON c.paper = r.paper AND c.other = r.other WHERE (kind = 'forbidden' AND c.paper IS NOT NULL) OR (kind = 'required' AND c.paper IS NULL)""")
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS other FROM lineitem), r AS (SELECT DISTINCT o_orderkey AS paper, unnest([o_custkey % 50, o_custkey % 7]) AS other, CASE WHEN o_orderkey % 2 = 0 THEN 'forbidden' ELSE 'required' END AS kind FROM orders),
+  j AS (SELECT r.*, c.paper IS NOT NULL AS cited FROM r LEFT JOIN c ON c.paper = r.paper AND c.other = r.other)
+  SELECT paper, other, kind FROM j WHERE kind = 'forbidden' AND cited UNION ALL SELECT paper, -1, 'required' FROM j WHERE kind = 'required' GROUP BY paper HAVING NOT bool_or(cited)""")
 def citation_direction(spark, d):
     cites = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("key"))
-    o = table(spark, d, "orders")
-    rules = o.select(F.col("o_orderkey").alias("paper"), (F.col("o_custkey") % 50).alias("other"), F.when(F.col("o_orderkey") % 2 == 0, "forbidden").otherwise("required").alias("kind"))
-    return findings.citation_direction(cites, rules)
+    rules = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("paper"), F.explode(F.array(F.col("o_custkey") % 50, F.col("o_custkey") % 7)).alias("other"), F.when(F.col("o_orderkey") % 2 == 0, "forbidden").otherwise("required").alias("kind"))
+    return findings.citation_direction(cites, rules.distinct()).withColumn("other", F.coalesce("other", F.lit(-1)))
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS section FROM lineitem), h AS (SELECT l_suppkey AS query, l_orderkey AS doc, l_linenumber AS section, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS INT) AS rank FROM lineitem QUALIFY rank <= 10),

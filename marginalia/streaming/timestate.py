@@ -1,9 +1,8 @@
-"""Series with state: smoothing, the capacity controller, token buckets; in batch and as streams."""
+"""Series with state: smoothing and windows, in batch and as streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,93 +41,3 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
     """Events of each type in tumbling windows; our own extension, for batch and streams alike."""
     return (events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
             .select(F.col("w.start").alias("window_start"), "event_type", "n"))
-
-
-@dataclass(frozen=True)
-class Limits:
-    # fixed values: the controller's bands and steps
-    low: float = 0.60
-    high: float = 0.80
-    aim: float = 0.70
-    alpha: float = ALPHA
-    signals: int = 5
-    step: float = 0.15
-    floor: int = 1
-    ceiling: int = 100
-    queue: int = 8
-    used: float = 0.8
-    preempt_step: float = 0.5
-    preempt_safe: float = 0.85
-    cooldown: int = 5
-    window: int = 5
-
-
-@dataclass(frozen=True)
-class Cap:
-    cap: int
-    kv: float = 0.0
-    above: int = 0
-    below: int = 0
-    queued: int = 0
-    seen: int = 0
-    cooling: int = 0
-    safe: int = 0
-    recent: tuple = field(default=())
-
-
-def controlled(state: Cap, kv: float, waiting: int, running: int, in_flight: int, preempted: int, limits: Limits = Limits()) -> tuple[Cap, str]:
-    """The next state for one tick, and why: preemptions halve the cap at once, steady signals move it, a cap that was too high is remembered."""
-    recent = (*state.recent, preempted)[-limits.window :]
-    smooth = kv if state.seen == 0 else limits.alpha * kv + (1 - limits.alpha) * state.kv
-    if sum(recent) > 0:
-        safe = int(state.cap * limits.preempt_safe)
-        return Cap(max(limits.floor, running // 2, int(state.cap * limits.preempt_step)), smooth, seen=state.seen + 1, cooling=limits.cooldown, safe=min(safe, state.safe) if state.safe else safe), "shrink_preempt"
-    queue = waiting > limits.queue and smooth > limits.high
-    busy = in_flight >= state.cap * limits.used
-    low = smooth < limits.low and not queue and busy
-    counts = {"queued": state.queued + 1 if queue else 0, "above": state.above + 1 if smooth > limits.high else 0, "below": state.below + 1 if low else 0}
-    cap, why = state.cap, "hold"
-    if counts["queued"] >= limits.signals or counts["above"] >= limits.signals:
-        cap, why = max(limits.floor, int(state.cap * (1 - limits.step))), "shrink_queue" if counts["queued"] >= limits.signals else "shrink_kv_high"
-    elif counts["below"] >= limits.signals:
-        if state.cooling:
-            why = "hold_post_preempt"
-        else:
-            # the projection uses the smoothed value of the tick before
-            aim = int(limits.aim / state.kv * running) if running > 0 and state.kv > 0.02 else state.cap + 1
-            aim = max(aim, state.cap + 1)
-            cap, why = min(limits.ceiling, max(min(aim, state.safe) if state.safe else aim, state.cap)), "grow_kv_low"
-    if cap != state.cap:
-        counts = dict.fromkeys(counts, 0)
-    safe = state.safe
-    if safe and not state.cooling and low and safe < limits.ceiling:
-        safe = min(safe + 1, limits.ceiling)
-    return replace(state, cap=cap, kv=smooth, seen=state.seen + 1, cooling=max(0, state.cooling - 1), safe=safe, recent=recent, **counts), why
-
-
-def capped(ticks: DataFrame, start: int = 20, limits: Limits = Limits()) -> DataFrame:
-    """``(series, tick, cap, reason)`` of ``series, tick, kv, waiting, running, in_flight, preempted``. A series is one controller's run."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Cap(start), []
-        for t in pdf.sort_values("tick").itertuples():
-            state, why = controlled(state, t.kv, t.waiting, t.running, t.in_flight, t.preempted, limits)
-            out.append((t.series, t.tick, state.cap, why))
-        return pd.DataFrame(out, columns=["series", "tick", "cap", "reason"])
-
-    return ticks.groupBy("series").applyInPandas(run, "series long, tick long, cap long, reason string")
-
-
-def token_bucket(requests: DataFrame, rate: float, period: float) -> DataFrame:
-    """``(series, tick, wait)`` of ``series, tick, seconds``: a bucket starts full, refills evenly and gives one token a request."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = rate, None, []
-        for t in pdf.sort_values(["seconds", "tick"]).itertuples():
-            now = t.seconds if last is None else max(t.seconds, last)
-            tokens = min(rate, tokens + (0 if last is None else (now - last) * rate / period))
-            wait = 0.0 if tokens >= 1 else (1 - tokens) * period / rate
-            tokens = tokens + wait * rate / period - 1
-            last = now + wait
-            out.append((t.series, t.tick, wait))
-        return pd.DataFrame(out, columns=["series", "tick", "wait"])
-
-    return requests.groupBy("series").applyInPandas(run, "series long, tick long, wait double")

@@ -45,8 +45,23 @@ def test_chunks(spark):
 
 
 def test_numbered_entries(spark):
-    assert rows(extract.numbered_entries(docs(spark, "1. A. doi: 10.1234/ab, x\n2. B. arXiv:2101.00001v2\n3. C"))) == [
-        (0, 1, "10.1234/ab", None, None), (0, 2, None, "2101.00001v2", None), (0, 3, None, None, None)]
+    text = "1. A. doi: 10.1234/ab, x\n2. B. arXiv:2101.00001v2\n3. C\n4. Smith, J. (2020). A long enough title\nhere. doi:10.5555/xyz.\n"
+    assert rows(extract.numbered_entries(docs(spark, text))) == [
+        (0, 1, "10.1234/ab", None, None, None), (0, 2, None, "2101.00001v2", None, None), (0, 4, "10.5555/xyz", None, None, None)]
+    assert rows(extract.numbered_entries(docs(spark, "7. Smith, J. (2020). A long enough title here. More")), "number", "title") == [(7, "A long enough title here")]
+
+
+def test_verbatim_text_cites_nothing(spark):
+    d = docs(spark, "\\cite{a}\n\\begin{Verbatim}\n\\cite{b}\n\\end{Verbatim}\n\\verb|\\cite{c}| \\cite{d}\n\\autoref{x} \\ref{y}")
+    assert rows(extract.cite_keys(d), "line", "key") == [(1, "a"), (5, "d")]
+    assert rows(extract.dangling_refs(d), "label") == [("y",)]
+
+
+def test_figures_and_cited_entries(spark):
+    d = docs(spark, "\\begin{document}\\begin{figure*}\\label{fig:a}\n\\label{tab:x}\\end{figure*}\\begin{figure}\\label{fig:b}\\end{figure} \\ref{fig:b} \\label{fig:c} \\nocite{k1, *} \\cite{k2}\\end{document}")
+    assert rows(extract.unreferenced_figures(d), "label") == [("fig:a",)]
+    aux = docs(spark, "\\citation{k3,k4}\n\\bibcite{k9}{1}")
+    assert rows(extract.cited(d, aux), "key") == [("*",), ("k1",), ("k2",), ("k3",), ("k4",)]
 
 
 def test_dangling_needs_a_bibliography(spark):
@@ -66,6 +81,11 @@ def test_url_and_ids(spark):
     assert one(S.acquisition_exhausted(F.array(F.lit("http 404"), F.lit("paywalled")), ["404", "paywall"])) is True
     assert one(S.acquisition_exhausted(F.array().cast("array<string>"), ["404"])) is False
     assert one(S.normalize_venue(F.lit("Proceedings of the {ACL}, 2020"))) == "acl"
+    assert one(S.normalize_title(F.lit("A~{B} \\emph{Über} l’été – Straße"))) == "a b uber lete - strasse"
+    assert one(S.particle_surname(F.lit("Bas van Fraassen"))) == "van Fraassen" and one(S.last_token_surname(F.lit("Smith, J"))) == "Smith"
+    assert one(S.coerce_year(F.lit("2020-01"))) == 2020 and one(S.coerce_year(F.lit("20a0"))) is None
+    assert one(S.issue_rule(F.lit("Title MISMATCH: not found"))) == ("error", "reference-exists")
+    assert one(S.year_in_text(F.lit("in 12020 and 2020."), F.lit(2020))) and not one(S.year_in_text(F.lit("12020"), F.lit(2020)))
 
 
 def test_ratios():
@@ -121,15 +141,6 @@ def test_unification(spark):
     assert got[2]["score"] == 0.0
 
 
-def test_controller():
-    state = timestate.Cap(20)
-    for _ in range(5):
-        state, why = timestate.controlled(state, 0.3, 0, 10, 20, 0)
-    assert (why, state.cap) == ("grow_kv_low", 23)
-    state, why = timestate.controlled(state, 0.3, 0, 10, 20, 1)
-    assert (why, state.cap, state.safe, state.cooling) == ("shrink_preempt", 11, 19, 5)
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "rw.csv").write_text('OriginalPaperDOI,RetractionNature,Reason,RetractionDate,Title\n10.1/A,Retraction,x,2020-01-01,T\nunavailable,Retraction,x,2020-01-01,T\n10.1/B,,x,2020-01-01,T\n')
     assert rows(readers.retraction_register(spark, str(tmp_path / "rw.csv")), "doi", "nature") == [("10.1/a", "Retraction")]
