@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from marginalia.plans import findings, records  # noqa: F401  both add to the catalogue
+from marginalia.plans import findings, records, structure  # noqa: F401  all add to the catalogue
 from marginalia.plans.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
