@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ann, decontaminate, langid, line_dedup, lm, packing, quality, secrets, simhash, simple8b
+from marginalia.llm import ann, decontaminate, langid, line_dedup, lm, mixing, packing, quality, secrets, simhash, simple8b
 
 QUERIES = {
     "op1_language_evidence": langid.op1_language_evidence,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_context_mixing": lm.op10_context_mixing,
+    "op11_weighted_fair_queueing": mixing.op11_weighted_fair_queueing,
 }
 SQL = {
     "op5_decontamination": decontaminate.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_weighted_fair_queueing": mixing.OP11_SQL,
 }
