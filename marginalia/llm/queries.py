@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ann, decontaminate, langid, line_dedup, lm, mixing, packing, quality, secrets, simhash, simple8b
+from marginalia.llm import ann, clustering, collocations, decontaminate, langid, line_dedup, lm, mixing, packing, quality, secrets, simhash, simple8b
 
 QUERIES = {
     "op1_language_evidence": langid.op1_language_evidence,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_context_mixing": lm.op10_context_mixing,
     "op11_weighted_fair_queueing": mixing.op11_weighted_fair_queueing,
+    "op12_sharded_lloyd": clustering.op12_sharded_lloyd,
+    "op13_collocations": collocations.op13_collocations,
 }
 SQL = {
     "op5_decontamination": decontaminate.OP5_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op11_weighted_fair_queueing": mixing.OP11_SQL,
+    "op12_sharded_lloyd": clustering.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
