@@ -32,6 +32,14 @@ def body(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)\A.*?\\begin\{document\}", ""), r"(?s)\\end\{document\}.*\z", "")
 
 
+def document_body(text: Column) -> Column:
+    """From the line after the document's begin to its end; all of it, if either is missing."""
+    begin, end = F.instr(text, r"\begin{document}"), F.instr(text, r"\end{document}")
+    feed = F.call_function("locate", F.lit("\n"), text, begin)
+    start = F.when(feed > 0, feed + 1).otherwise(begin)
+    return F.when((begin > 0) & (end > 0), F.substring(text, start, F.greatest(end - start, F.lit(0)))).otherwise(text)
+
+
 def prose(text: Column) -> Column:
     """Without environments that hold no prose."""
     return F.regexp_replace(text, r"(?s)\\begin\{(" + "|".join(NOT_PROSE) + r")\*?\}.*?\\end\{\1\*?\}", "")

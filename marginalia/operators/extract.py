@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import latex
+from marginalia.operators.arguments import command_arguments
 
 # fixed values: what counts as a citation command, and abbreviations that end no sentence
 CITE = r"\\cite(?:unverified|[tp]|yearpar)?\{([^}]+)\}"
@@ -49,22 +50,27 @@ def refs(docs: DataFrame) -> DataFrame:
     return _arguments(docs, r"\\(?:ref|eqref|pageref)\{([^}]+)\}", "label")
 
 
-def dangling_refs(docs: DataFrame) -> DataFrame:
-    """``(paper, label)`` that are referred to and not defined, in one pass."""
-    def found(pattern: str, defined: bool) -> Column:
-        return F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda x: F.struct(F.trim(x).alias("label"), F.lit(defined).alias("defined")))
+# fixed values: commands that refer to labels
+REFERENCES = ["ref", "eqref", "pageref"]
+
+
+def _body(docs: DataFrame) -> DataFrame:
+    return docs.select("paper", latex.document_body(latex.strip_comments(F.col("text"))).alias("text"))
 
-    rows = lines(docs).select("paper", F.explode(F.concat(found(r"\\(?:ref|eqref|pageref)\{([^}]+)\}", False), found(r"\\label\{([^}]+)\}", True))).alias("x"))
-    return rows.groupBy("paper", "x.label").agg(F.bool_or("x.defined").alias("d")).where("NOT d").drop("d")
+
+def dangling_refs(docs: DataFrame) -> DataFrame:
+    """``(paper, label)`` that the body refers to and doesn't define. Arguments are taken whole, as balanced braces hold them."""
+    rows = command_arguments(_body(docs), [*REFERENCES, "label"])
+    return rows.groupBy("paper", F.col("argument").alias("label")).agg(F.bool_or(F.col("command") == "label").alias("d")).where("NOT d").drop("d")
 
 
 def unreferenced_figures(docs: DataFrame) -> DataFrame:
     """``(paper, label)``: labels ``fig:...`` inside figures that nothing refers to."""
-    text = docs.select("paper", latex.body(latex.strip_comments(F.col("text"))).alias("text"))
+    text = _body(docs)
     figures = F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{(?:figure|figure\*|subfigure)\}(.*?)\\end\{(?:figure|figure\*|subfigure)\}"), 1)
-    labels_ = F.flatten(F.transform(figures, lambda f: F.regexp_extract_all(f, F.lit(r"\\label\{(fig:[^}]+)\}"), 1)))
-    used = F.regexp_extract_all("text", F.lit(r"\\(?:ref|eqref|pageref)\{([^}]+)\}"), 1)
-    return text.select("paper", F.explode(F.array_except(labels_, used)).alias("label"))
+    labels_ = F.array_distinct(F.flatten(F.transform(figures, lambda f: F.regexp_extract_all(f, F.lit(r"\\label\{(fig:[^}]+)\}"), 1))))
+    used = command_arguments(text, REFERENCES).select("paper", F.col("argument").alias("label"))
+    return text.select("paper", F.explode(labels_).alias("label")).join(used, ["paper", "label"], "left_anti")
 
 
 def aux_citations(aux: DataFrame) -> DataFrame:

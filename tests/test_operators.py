@@ -58,7 +58,7 @@ def test_verbatim_text_cites_nothing(spark):
 
 
 def test_figures_and_cited_entries(spark):
-    d = docs(spark, "\\begin{document}\\begin{figure*}\\label{fig:a}\n\\label{tab:x}\\end{figure*}\\begin{figure}\\label{fig:b}\\end{figure} \\ref{fig:b} \\label{fig:c} \\nocite{k1, *} \\cite{k2}\\end{document}")
+    d = docs(spark, "\\begin{document}\n\\begin{figure*}\\label{fig:a}\n\\label{tab:x}\\end{figure*}\\begin{figure}\\label{fig:b}\\end{figure} \\ref{fig:b} \\label{fig:c} \\nocite{k1, *} \\cite{k2}\\end{document}")
     assert rows(extract.unreferenced_figures(d), "label") == [("fig:a",)]
     aux = docs(spark, "\\citation{k3,k4}\n\\bibcite{k9}{1}")
     assert rows(extract.cited(d, aux), "key") == [("*",), ("k1",), ("k2",), ("k3",), ("k4",)]
