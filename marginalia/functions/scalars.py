@@ -44,6 +44,14 @@ def transliterate(c: Column) -> Column:
     return F.translate(c, "".join(table), "".join(table.values()))
 
 
+def plain(s: str) -> str:
+    """``transliterate`` of a string; marks of other scripts go as well."""
+    for a, b in _SPELT.items():
+        s = s.replace(a, b)
+    s = unicodedata.normalize("NFKD", s.translate(str.maketrans(_READ_AS)))
+    return "".join(c for c in s if not unicodedata.combining(c))
+
+
 def normalize_title(c: Column) -> Column:
     """Transliterated, lower case, commands unwrapped, braces, ties and backslashes blanked, quotes dropped, blanks collapsed."""
     c = F.lower(transliterate(c))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from itertools import product
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import scalars
+
 
 def indel_ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths; 1 for two empty strings. Bit-parallel over the first string."""
@@ -46,35 +52,57 @@ def fuzzy_partial(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pairwise(partial_ratio), "double")(a, b)
 
 
-def name_variants(name: str) -> list[str]:
-    """Ways to write a name: given names whole or as initials, middle names there or not, family name last or first. At most three middle names vary; variants of initials alone are left out."""
-    name = " ".join(name.lower().replace(".", " ").split())
-    if "," in name:
-        family, given = (x.strip() for x in name.split(",", 1))
-        parts = [*given.split(), family]
-    else:
-        parts = name.split()
-    if len(parts) < 2:
-        return parts
-    *given, family = parts
-    first = {given[0], given[0][0]}
-    middles = [""]
-    for m in given[1:4]:
-        middles = [f"{a} {b}".strip() for a in middles for b in ("", m, m[0])]
-    made = {" ".join(x.split()) for f in first for m in middles for x in (f"{f} {m} {family}", f"{family} {f} {m}")}
-    return sorted(v for v in made if any(len(w) > 1 for w in v.split()))
+#: Middle names that vary one by one; beyond them all are whole, initials or left out alike, as forms would double with each.
+VARIED = 5
+
+
+@lru_cache(maxsize=50_000)
+def name_variants(name: str) -> frozenset[str]:
+    """Ways to write a name, in lower-case ASCII and without punctuation.
+
+    Given names are whole or initials, middle names may be left out, the family
+    name comes last, first or alone. It is the last word, of three words and
+    more also the first; a comma sets it apart. What has initials only is left
+    out. A name without letters has no variants.
+    """
+    name = scalars.plain(name).lower().strip()
+    family, comma, given = (x.strip() for x in name.partition(","))
+    words = re.sub(r"[.,;:'\"]+", " ", f"{given} {family}" if comma and given else name).split()
+    if len(words) < 2:
+        return frozenset(words)
+    made = set()
+    for last, others in [(words[-1], words[:-1])] + ([(words[0], words[1:])] if len(words) > 2 else []):
+        first, middle = others[0], others[1:]
+        forms = [(m, m[0], "") for m in middle[:VARIED]]
+        rest = [tuple(middle[VARIED:]), tuple(m[0] for m in middle[VARIED:]), ()] if len(middle) > VARIED else [()]
+        for g, tail, *mid in product((first, first[0]), rest, *forms):
+            written = " ".join(w for w in (g, *mid, *tail) if w)
+            made |= {f"{written} {last}", f"{last} {written}", last}
+    return frozenset(v for v in made if any(len(w) > 1 for w in v.split()))
+
+
+def best_ratio(ours: frozenset[str], theirs: frozenset[str]) -> float:
+    """The best ratio of any two; pairs whose lengths allow no better one are passed over."""
+    if ours & theirs:
+        return 1.0
+    best = 0.0
+    for a in ours:
+        for b in theirs:
+            if 2 * min(len(a), len(b)) > best * (len(a) + len(b)):
+                best = max(best, indel_ratio(a, b))
+    return best
 
 
 def author_overlap(query: list[str], candidate: list[str]) -> float:
-    """The mean, over the query's authors, of the best ratio of any variants; 0 without authors. Not symmetric."""
-    if not query or not candidate:
+    """The mean, over the query's authors, of the best ratio of any variants. Blank names don't count; 0 without authors. Not symmetric."""
+    ours, theirs = ([v for v in map(name_variants, filter(None, names)) if v] for names in (query, candidate))
+    if not ours or not theirs:
         return 0.0
-    theirs = [v for c in candidate for v in name_variants(c)]
-    return sum(max((indel_ratio(a, b) for a in name_variants(q) for b in theirs), default=0.0) for q in query) / len(query)
+    return sum(max(best_ratio(a, b) for b in theirs) for a in ours) / len(ours)
 
 
 def author_similarity(a: Column, b: Column) -> Column:
-    """``author_overlap`` of two arrays of names."""
+    """``author_overlap`` of two arrays of names, once for each pair of arrays in a batch."""
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([author_overlap(list(p) if p is not None else [], list(q) if q is not None else []) for p, q in zip(x, y)], dtype="float64")
 

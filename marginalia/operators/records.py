@@ -95,10 +95,11 @@ def merged_sources(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("key", F.array_union(F.coalesce("p", none), F.coalesce("q", none)).alias("papers"))
 
 
-def ref_penalty(findings: DataFrame) -> DataFrame:
-    """``(key, score)`` of a cited paper: .1 off for each error, .05 for each warning."""
+def ref_penalty(findings: DataFrame, papers: DataFrame | None = None) -> DataFrame:
+    """``(key, score)`` of a cited paper: .1 off for each error, .05 for each warning; those of papers without findings have 1."""
     off = F.count_if(F.col("level") == "error") * 0.10 + F.count_if(F.col("level") == "warning") * 0.05
-    return findings.groupBy("key").agg(F.greatest(F.lit(0.0), 1.0 - off).alias("score"))
+    rows = findings.select("key", "level") if papers is None else papers.select("key").distinct().join(findings.select("key", "level"), "key", "left")
+    return rows.groupBy("key").agg(F.greatest(F.lit(0.0), 1.0 - off).alias("score"))
 
 
 def with_contribution(scores: DataFrame) -> DataFrame:
@@ -135,10 +136,21 @@ def overall_score(consistency: DataFrame, quality: DataFrame, contribution: Data
     return consistency.join(quality, "paper").join(contribution, "paper", "left").select("paper", (F.col("consistency") * F.col("quality") * F.coalesce("overall", F.lit(1.0))).alias("score"))
 
 
-def limited_claims(claims: DataFrame, limit: int) -> DataFrame:
-    """``(paper, ord, reason)``: reason is null for claims to verify, else why a claim is skipped."""
-    n = F.row_number().over(Window.partitionBy("paper").orderBy(F.col("local").desc(), "ord"))
-    return claims.withColumn("n", n).select("paper", "ord", F.when(~F.col("local"), "no_local_source").when(F.col("n") > limit, "limit_truncated").alias("reason"))
+def limited_claims(claims: DataFrame, limit: int | None = None, only: str | None = None) -> DataFrame:
+    """``(paper, ord, reason)`` of ``paper, ord, key, line, local``: null for claims to verify, else why one is skipped.
+
+    Claims with a local source, of the key named by only if any, are verified
+    in their order up to limit; 0 and null are no limit. What shares its key and
+    line with one of them isn't skipped.
+    """
+    wanted = F.col("local") & (F.lit(True) if only is None else F.col("key") == only)
+    n = F.row_number().over(Window.partitionBy("paper").orderBy(F.col("wanted").desc(), "ord"))
+    rows = claims.withColumn("wanted", F.coalesce(wanted, F.lit(False))).withColumn("n", n)
+    chosen = F.col("wanted") & (F.col("n") <= limit if limit else F.lit(True))
+    shared = F.max(chosen).over(Window.partitionBy("paper", "key", "line"))
+    excluded = F.lit(False) if only is None else F.coalesce(F.col("key") != only, F.lit(True))
+    reason = F.when(~F.coalesce("local", F.lit(False)), "no_local_source").when(excluded, "key_filter_excluded").otherwise("limit_truncated")
+    return rows.select("paper", "ord", F.when(~shared, reason).alias("reason"))
 
 
 def ladder_verdicts(levels: DataFrame) -> DataFrame:
@@ -149,9 +161,16 @@ def ladder_verdicts(levels: DataFrame) -> DataFrame:
 
 
 def upgraded(verdicts: DataFrame) -> DataFrame:
-    """``(claim, verdict)`` of ``claim, verdict, retry``: a retry counts only if it is better."""
-    rank = lambda c: _weight({"SUPPORTS": 3.0, "PARTIALLY_SUPPORTS": 2.0, "CANNOT_DETERMINE": 1.0}, c, 0.0)
-    better = F.coalesce(rank(F.col("retry")) > rank(F.col("verdict")), F.lit(False))
+    """``(claim, verdict)`` of ``claim, verdict, level, purpose, retry``.
+
+    A retry counts if it is better, and only after the section level, where the
+    verdict was NOT_SUPPORTED or PARTIALLY_SUPPORTS and the purpose no example.
+    """
+    def rank(c):
+        return _weight({"SUPPORTS": 3.0, "PARTIALLY_SUPPORTS": 2.0, "CANNOT_DETERMINE": 1.0}, c, 0.0)
+
+    tried = (F.col("level") == "section") & F.col("verdict").isin("NOT_SUPPORTED", "PARTIALLY_SUPPORTS") & (F.coalesce("purpose", F.lit("")) != "example")
+    better = F.coalesce(tried & (rank(F.col("retry")) > rank(F.col("verdict"))), F.lit(False))
     return verdicts.select("claim", F.when(better, F.col("retry")).otherwise(F.col("verdict")).alias("verdict"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import scalars as S
@@ -64,10 +65,11 @@ def fetch_candidates(spark, d):
     return records.needs_fetch(refs, F.lit(now).cast(e.schema["ts"].dataType)).select("key")
 
 
-@query("""SELECT l_suppkey AS key, greatest(0.0, 1.0 - 0.10 * count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 48) - 0.05 * count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 48)) AS score FROM lineitem GROUP BY 1""")
+@query("""SELECT s_suppkey AS key, greatest(0.0, 1.0 - 0.10 * count(l_orderkey) FILTER (WHERE l_returnflag = 'R') - 0.05 * count(l_orderkey) FILTER (WHERE l_returnflag = 'A')) AS score FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 AND s_suppkey % 3 > 0 GROUP BY 1""")
 def reference_penalties(spark, d):
-    level = F.when(F.col("l_quantity") <= 48, "info").when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning")
-    return records.ref_penalty(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), level.alias("level")))
+    level = F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning")
+    findings = table(spark, d, "lineitem").where("l_quantity > 49 AND l_suppkey % 3 > 0").select(F.col("l_suppkey").alias("key"), level.alias("level"))
+    return records.ref_penalty(findings, table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")))
 
 
 @query("""SELECT c_custkey AS key, abs(c_acctbal) / 10000 * CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE (c_custkey % 10) / 10.0 END AS score FROM customer""")
@@ -113,11 +115,24 @@ def overall_scores(spark, d):
     return records.overall_score(scoring.internal_consistency(papers, found), quality, contribution).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
-@query("""SELECT paper, ord, CASE WHEN NOT local THEN 'no_local_source' WHEN n > 2 THEN 'limit_truncated' END AS reason FROM (
-  SELECT l_orderkey AS paper, l_linenumber AS ord, l_tax > 0.02 AS local, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_tax > 0.02 DESC, l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_tax) AS l_tax FROM lineitem GROUP BY ALL))""")
+_CLAIMS = """c AS (SELECT l_orderkey AS paper, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, 'k' || l_partkey % 3 AS key, l_linenumber % 2 AS line, l_tax > 0.02 AS local FROM lineitem)"""
+
+
+def _claims(spark, d):
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), n.alias("ord"), F.concat(F.lit("k"), F.col("l_partkey") % 3).alias("key"), (F.col("l_linenumber") % 2).alias("line"), (F.col("l_tax") > 0.02).alias("local"))
+
+
+@query(f"""WITH {_CLAIMS}, v AS (SELECT paper, key, line FROM c WHERE local QUALIFY row_number() OVER (PARTITION BY paper ORDER BY ord) <= 2)
+  SELECT paper, ord, CASE WHEN (paper, key, line) IN (SELECT (paper, key, line) FROM v) THEN NULL WHEN NOT local THEN 'no_local_source' ELSE 'limit_truncated' END AS reason FROM c""")
 def limited_claims(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord")).agg((F.max("l_tax") > 0.02).alias("local"))
-    return records.limited_claims(rows, 2)
+    return records.limited_claims(_claims(spark, d), 2)
+
+
+@query(f"""WITH {_CLAIMS}, v AS (SELECT DISTINCT paper, key, line FROM c WHERE local AND key = 'k1')
+  SELECT paper, ord, CASE WHEN (paper, key, line) IN (SELECT (paper, key, line) FROM v) THEN NULL WHEN NOT local THEN 'no_local_source' ELSE 'key_filter_excluded' END AS reason FROM c""")
+def filtered_claims(spark, d):
+    return records.limited_claims(_claims(spark, d), 0, "k1")
 
 
 @query("""WITH u AS (SELECT o_orderkey AS claim, unnest([0, 1, 2]) AS step, unnest(['sentence', 'paragraph', 'section']) AS level, unnest([o_custkey % 5, o_custkey % 3, o_custkey % 4]) AS r FROM orders)
@@ -128,11 +143,13 @@ def ladder_verdicts(spark, d):
     return records.ladder_verdicts(table(spark, d, "orders").select(F.col("o_orderkey").alias("claim"), x).select("claim", "x.*"))
 
 
-@query("""SELECT o_orderkey AS claim, CASE WHEN greatest(o_custkey % 4, o_custkey % 3) = 0 AND o_orderkey % 2 = 0 THEN 'CANNOT_DETERMINE' ELSE CASE greatest(o_custkey % 4, o_custkey % 3) WHEN 3 THEN 'SUPPORTS' WHEN 2 THEN 'PARTIALLY_SUPPORTS' WHEN 1 THEN 'CANNOT_DETERMINE' ELSE 'NOT_SUPPORTED' END END AS verdict FROM orders""")
+@query("""WITH v AS (SELECT o_orderkey AS claim, o_custkey % 4 AS v, o_custkey % 3 + 1 AS r, o_custkey % 5 > 0 AS section, o_orderkey % 7 = 0 AS example FROM orders),
+  w AS (SELECT claim, CASE WHEN section AND v IN (0, 2) AND NOT example AND r > v THEN r ELSE v END AS v FROM v)
+  SELECT claim, CASE WHEN v = 0 AND claim % 2 = 0 THEN 'CANNOT_DETERMINE' ELSE ['NOT_SUPPORTED', 'CANNOT_DETERMINE', 'PARTIALLY_SUPPORTS', 'SUPPORTS'][v + 1] END AS verdict FROM w""")
 def retried_verdicts(spark, d):
     names, k = ["NOT_SUPPORTED", "CANNOT_DETERMINE", "PARTIALLY_SUPPORTS", "SUPPORTS"], F.col("o_custkey")
-    got = records.upgraded(table(spark, d, "orders").select(F.col("o_orderkey").alias("claim"), pick(names, k % 4).alias("verdict"), pick(names, k % 3).alias("retry")))
-    return got.select("claim", records.web_page_verdict(F.when(F.col("claim") % 2 == 0, "web_page").otherwise("pdf"), F.col("verdict")).alias("verdict"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim"), pick(names, k % 4).alias("verdict"), pick(names, k % 3 + 1).alias("retry"), F.when(k % 5 > 0, "section").otherwise("sentence").alias("level"), F.when(F.col("o_orderkey") % 7 == 0, "example").alias("purpose"))
+    return records.upgraded(rows).select("claim", records.web_page_verdict(F.when(F.col("claim") % 2 == 0, "web_page").otherwise("pdf"), F.col("verdict")).alias("verdict"))
 
 
 @query("""SELECT l_partkey AS key, l_linenumber AS line, EXISTS (SELECT 1 FROM lineitem x WHERE x.l_tax > 0.07 AND x.l_partkey = l.l_partkey AND x.l_linenumber = l.l_linenumber) AS dismissed FROM lineitem l""")
