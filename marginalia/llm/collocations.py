@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -34,33 +35,20 @@ from marginalia.scratch import Scratch
 #: Ends of pieces become line feeds, tabs blanks; ``END`` stands for an end of a piece and is in no UTF-8 text.
 _TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 END = b"\xff"
-#: Words that a task counts at once, and bytes of a text that are split at once.
-AT_ONCE, SLICE = 1_000_000, 1 << 20
+#: Bytes of texts of one language that a task counts at once; a longer text is counted by itself.
+AT_ONCE = 5 << 20
 SCALE = 2_000_000
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
 
-class Numbers(dict):
-    """Numbers of one language's words, given as they come; texts of all languages share the list of words."""
-
-    def __init__(self, lang: str, words: list[bytes], langs: list[str]):
-        self.lang, self.words, self.langs = lang, words, langs
-        self[END] = -1
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.words)
-        self.words.append(word)
-        self.langs.append(self.lang)
-        return n
-
-    def of(self, raw: bytes) -> Iterator[np.ndarray]:
-        data = raw.lower().translate(_TABLE).replace(b"\n", b" \xff ")
-        at = 0
-        while at < len(data):
-            to = data.find(b" ", at + SLICE)
-            to = len(data) if to < 0 else to
-            yield np.fromiter(map(self.__getitem__, data[at:to].split()), np.int32)
-            at = to
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the words of texts, -1 at each end of a piece, and the words by number."""
+    data = b"\n".join([*texts, b""]).lower().translate(_TABLE).replace(b"\n", b" \xff ")
+    blob = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data)])
+    words = pc.ascii_split_whitespace(blob).values.view(pa.large_binary())
+    words = words.filter(pc.not_equal(pc.binary_length(words), 0)).dictionary_encode()
+    ids, end = words.indices.to_numpy(), pc.index(words.dictionary, pa.scalar(END, pa.large_binary())).as_py()
+    return np.where(ids == end, np.int32(-1), ids.astype(np.int32, copy=False)), words.dictionary
 
 
 def word_hash(lang: str, word: bytes) -> int:
@@ -111,18 +99,16 @@ def counter(length: int, sets: dict[str, Broadcast]) -> Callable[[Iterator[pa.Re
     ``prefix``, ``suffix``: what all but its last or first word has to be in,
     either of the two; ``itself``: what it has to be in.
     """
-    def counts(ids: np.ndarray, words: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    def counts(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, words = numbered(texts)
         if length == 1:
             n = np.bincount(ids[ids >= 0], minlength=len(words))
-            totals: dict[str, int] = {}
-            for lang, f in zip(langs, n.tolist()):
-                totals[lang] = totals.get(lang, 0) + f
-            phrases, langs, n = [*words, *[None] * len(totals)], [*langs, *totals], [*n.tolist(), *totals.values()]
+            phrases, n = pa.concat_arrays([words, pa.array([None], pa.large_binary())]), np.append(n, n.sum())
         else:
-            bits = {k: b.value for k, b in sets.items()}
-            if len(ids) < length or not words:
+            if len(ids) < length:
                 return
-            h = np.fromiter((word_hash(lang, w) for lang, w in zip(langs, words)), np.uint64, len(words))
+            bits = {k: b.value for k, b in sets.items()}
+            h = np.fromiter((word_hash(lang, w) for w in words.to_pylist()), np.uint64, len(words))
             fits = ids >= 0
             if "words" in bits:
                 fits = fits & marked(bits["words"], h)[ids]
@@ -135,48 +121,47 @@ def counter(length: int, sets: dict[str, Broadcast]) -> Callable[[Iterator[pa.Re
                 pair = marked(bits["pairs"], chain[1])
                 for k in range(length - 1):
                     good = good & pair[k : k + len(good)]
-            either = np.zeros(len(good), bool)
             if "prefix" in bits:
-                either |= marked(bits["prefix"], chain[length - 2][: len(good)])
-            if "suffix" in bits:
-                either |= marked(bits["suffix"], chain[length - 2][1 : len(good) + 1])
-            if "prefix" in bits or "suffix" in bits:
-                good = good & either
+                prefix = chain[length - 2]
+                good = good & (marked(bits["prefix"], prefix[: len(good)]) | marked(bits["suffix"], prefix[1 : len(good) + 1]))
             if "itself" in bits:
                 good = good & marked(bits["itself"], chain[length - 1])
             at = np.flatnonzero(good)
             if not len(at):
                 return
-            key = ids[at].astype(np.int64)
-            for k in range(1, length):  # numbers of prefixes stay below the number of places, so keys fit in 64 bits
+            key, parts = ids[at].astype(np.int64), []
+            for k in range(1, length):  # prefixes are numbered anew, so keys fit in 64 bits
                 if k > 1:
-                    key = np.unique(key, return_inverse=True)[1]
+                    kinds, key = np.unique(key, return_inverse=True)
+                    parts.append(kinds)
                 key = key * len(words) + ids[at + k]
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            at, n = at[first], n.tolist()
-            parts = [[words[i] for i in ids[at + k].tolist()] for k in range(length)]
-            phrases, langs = [b" ".join(p) for p in zip(*parts)], [langs[i] for i in ids[at].tolist()]
+            key.sort()
+            first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            n, key, split = np.diff(first, append=len(key)), key[first], []
+            for kinds in (*reversed(parts), None):  # the last word of each prefix, from the longest prefix down
+                split.append(key % len(words))
+                key = key // len(words) if kinds is None else kinds[key // len(words)]
+            phrases = pc.binary_join_element_wise(*(words.take(pa.array(i)) for i in (key, *reversed(split))), pa.scalar(b" ", pa.large_binary()))
+        phrases, n = phrases.cast(pa.binary()), pa.array(n.astype(np.int64))
         for i in range(0, len(phrases), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + 50_000], pa.string()), pa.array(phrases[i : i + 50_000], pa.binary()), pa.array(n[i : i + 50_000], pa.int64())], schema=COUNTS)
+            part = phrases.slice(i, 50_000)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), part, n.slice(i, 50_000)], schema=COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        langs: list[str] = []
-        numbers: dict[str, Numbers] = {}
-        held, size, end = [], 0, np.array([-1], np.int32)
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        total = 0
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
-                if lang not in numbers:
-                    numbers[lang] = Numbers(lang, words, langs)
-                for ids in numbers[lang].of(text.as_buffer().to_pybytes()):
-                    held.append(ids)
-                    size += len(ids)
-                held.append(end)
-                if size >= AT_ONCE:
-                    yield from counts(np.concatenate(held), words, langs)
-                    words, langs, numbers, held, size = [], [], {}, [], 0
-        if held:
-            yield from counts(np.concatenate(held), words, langs)
+                held.setdefault(lang, []).append(text.as_py())
+                sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
+                total += len(held[lang][-1])
+                if sizes[lang] >= AT_ONCE or total >= 3 * AT_ONCE:
+                    full = max(sizes, key=sizes.get)
+                    total -= sizes.pop(full)
+                    yield from counts(full, held.pop(full))
+        for lang, texts in held.items():
+            yield from counts(lang, texts)
 
     return run
 
@@ -265,7 +250,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, ahead: int =
     smaller phrase in byte order. Null texts are empty, a null language counts
     with ``und``. Repeated rows count as often as they occur, whatever their
     ids; other columns aren't read. Languages without candidates, and empty
-    tables, give no rows. Texts of any length are split in slices.
+    tables, give no rows. A text of any length is counted whole.
 
     The first threshold is the score of a language's ``ahead * top``-th pair;
     where too few survive it, the next is that of four times as many.
