@@ -115,7 +115,7 @@ def overall_scores(spark, d):
     return records.overall_score(scoring.internal_consistency(papers, found), quality, contribution).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
-_CLAIMS = """c AS (SELECT l_orderkey AS paper, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, 'k' || l_partkey % 3 AS key, l_linenumber % 2 AS line, l_tax > 0.02 AS local FROM lineitem)"""
+_CLAIMS = """c AS (SELECT l_orderkey AS paper, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS ord, 'k' || l_partkey % 3 AS key, l_linenumber % 2 AS line, l_tax > 0.02 AS local FROM lineitem)"""
 
 
 def _claims(spark, d):
