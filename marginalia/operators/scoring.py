@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.ordering import running
+from marginalia.scratch import Scratch
+
 # fixed values: scores of verdicts, weights of citation purposes, scores of tiers and what is taken off
 VERDICT_SCORES = {"SUPPORTS": 1.0, "PARTIALLY_SUPPORTS": 0.5, "CANNOT_DETERMINE": 0.25, "NOT_SUPPORTED": 0.0}
 PURPOSE_WEIGHTS = {"evidence": 1.0, "contrast": 0.9, "method": 0.8, "definition": 0.7, "example": 0.6, "attribution": 0.5, "tool": 0.4, "context": 0.2}
@@ -106,9 +109,7 @@ def detection_metrics(counts: DataFrame, empty_is_null: bool) -> DataFrame:
 
 
 def quartiles(scores: DataFrame, by: Column, *ties: Column) -> DataFrame:
-    """``i * 4 // n + 1`` by descending score, which isn't ``ntile(4)``. Ranks are counted by score value first, so no task holds all rows."""
-    values = scores.groupBy(by.alias("__v")).agg(F.count("*").alias("__c"))
-    before = values.select("__v", (F.sum("__c").over(Window.orderBy(F.desc("__v"))) - F.col("__c")).alias("__before"))
-    n = F.row_number().over(Window.partitionBy("__v").orderBy(*ties)) - 1
+    """scores with ``quartile``, ``i * 4 // n + 1`` by descending score, which isn't ``ntile(4)``. Places are counted range by range, so no task holds all rows."""
+    placed = running(Scratch(scores.sparkSession, "quartiles"), scores, [by.desc(), *ties], {"__i": F.lit(1)})
     total = scores.agg(F.count("*").alias("__n"))
-    return (scores.withColumn("__v", by).join(before, "__v").crossJoin(F.broadcast(total)).withColumn("quartile", F.floor((F.col("__before") + n) * 4 / F.col("__n")).cast("int") + 1).drop("__v", "__before", "__n"))
+    return placed.crossJoin(F.broadcast(total)).withColumn("quartile", F.floor(F.col("__i") * 4 / F.col("__n")).cast("int") + 1).drop("__i", "__n")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import assignment
+from marginalia.operators import assignment, constraints, extract, injection
 from marginalia.plans.catalogue import query, table
+from marginalia.sources import readers
 
 _NUMBERED = """l AS (SELECT l_orderkey // 3 AS grp, l_partkey AS p, l_suppkey AS s, (row_number() OVER (PARTITION BY l_orderkey // 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))::INT AS n FROM lineitem)"""
 
@@ -60,3 +61,98 @@ def assigned_files(spark, d):
     files = t.where("k % 5 = 0").select("paper", F.concat(F.lit("key"), "k", F.lit("_my copy.PDF")).alias("name")).unionByName(t.where("k % 4 = 0").select("paper", split(30, "_", ".pdf").alias("name")))
     files = files.unionByName(t.where("k % 6 = 0").select("paper", split(10, "-", ".md").alias("name"))).unionByName(t.select("paper", F.concat("title", F.lit(".txt")).alias("name")))
     return assignment.assigned_files(files, t.select("paper", F.concat(F.lit("Key"), "k").alias("key"), F.col("k").alias("ord"), "title"))
+
+
+# ---- injected errors ---------------------------------------------------------------------------------------------
+
+
+def _drawn(*parts: str) -> str:
+    return "('0x' || substr(md5('7:' || " + " || ':' || ".join(parts) + "), 1, 15))::BIGINT"
+
+
+_INJECTED = rf"""
+  l AS (SELECT l_orderkey AS paper, l_linenumber AS n, l_quantity > 10 AS cites, 'We follow the line of work number ' || l_partkey || ' on parts.' AS s,
+      ' See Figure' || CASE WHEN l_suppkey % 2 = 0 THEN ' ' ELSE '~' END AS r, l_suppkey % 2 = 0 AS named, '\ref{{fig:' || l_linenumber || '}} now.' AS t FROM lineitem),
+  m AS (SELECT *, CASE WHEN cites THEN s || r || t ELSE s END AS line, 43 + length((paper % 90 + 10)::VARCHAR) + coalesce(sum(length(CASE WHEN cites THEN s || r || t ELSE s END) + 1) OVER (PARTITION BY paper ORDER BY n, CASE WHEN cites THEN s || r || t ELSE s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
+      row_number() OVER (PARTITION BY paper ORDER BY n, CASE WHEN cites THEN s || r || t ELSE s END) AS i FROM l),
+  c AS (SELECT paper, i, off + length(s) AS at_, 'fakename' || (2020 + {_drawn("paper", "'year'")} % 7) || ['survey', 'analysis', 'framework'][row_number() OVER (PARTITION BY paper ORDER BY i)] AS key
+        FROM (SELECT * FROM m WHERE paper % 2 = 0 QUALIFY row_number() OVER (PARTITION BY paper ORDER BY {_drawn("paper", "'cite'", "(off + length(s))")}) <= 3)),
+  f AS (SELECT paper, i, 'fig:phantom' || (10 + {_drawn("paper", "'label'")} % 90) AS label, off + length(s || r) + 5 AS at_, kind, CASE kind WHEN 0 THEN off + length(s) + 5 WHEN 1 THEN off + length(s || r) ELSE off + length(s) - 1 END AS place, length(n::VARCHAR) + 4 AS cut, line, off, s
+        FROM (SELECT *, 1 AS kind FROM m WHERE cites UNION ALL SELECT *, 0 FROM m WHERE cites AND named)
+        QUALIFY row_number() OVER (PARTITION BY paper ORDER BY kind, {_drawn("paper", "'ref'", "place")}) = 1),
+  x AS (SELECT m.paper, m.i, CASE WHEN c.key IS NULL THEN s ELSE s || ' \cite{{' || c.key || '}}' END || CASE WHEN NOT cites THEN '' WHEN f.label IS NULL THEN r || t ELSE r || '\ref{{' || f.label || '}} now.' END AS line
+        FROM m LEFT JOIN c ON c.paper = m.paper AND c.i = m.i LEFT JOIN (SELECT paper, i, label FROM f) f ON f.paper = m.paper AND f.i = m.i),
+  j AS (SELECT paper, 'dangling-cite' AS rule_id, key AS context, at_ AS pos FROM c UNION ALL SELECT paper, 'dangling-ref', label, at_ FROM f)"""
+
+
+def _injected(spark, d):
+    s = F.col("l_suppkey")
+    line = F.concat(F.lit("We follow the line of work number "), "l_partkey", F.lit(" on parts."), F.when(F.col("l_quantity") > 10, F.concat(F.lit(" See Figure"), F.when(s % 2 == 0, " ").otherwise("~"), F.lit("\\ref{fig:"), "l_linenumber", F.lit("} now."))).otherwise(""))
+    li = table(spark, d, "lineitem")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
+    paper = F.col("l_orderkey")
+    head = F.concat(F.lit("\\begin{abstract}We gain "), paper % 90 + 10, F.lit(" pp.\\end{abstract}\n"))
+    docs = li.groupBy(paper.alias("paper")).agg(F.concat(F.first(head), lines, F.when(F.first(paper) % 2 == 0, "\n\\bibitem{a} x").otherwise("")).alias("text"))
+    # papers without a reference would get one before a sentence
+    return injection.inject_errors(docs.where(F.contains("text", F.lit("\\ref{"))), seed=7)
+
+
+@query(f"""WITH {_INJECTED} SELECT j.paper, rule_id, context, pos::INT AS "at" FROM j JOIN (SELECT DISTINCT paper FROM f) USING (paper)""")
+def injected_errors(spark, d):
+    return _injected(spark, d).select("paper", F.explode("injections").alias("i")).select("paper", "i.*")
+
+
+@query(rf"""WITH {_INJECTED} SELECT x.paper, md5('\begin{{abstract}}We gain ' || (x.paper % 90 + 10) || ' pp.\end{{abstract}}' || chr(10) || string_agg(line, chr(10) ORDER BY i) || CASE WHEN x.paper % 2 = 0 THEN chr(10) || '\bibitem{{a}} x' ELSE '' END) AS text
+  FROM x WHERE paper IN (SELECT paper FROM f) GROUP BY x.paper""")
+def injected_texts(spark, d):
+    return _injected(spark, d).select("paper", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(f"""WITH {_INJECTED} SELECT rule_id, count(*) AS injected, count(*) AS found, 1.0::DOUBLE AS recall FROM j JOIN (SELECT DISTINCT paper FROM f) USING (paper) GROUP BY rule_id""")
+def injection_recall(spark, d):
+    """The checks of dangling citations and references find every injected error."""
+    made = _injected(spark, d)
+    texts = made.select("paper", "text")
+    cites = extract.cite_keys(texts).join(readers.bibitems(texts), ["paper", "key"], "left_anti").select("paper", F.lit("dangling-cite").alias("rule_id"), F.col("key").alias("context"))
+    refs = extract.dangling_refs(texts).select("paper", F.lit("dangling-ref").alias("rule_id"), F.col("label").alias("context"))
+    return injection.injection_report(made, cites.unionByName(refs))
+
+
+# ---- constraints -------------------------------------------------------------------------------------------------
+
+_SCORES = """sc AS (SELECT CASE s_suppkey WHEN 1 THEN 'Graphene' WHEN 2 THEN 'LIGO' WHEN 3 THEN 'Ceballos' ELSE 'S' || s_suppkey END AS name, s_suppkey AS k, s_nationkey AS nation, floor(s_acctbal / 1000)::INT / 10.0::DOUBLE AS score, (s_suppkey % 7) / 7.0::DOUBLE AS consistency, (s_suppkey % 3) / 3.0::DOUBLE AS quality, (s_suppkey % 5) / 5.0::DOUBLE AS severity FROM supplier)"""
+_ASKED = """q AS (SELECT nation, k, score, unnest([
+    {'n': 0, 'l': 'S' || k, 'la': NULL, 'op': '>', 'r': 'S' || (k + 1), 'ra': NULL, 'raw': 'S' || k || '>S' || (k + 1)},
+    {'n': 1, 'l': 'S' || k, 'la': 'test_severity', 'op': '<', 'r': 'S' || (k + 2), 'ra': 'integrity', 'raw': 'S' || k || ' test-severity < S' || (k + 2) || ' integrity # why (not)'},
+    {'n': 2, 'l': 'S' || k, 'la': NULL, 'op': '≈', 'r': 'LIGO', 'ra': 'odd-axis', 'raw': 'S' || k || ' (a survey) ≈ LIGO odd-axis'},
+    {'n': 3, 'l': 'S' || k, 'la': 'overall', 'op': '<', 'r': 'Graphene', 'ra': 'overall', 'raw': 'S' || k || ' contribution < any experimental paper'},
+    {'n': 4, 'l': 'S' || k, 'la': 'overall', 'op': '<', 'r': 'LIGO', 'ra': 'overall', 'raw': 'S' || k || ' contribution < any experimental paper'},
+    {'n': 5, 'l': 'S' || k, 'la': 'overall', 'op': '<', 'r': 'Ceballos', 'ra': 'overall', 'raw': 'S' || k || ' contribution < any experimental paper'}]) AS c FROM sc),
+  qq AS (SELECT name, floor((row_number() OVER (ORDER BY score DESC, k) - 1) * 4 / (SELECT count(*) FROM sc))::INT AS quart FROM sc),
+  vals AS (SELECT name, unnest([{'axis': '', 'v': score}, {'axis': 'integrity', 'v': consistency * quality}, {'axis': 'test_severity', 'v': severity}, {'axis': 'overall', 'v': score / 2}, {'axis': 'odd-axis', 'v': 0.0}]) AS a FROM sc),
+  held AS (SELECT nation, k, c.n AS n, c.l AS "left", c.op AS op, c.r AS "right", c.raw AS raw, a.a.v AS left_value, b.a.v AS right_value, CASE c.op WHEN '>' THEN a.a.v > b.a.v WHEN '<' THEN a.a.v < b.a.v ELSE qa.quart = qb.quart END AS passed
+    FROM q JOIN vals a ON a.name = c.l AND a.a.axis = coalesce(c.la, '') JOIN vals b ON b.name = c.r AND b.a.axis = coalesce(c.ra, '') JOIN qq qa ON qa.name = c.l JOIN qq qb ON qb.name = c.r)"""
+
+
+def _held(spark, d):
+    """A manifest for each nation, with a paper of the lines' own for each supplier; some names have no scores."""
+    k = F.col("s_suppkey")
+    name = F.when(k == 1, "Graphene").when(k == 2, "LIGO").when(k == 3, "Ceballos").otherwise(F.concat(F.lit("S"), k))
+    own = F.concat(F.lit("S"), k)
+    lines = F.concat(own, F.lit(">"), F.lit("S"), k + 1, F.lit("\n# only a comment\n  "), own, F.lit(" test-severity < S"), k + 2, F.lit(" integrity # why (not)\nno constraint here\n"), own, F.lit(" (a survey) ≈ LIGO odd-axis\n\n"), own, F.lit(" contribution < any experimental paper"))
+    text = F.concat(F.lit("Intro\nA > B\n```\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, lines.alias("t")))), lambda x: x["t"]), "\n"), F.lit("\n```\nC > D\n```\nE > F\n```"))
+    suppliers = table(spark, d, "supplier")
+    manifests = suppliers.groupBy(F.col("s_nationkey").alias("manifest")).agg(text.alias("text"))
+    score = F.floor(F.col("s_acctbal") / 1000).cast("int") / F.lit(10.0)
+    scores = suppliers.select(name.alias("name"), k.alias("ord"), score.alias("score"), ((k % 7) / F.lit(7.0)).alias("internal_consistency"), ((k % 3) / F.lit(3.0)).alias("referencing_quality"), F.create_map(F.lit("test_severity"), (k % 5) / F.lit(5.0), F.lit("overall"), score / 2).alias("contribution"))
+    return constraints.held_constraints(constraints.constraints(manifests), scores)
+
+
+@query(f"""WITH {_SCORES}, {_ASKED} SELECT nation AS manifest, "left", op, "right", raw, left_value, right_value, passed FROM held""")
+def held_constraints(spark, d):
+    return _held(spark, d).select("manifest", "left", "op", "right", "raw", "left_value", "right_value", "passed")
+
+
+@query(f"""WITH {_SCORES}, {_ASKED} SELECT nation AS manifest, count(*) AS total, count(*) FILTER (WHERE passed) AS passed, round(count(*) FILTER (WHERE passed) / count(*), 4) AS pass_rate, coalesce(string_agg(raw, '|' ORDER BY k, n) FILTER (WHERE NOT passed), '') AS failures FROM held GROUP BY nation""")
+def calibration(spark, d):
+    return constraints.calibration(_held(spark, d)).withColumn("failures", F.array_join("failures", "|"))
