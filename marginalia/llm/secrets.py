@@ -13,6 +13,7 @@ automaton and its length's, against that of common candidates, and added as
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -54,10 +55,14 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple]) -> Iterator[tuple[int, int, str]]:
-    """Runs of 8 token characters and more that touch no base span, and of each what follows an equals sign inside it."""
+    """Runs of 8 token characters and more that touch no base span, and of each what follows an equals sign inside it. taken is in order of starts, and both lists are walked once."""
+    ends = list(itertools.accumulate((x[2] for x in taken), max))  # the furthest end so far: spans of several kinds may lie in each other
+    at = 0
     for run in _CANDIDATE.finditer(text):
         a, b = run.span()
-        if taken and any(x[1] < b and a < x[2] for x in taken):
+        while at < len(taken) and ends[at] <= a:
+            at += 1
+        if at < len(taken) and taken[at][1] < b:
             continue
         yield a, b, run[0]
         if "=" in run[0] and (tail := _TAIL.search(run[0])) and tail.start():
@@ -68,6 +73,8 @@ def char_class(c: str) -> str:
     return "d" if "0" <= c <= "9" else "a" if "a" <= c <= "f" else "z" if "g" <= c <= "z" else "A" if "A" <= c <= "F" else "Z" if "G" <= c <= "Z" else c
 
 
+#: Candidates of this length and more are counted as one length.
+LONGEST = 4096
 #: All classes of token characters.
 CLASSES = [*"dazAZ+/_.=-"]
 
@@ -174,7 +181,7 @@ class Formats:
 
     def score(self, kind: str, token: str) -> float:
         own, unseen = self.own[kind]
-        usual = sum(self.usual[char_class(c)] for c in token) + self.lengths.get(len(token), self.unseen)
+        usual = sum(self.usual[char_class(c)] for c in token) + self.lengths.get(min(len(token), LONGEST), self.unseen)
         return self.automata[kind].score(token) + own.get(len(token), unseen) - usual
 
     def accepted(self, token: str) -> float | None:
@@ -225,7 +232,7 @@ def learn_formats(docs: DataFrame, text_col: str = "text", examples: int = 1000)
     found = Scratch(docs.sparkSession, "secrets").put(labelled(docs, text_col), "labelled")
     order = F.xxhash64("value").bitwiseAND(F.lit(2**62 - 1))
     usual = {r["value"]: r["uses"] for r in found.where("kind = 'class'").collect()}  # 12 classes at most
-    lengths = {r["length"]: r["n"] for r in found.where("kind = 'length'").groupBy(F.least(F.col("value").cast("long"), F.lit(4096)).alias("length")).agg(F.sum("uses").alias("n")).collect()}
+    lengths = {r["length"]: r["n"] for r in found.where("kind = 'length'").groupBy(F.least(F.col("value").cast("long"), F.lit(LONGEST)).alias("length")).agg(F.sum("uses").alias("n")).collect()}
     chosen: dict[str, list[str]] = {}
     for kind, n in found.where(F.col("kind").isin(*KINDS)).groupBy("kind").count().collect():
         most = min(1.0, (examples + 8 * math.sqrt(examples)) / n)
