@@ -26,13 +26,16 @@ def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Left join on a key that a third of the rows may share.
 
     The key's most frequent values (each in over 1/2000 of all rows, so fewer
-    than 2000 of them) go by broadcast, the others by shuffle.
+    than 2000 of them) go by broadcast, the others by shuffle. Rows without a
+    key, however many, stay where they are.
     """
-    n = rows.count()
+    n, without_key = rows.count(), rows.where(F.col(key).isNull())
+    rows = rows.where(F.col(key).isNotNull())
     hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * 2000 > n).select(key))
     by_value = small.join(hot, key, "left_semi")
     frequent = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(by_value), key, "left")
-    return frequent.unionByName(rows.join(hot, key, "left_anti").join(small.hint("merge"), key, "left"))
+    rest = rows.join(hot, key, "left_anti").join(small.hint("merge"), key, "left")
+    return frequent.unionByName(rest).unionByName(without_key, allowMissingColumns=True)
 
 
 def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
