@@ -89,7 +89,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 20_000) -> Ranker:
-    """A ranker from at most ``most_labels`` labelled documents outside fold 0, those whose ids have the least hashes."""
+    """A ranker from at most ``most_labels`` labelled documents outside fold 0, those whose ids have the least hashes; of rows that share an id one teaches, however many there are."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col)) != 0))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most_labels)
@@ -100,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = (
         docs.select(F.col(id_col).alias("__id"), whole(F.col(text_col)).alias("text")).join(F.broadcast(known), "__id")
-        .select(F.col("__id").cast("long"), F.col("__label").cast("int"), "text").mapInPandas(rows, "id long, label int, x binary").toPandas())
+        .select(F.col("__id").cast("long"), F.col("__label").cast("int"), "text").mapInPandas(rows, "id long, label int, x binary")
+        .groupBy("id", "label").agg(F.min("x").alias("x")).toPandas())
     got = got.sort_values(["id", "x"])
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(np.float64) if len(got) else np.zeros((1, len(NAMES) + N_CLASSES**2))
     return Ranker(x, got["label"].to_numpy() if len(got) else np.array([1]))
