@@ -19,8 +19,8 @@ from marginalia.llm.text import NOT_WORD, ascii_lower, whole
 from marginalia.scratch import Scratch
 
 N = 10
-#: Anchors in a set; more of them take more passes over the documents. A pass broadcasts at most ``n - 2`` windows for each of its anchors.
-PASS_ANCHORS = 20_000
+#: Anchors in a set and windows that are broadcast; more of them take more passes over the documents.
+PASS_ANCHORS, PASS_WINDOWS = 20_000, 200_000
 #: Windows with their items are broadcast up to this number.
 BROADCAST_ITEMS = 200_000
 
@@ -69,18 +69,20 @@ def window_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     """``(doc_id, text_hash, first, length, window)``: where windows of ``item_windows`` lie in documents, word for word. Rows may repeat."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    anchors = windows.select("length", "gram").distinct()
-    passes = -(-anchors.count() // PASS_ANCHORS)
+    parts = -(-windows.select("length", "gram").distinct().count() // PASS_ANCHORS)
+    part = F.pmod("gram", F.lit(parts))
+    # many windows behind a few anchors are split by their own hash
+    sizes = windows.select("gram", "text").distinct().groupBy(part.alias("part")).count().collect() if parts else []
     found = None
-    for k in range(passes):
-        mine = F.pmod("gram", F.lit(passes)) == k
+    for k, split, splits in [(r["part"], i, -(-r["count"] // PASS_WINDOWS)) for r in sorted(sizes) for i in range(-(-r["count"] // PASS_WINDOWS))]:
+        mine = windows.where((part == k) & (F.pmod(F.xxhash64("text"), F.lit(splits)) == split))
         sets: dict[int, list[int]] = {}
-        for r in anchors.where(mine).collect():
+        for r in mine.select("length", "gram").distinct().collect():
             sets.setdefault(r["length"], []).append(r["gram"])
         if not sets:
             continue
         near = F.explode(F.concat(*[_near(length, grams, n) for length, grams in sorted(sets.items())])).alias("x")
-        of_pass = windows.where(mine).select(F.col("text").alias("window")).distinct()
+        of_pass = mine.select(F.col("text").alias("window")).distinct()
         hit = texts.select("doc_id", "text_hash", near).select("doc_id", "text_hash", "x.first", "x.length", "x.window").join(F.broadcast(of_pass), "window", "left_semi")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
@@ -147,15 +149,17 @@ def decontamination_report(docs: DataFrame, bench: DataFrame, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "document", **names) -> DataFrame:
-    """Docs without contaminated documents, or (``mode="span"``) with hit words removed and the rest joined by spaces."""
+    """Docs without contaminated documents, or (``mode="span"``) with hit words removed, each with what parts it from the next; the rest stays as it was."""
     id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
     if mode == "document":
         return decontamination_report(docs, bench, **names).where(~F.col("contaminated")).select(*docs.columns)
     hits = contamination_hits(docs, bench, **names)
     spans = hits.select("doc_id", "text_hash", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("p"))
     spans = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("p").alias("__hit"))
-    w = raw_words(F.col(text_col))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__hit")), lambda i: F.element_at(w, i + 1)), " ")
+    part = NOT_WORD.removesuffix("+")
+    w = F.regexp_extract_all(F.col(text_col), F.lit(f"[^{part[1:]}+{NOT_WORD.removesuffix('+')}*"), 0)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__hit")), lambda i: F.element_at(w, i + 1))
+    left = F.concat(F.regexp_extract(F.col(text_col), f"\\A{part}*", 0), F.array_join(kept, ""))
     out = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(whole(F.col(text_col)))})
     out = out.join(spans, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
     return out.select(*[F.when(F.col("__hit").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns])
