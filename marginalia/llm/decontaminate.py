@@ -149,7 +149,7 @@ def decontamination_report(docs: DataFrame, bench: DataFrame, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "document", **names) -> DataFrame:
-    """Docs without contaminated documents, or (``mode="span"``) with hit words removed, each with what parts it from the next; the rest stays as it was."""
+    """Docs without contaminated documents, or (``mode="span"``) with hit words removed, each with what parts it from the next; the rest stays as it was, without blanks at its end if words went there."""
     id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
     if mode == "document":
         return decontamination_report(docs, bench, **names).where(~F.col("contaminated")).select(*docs.columns)
@@ -160,6 +160,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "document", **n
     w = F.regexp_extract_all(F.col(text_col), F.lit(f"[^{part[1:]}+{NOT_WORD.removesuffix('+')}*"), 0)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("__hit")), lambda i: F.element_at(w, i + 1))
     left = F.concat(F.regexp_extract(F.col(text_col), f"\\A{part}*", 0), F.array_join(kept, ""))
+    left = F.when(F.array_contains("__hit", F.size(w) - 1), F.regexp_replace(left, r"\s+\z", "")).otherwise(left)
     out = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(whole(F.col(text_col)))})
     out = out.join(spans, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
     return out.select(*[F.when(F.col("__hit").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns])
