@@ -47,15 +47,24 @@ class _Growing:
 
 
 class Encoder:
-    """style "space": a single blank begins the next piece; "split": blanks separate pieces and give no ids."""
+    """style "space": a single blank begins the next piece; "split": blanks separate pieces and give no ids.
 
-    def __init__(self, path: str, style: str, keep: int = 900_000, keep_chars: int = 12_000_000):
+    Special strings of the tokenizer that stand in a text are one id each, as
+    its file says; with ``specials=False`` they are text like any other.
+    """
+
+    def __init__(self, path: str, style: str, keep: int = 900_000, keep_chars: int = 12_000_000, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        # a text that holds one of the tokenizer's own strings isn't cut
+        own = self.tokenizer.get_added_tokens_decoder().values()
+        self._own = [t.content for t in own if not t.normalized]
+        loose = [re.escape(t.content) for t in own if t.normalized]
+        self._loose = re.compile("|".join(loose), re.IGNORECASE).search if loose else None
         self.style, self.keep, self.keep_chars = style, keep, keep_chars
         # a word of letters, with a blank before it for style "space", and maybe a mark after it
         self._plain = re.compile(f"{' ?' if style == 'space' else ''}[{_LETTERS}]+[.,]?").fullmatch
@@ -128,7 +137,7 @@ class Encoder:
             self.ends.add(self.ends.data[self.ends.n - 1] + np.cumsum(n[order]))
 
     def _cut(self, text: str) -> list[str]:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or any(s in text for s in self._own) or self._loose and self._loose(text):
             return [text]
         if self.style == "split":
             return text.split()

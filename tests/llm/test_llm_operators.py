@@ -71,15 +71,18 @@ def test_simple8b_round_trip():
     assert (simple8b.decode(words, offsets, len(wide)) == wide).all()
 
 
+@pytest.mark.parametrize("specials", [True, False])
 @pytest.mark.parametrize("name,style", [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "split")])
-def test_encoder_equals_tokenizer(spark, name, style):
+def test_encoder_equals_tokenizer(spark, name, style, specials):
+    """By default ids are those of the tokenizer as loaded, its special strings within texts included."""
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    if not specials:
+        plain.encode_special_tokens = True
     texts = [r[0] for r in documents(spark).select("text").collect()]
-    texts += ["", " ", "a  b", "\n\nx ", "don't've it's", "naïve é, Zürich. Œuvre", "à́ b", "tab\there", "日本 語", "<|endoftext|>", "İx ŉ ~ ~~", "a\x00b", "x" * 5000]
+    texts += ["", " ", "a  b", "\n\nx ", "don't've it's", "naïve é, Zürich. Œuvre", "à́ b", "tab\there", "日本 語", "<|endoftext|>", "hello <|endoftext|> world", "a<|startoftext|>b <|EndOfText|>c", "<|endoftext|><|endoftext|>", "İx ŉ ~ ~~", "a\x00b", "x" * 5000]
     for keep in (1_500_000, 50):  # the second forgets all the time
-        e = encoding.Encoder(path, style, keep)
+        e = encoding.Encoder(path, style, keep, specials=specials)
         for at in range(0, len(texts), 40):
             ids, counts = e(texts[at : at + 40])
             want = [x.ids for x in plain.encode_batch(texts[at : at + 40], add_special_tokens=False)]
@@ -87,11 +90,11 @@ def test_encoder_equals_tokenizer(spark, name, style):
 
 
 def test_token_shards(spark, tmp_path):
-    docs = make(spark, [(5, "b c"), (1, None), (9, "word " * 3000), (3, ""), (5, "a")])
+    docs = make(spark, [(5, "b c"), (1, None), (9, "word " * 3000), (3, ""), (5, "a"), (4, "x <|endoftext|> y")])
     simple8b.write_token_shards(docs, str(tmp_path / "s"), public_tokenizers.path("byte_bpe_50k.json"), shard_ids=100)
     got = sorted(tuple(r) for r in simple8b.read_token_shards(spark, str(tmp_path / "s")).collect())
     plain, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
-    for i, t in [(1, ""), (3, ""), (5, "a"), (5, "b c"), (9, "word " * 3000)]:
+    for i, t in [(1, ""), (3, ""), (4, "x <|endoftext|> y"), (5, "a"), (5, "b c"), (9, "word " * 3000)]:
         ids = np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
