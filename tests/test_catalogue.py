@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from marginalia.plans import catalogues, evaluation, files, findings, records, reviews, structure, texts  # noqa: F401  all add to the catalogue
+from marginalia.plans import catalogues, evaluation, evidence, files, findings, records, reviews, structure, texts  # noqa: F401  all add to the catalogue
 from marginalia.plans.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
