@@ -459,9 +459,9 @@ def near_paraphrases(spark, d):
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
   r AS (SELECT user_id, i, value AS s FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, 0.3 * o.value + 0.7 * r.s FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
-  SELECT user_id, CAST(max(i) AS INT) AS n, arg_max(s, i) AS smoothed FROM r GROUP BY user_id""")
+  SELECT user_id, CAST(max(i) AS INT) AS n, round(arg_max(s, i), 9) AS smoothed FROM r GROUP BY user_id""")
 def smoothed_usage(spark, d):
-    return timestate.smoothed(table(spark, d, "events"), "user_id", "ts", "value", "event_id")
+    return timestate.smoothed(table(spark, d, "events"), "user_id", "ts", "value", "event_id").withColumn("smoothed", F.round("smoothed", 9))
 
 
 @query("""SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marginalia.operators.ordering import running
+from marginalia.scratch import Scratch
+
 ALPHA = 0.3
 
 
@@ -17,10 +20,22 @@ def ewma(values: Column, alpha: float = ALPHA) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda s, x: F.coalesce(alpha * x + (1 - alpha) * s, x.cast("double")))
 
 
-def smoothed(events: DataFrame, by: str, time: str, value: str, tie: str) -> DataFrame:
-    """``(by, n, smoothed)``, a row for each series."""
-    rows = F.array_sort(F.collect_list(F.struct(time, tie, F.col(value).cast("double").alias("v"))))
-    return events.where(F.col(value).isNotNull()).groupBy(by).agg(rows.alias("r")).select(by, F.size("r").alias("n"), ewma(F.transform("r", lambda x: x["v"])).alias("smoothed"))
+def smoothed(events: DataFrame, by: str, time: str, value: str, tie: str, alpha: float = ALPHA) -> DataFrame:
+    """``(by, n, smoothed)``, a row for each series.
+
+    The last smoothed value is a sum: ``alpha (1 - alpha)^j`` times the value j
+    places from the end, and ``(1 - alpha)^(n - 1)`` times the first, which
+    primes it. Places are counted range by range, so that a long series is many
+    ranges, and sums are added up before they are shuffled.
+    """
+    rows = events.where(F.col(value).isNotNull()).select(by, time, tie, F.col(value).cast("double").alias("__v"))
+    placed = running(Scratch(events.sparkSession, "smoothed"), rows, [F.col(by), F.col(time), F.col(tie)], {"__at": F.lit(1)})
+    series = rows.groupBy(by).agg(F.count("*").cast("int").alias("n"))
+    ends = running(Scratch(events.sparkSession, "smoothed"), series, [F.col(by)], {"__start": F.col("n")})
+    there = placed.join(ends.withColumnRenamed(by, "__by").hint("merge"), F.col(by).eqNullSafe(F.col("__by")))
+    after = F.col("__start") + F.col("n") - 1 - F.col("__at")
+    weight = F.pow(F.lit(1 - alpha), after) * F.when(F.col("__at") == F.col("__start"), 1.0).otherwise(alpha)
+    return there.groupBy(by).agg(F.first("n").alias("n"), F.sum(weight * F.col("__v")).alias("smoothed"))
 
 
 def smoothed_stream(events: DataFrame, by: str, value: str) -> DataFrame:
