@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import acceptance
 from marginalia.plans.catalogue import query, table
 from marginalia.plans.texts import text_of
+from marginalia.sources import captures
 from marginalia.streaming import ingest
 
 
@@ -61,3 +62,32 @@ def cached_images(spark, d):
     cache = part.select(of(F.col("p_size")).alias("hash"), F.col("p_brand").alias("model"), (F.col("p_size") % 3).cast("string").alias("version"))
     cache = ingest.purged(ingest.purged(cache, model="Brand#12"), version="0")
     return ingest.split_by_hash(part.select(F.col("p_partkey").alias("key"), of(F.col("p_partkey") % 60).alias("hash")), cache).select("key", "cached")
+
+
+# ---- captured pages ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT CASE page_id % 3 WHEN 0 THEN 'qp' WHEN 1 THEN 'b64' ELSE 'plain' END || page_id AS path, url, html FROM pages WHERE page_id % 7 > 0")
+def mhtml_pages(spark, d):
+    """Pages put into MHTML, quoted-printable, base64 or plain, after a part of another kind; a seventh has no HTML part."""
+    k, html = F.col("page_id"), F.col("html")
+    quoted = F.regexp_replace(F.replace(F.replace(html, F.lit("="), F.lit("=3D")), F.lit("é"), F.lit("=C3=A9")), r"(.{60}) ", "$1 =\r\n")
+    body = F.when(k % 3 == 0, quoted).when(k % 3 == 1, F.regexp_replace(F.base64(html.cast("binary")), r"(.{76})", "$1\r\n")).otherwise(html)
+    coding = F.when(k % 3 == 0, "quoted-printable").when(k % 3 == 1, "BASE64").otherwise("8bit")
+    text = text_of("From: <x>\r\nSnapshot-Content-Location: ", F.when(k % 2 == 0, F.col("url")).otherwise("http://other"), "\r\nContent-Type: multipart/related;\r\n\ttype=\"text/html\";\r\n\tboundary=\"--Mark.+(1)\"\r\n\r\n----Mark.+(1)\r\nContent-Type: text/css\r\n\r\np {}\r\n----Mark.+(1)\r\n",
+                   F.when(k % 7 > 0, text_of("Content-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: ", coding, "\r\n", F.when(k % 2 > 0, text_of("Content-Location: ", F.col("url"), "\r\n")).otherwise(""), "\r\n", body)).otherwise("Content-Type: image/png\r\n\r\nx"), "\r\n----Mark.+(1)--\r\n")
+    path = F.concat(F.when(k % 3 == 0, "qp").when(k % 3 == 1, "b64").otherwise("plain"), k)
+    return captures.mhtml_pages(table(spark, d, "pages").select(path.alias("path"), text.alias("text")))
+
+
+_BARE = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _tag in captures.NO_TEXT:
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_BARE} AS c FROM pages),
+  q AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(c, '(?is)<article\b[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(c, '(?is)<main\b[^>]*>(.*?)</main>', 1), ''), nullif(regexp_extract(c, '(?is)<body\b[^>]*>(.*?)</body>', 1), ''), c), '\s+', ' ', 'g'), '{captures.BLOCK_END}', chr(10), 'g') AS c FROM p),
+  r AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(c, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS c FROM q)
+  SELECT page_id, trim(regexp_replace(regexp_replace(c, '[ \t]*\n\s*', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(10)) AS text FROM r""")
+def article_texts(spark, d):
+    return table(spark, d, "pages").select("page_id", captures.article_text(F.col("html")).alias("text"))

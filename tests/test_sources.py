@@ -1,6 +1,8 @@
 """Bibliography files, catalogue responses and parsed papers with edges."""
 
-from marginalia.sources import bibtex, catalogues, tei
+from pyspark.sql import functions as F
+
+from marginalia.sources import bibtex, captures, catalogues, tei
 
 BIB = r'''junk } before @comment{ @article{no, title={x}} }
 @STRING{ acm = "ACM " # press }   @string{press = {Press}}
@@ -73,3 +75,12 @@ def test_tei_nesting(spark):
     assert refs == [(1, 0, None, None), (1, 1, None, "Only a series")]
     assert [r["title"] for r in tei.paper_headers(d).orderBy("paper").collect()][:2] == ["", ""]
     assert tei.body_sections(d.limit(0)).count() == 0 and tei.figure_labels(d).count() == 0
+
+
+def test_captured_pages(spark):
+    qp = "MIME-Version: 1.0\nSnapshot-Content-Location: http://a.org/\nContent-Type: multipart/related; boundary=B\n\n--B\nContent-Type: text/html\nContent-Transfer-Encoding: quoted-printable\n\n<p>50%+ caf=C3=A9 =3D=\n ok</p>\n--B--\n"
+    single = "Content-Type: text/html\n\n<b>x</b>"
+    d = spark.createDataFrame([("q", qp), ("s", single), ("n", "Content-Type: text/plain\n\nx"), ("e", ""), ("z", None)], "path string, text string")
+    assert got(captures.mhtml_pages(d), "path", "url", "html") == [("q", "http://a.org/", "<p>50%+ café = ok</p>"), ("s", None, "<b>x</b>")]
+    pages = spark.createDataFrame([(1, "<body><nav>no</nav><article><h1>T</h1><p>One  two<br>three</p><script>x<y</script></article><p>out</p></body>"), (2, "plain &amp;lt; <b>bold</b>"), (3, None), (4, "<MAIN class=x>a\n b</MAIN>")], "id int, html string")
+    assert {r["id"]: r["t"] for r in pages.select("id", captures.article_text(F.col("html")).alias("t")).collect()} == {1: "T\nOne two\nthree", 2: "plain &lt; bold", 3: None, 4: "a b"}
