@@ -6,6 +6,10 @@ prefix of a little over a fifth, and linked sets share a shingle there, so
 buckets by prefix shingle hold every linked pair. Shingles that a sample finds
 in many texts come last in the order, which concerns speed alone.
 
+A pair is looked at in full only if bitmaps of both sets allow a link: every
+shingle flips one of ``BITS`` bits, so sets differ in at least as many shingles
+as their bitmaps in bits. That leaves out no linked pair.
+
 Buckets of up to ``SMALL`` texts are paired up. Members of larger ones meet
 ``CENTRES`` of them, turn by turn, and those that verify are components. Pairs
 within a component need no look; those across that are left after the turns
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.text import attach, whole
@@ -36,6 +40,8 @@ COMMON = 400_000
 #: Buckets up to this size are paired up.
 SMALL = 16
 CENTRES = 4
+#: Bits of a set's bitmap.
+BITS = 512
 #: So many sets at most are named by broadcast (16 bytes each) to the texts they are read from.
 BROADCAST_SETS = 500_000
 _M, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,33 +87,43 @@ def shingle_sets(text):
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, held, size, prefix)`` of ``(doc_id, text)``; held: a hash of the set, 0 if it is empty; prefix: ascending keys."""
+    """``(doc_id, text_hash, held, size, prefix, bits)`` of ``(doc_id, text)``; held: a hash of the set, 0 if it is empty; prefix: ascending keys."""
     some = docs.where(F.xxhash64("text").bitwiseAND(F.lit(3)) == 0).select(F.explode(shingle_sets(F.col("text"))).alias("shingle"))
     often = some.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 2").orderBy(F.desc("uses"), "shingle").limit(COMMON).toPandas()["shingle"]
     common = docs.sparkSession.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held, size, prefix = [], [], []
+            held, size, prefix, bits = [], [], [], []
             for text in pdf["text"]:
                 s = _set(text)
                 n = len(s)
                 held.append(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64) if n else 0)
                 size.append(n)
+                bits.append(np.packbits(np.bincount((s >> np.uint64(7) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64))
                 key = s >> np.uint64(1)  # 63 bits; the first is set for those that come last
                 if len(common.value):
                     at = np.minimum(np.searchsorted(common.value, s), len(common.value) - 1)
                     last = common.value[at] == s
                     key = np.sort(key + (last.astype(np.uint64) << np.uint64(63)))
                 prefix.append((key[: n - (PART * n + OF - 1) // OF + 1] ^ np.uint64(1 << 63)).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "held": held, "size": size, "prefix": prefix})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "held": held, "size": size, "prefix": prefix, "bits": bits})
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(cut, "doc_id long, text_hash long, held long, size int, prefix array<long>, bits array<long>")
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(cut, "doc_id long, text_hash long, held long, size int, prefix array<long>")
+
+def _able(a: str, b: str) -> Column:
+    """Whether sets with columns ``size`` and ``bits``, named with these suffixes, may be linked by their sizes and bitmaps."""
+    sizes = F.col(f"size{a}") + F.col(f"size{b}")
+    shared = F.floor((sizes * PART + OF + PART - 1) / (OF + PART))  # as many shingles at least
+    differ = sum((F.bit_count(F.get(f"bits{a}", F.lit(k)).bitwiseXOR(F.get(f"bits{b}", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    return (OF * F.least(f"size{a}", f"size{b}") >= PART * F.greatest(f"size{a}", f"size{b}")) & (differ <= sizes - 2 * shared)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of distinct pairs of sets ``(src, dst)`` that are linked."""
-    pairs = scratch.put(pairs, "pairs")
+    a, b = (sets.select(F.col("held").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")).hint("merge") for x in ("src", "dst"))
+    pairs = scratch.put(pairs.join(a, "src").join(b, "dst").where(_able("_src", "_dst")).select("src", "dst"), "pairs")
     met = pairs.select(F.explode(F.array("src", "dst")).alias("held")).distinct()
     of_text = scratch.put(sets.select("held", "text_hash").join(met.hint("merge"), "held", "left_semi"), "met")
     of_text = F.broadcast(of_text) if of_text.count() <= BROADCAST_SETS else of_text.hint("merge")
@@ -131,12 +147,12 @@ def _pairs(both: DataFrame) -> DataFrame:
 
 def linked_sets(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` of the sets in rows of ``prefixes``, a written table that is deleted, that are linked to another."""
-    sets = scratch.put(rows.where("size > 0").groupBy("held").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash")), "sets")
+    sets = scratch.put(rows.where("size > 0").groupBy("held").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min("text_hash").alias("text_hash")), "sets")
     scratch.drop(rows)
     keys = sets.select(F.explode("prefix").alias("shingle"), "held", "size")
     shared = scratch.put(keys.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = scratch.put(keys.join(shared.hint("merge"), "shingle"), "buckets")
-    prefixed, sets = sets, scratch.put(sets.select("held", "size", "text_hash"), "narrow")
+    prefixed, sets = sets, scratch.put(sets.select("held", "size", "text_hash", "bits"), "narrow")
     scratch.drop(prefixed, shared)
     other = {"held": "held_", "size": "size_"}
     small, crowd = buckets.where(F.col("n") <= SMALL).drop("n"), buckets.where(F.col("n") > SMALL).drop("n")
@@ -159,7 +175,11 @@ def linked_sets(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
             return comp
         mixed = label.join(spread.select("shingle").hint("merge"), "shingle", "left_semi")
         last = left["pairs"] <= 16 * left["n"] or (before is not None and left["pairs"] > 0.8 * before)
-        across = mixed.join(mixed.withColumnsRenamed(other | {"label": "label_"}).hint("merge"), "shingle").where("held < held_ AND label <> label_") if last else centred(mixed, turn)
+        if last:
+            mixed = scratch.put(mixed.join(sets.select("held", "bits").hint("merge"), "held"), "mixed")
+            across = mixed.join(mixed.withColumnsRenamed({c: f"{c}_" for c in ("held", "size", "label", "bits")}).hint("merge"), "shingle").where(F.expr("held < held_ AND label <> label_") & _able("", "_"))
+        else:
+            across = centred(mixed, turn)
         edges = scratch.put(edges.unionByName(_verified(_pairs(across), sets, docs, scratch)), "linked")
         comp = connected_components(edges)
         if last:
