@@ -49,8 +49,9 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def _bytes(texts: list[str]) -> list[bytes]:
-    return [t.encode("utf-8", "replace") for t in texts]
+def _bytes(texts) -> Iterator[bytes]:
+    """One after another: a batch's texts aren't held twice."""
+    return (t.encode("utf-8", "replace") for t in texts)
 
 
 def text_counts(rows: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def text_counts(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             for lang, part in pdf.groupby("declared")["text"]:
                 own = total.setdefault(lang, np.zeros(SLOTS, np.int64))
-                for raw in _bytes(part.tolist()):
+                for raw in _bytes(part):
                     own += np.bincount(trigram_slots(raw), minlength=SLOTS)
         for lang, own in total.items():
             at = np.flatnonzero(own)
@@ -84,7 +85,7 @@ def text_model(counts: pd.DataFrame) -> tuple[list[str], np.ndarray]:
 def with_text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """Rows without ``text`` but with ``evidence array<double>`` (log-likelihoods, the best at 0) and ``grams``."""
     names = [c for c in rows.columns if c != "text"]
-    portion = max(20_000, 12_000_000 // max(1, len(langs)))
+    portion = max(20_000, 3_000_000 // max(1, len(langs)))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +100,7 @@ def with_text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) ->
                     out[some] = np.add.reduceat(table[np.concatenate(held)], at, axis=0)
                 return out, sizes
 
-            for raw in _bytes(pdf["text"].tolist()):
+            for raw in _bytes(pdf["text"]):
                 slots = trigram_slots(raw)
                 held.append(slots)
                 n += len(slots)
