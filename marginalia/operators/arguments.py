@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def balanced(text: str, pattern: re.Pattern) -> list[tuple[str, int, str]]:
+    """``(command, line, argument)`` of every command that pattern finds; it finds all braces as well."""
+    out, opened, line, seen = [], [], 1, 0
+    for m in pattern.finditer(text):
+        at = m.end()
+        if text[at - 1] == "{":
+            line, seen = line + text.count("\n", seen, at), at
+            opened.append((m[1], line, at))
+        elif opened:
+            command, begun, start = opened.pop()
+            if command:
+                out.append((command, begun, text[start : at - 1]))
+    return out
+
+
+def arguments_of(text: Column, commands: list[str]) -> Column:
+    """``array<struct<command, line, argument>>`` of a text, see ``command_arguments``; null for a null text."""
+    known = "|".join(commands)
+
+    def read(texts: pd.Series) -> pd.Series:
+        pattern = re.compile(rf"\\({known})\{{|[{{}}]")
+        return pd.Series([None if t is None else [{"command": c, "line": n, "argument": a} for c, n, a in balanced(t, pattern)] for t in texts], dtype=object)
+
+    return F.pandas_udf(read, "array<struct<command:string,line:int,argument:string>>")(text)
+
+
 def command_arguments(docs: DataFrame, commands: list[str]) -> DataFrame:
     """``(paper, command, line, argument)`` of every ``\\command{argument}`` in ``(paper, text)``.
 
-    A text is cut after each brace. The depth after a brace is a running sum,
-    and an opening brace ends at the next brace of its own level, as between
-    two braces of a level all others lie deeper. Every brace counts, escaped or
-    not. Lines count from 1 and are those of the command. An argument that is
-    never closed gives no row; arguments inside arguments give rows of their
-    own. Null texts give none. Papers have one row each.
+    An opening brace ends at the closing one that balances it; closing braces
+    that balance none are passed over. Every brace counts, escaped or not. Lines
+    count from 1 and are those of the command. An argument that is never closed
+    gives no row; arguments inside arguments give rows of their own. Null texts
+    give none. Each text is read once, where it is, so one whose lines come in
+    another order when it is made again can't be mixed up with itself.
     """
     known = "|".join(commands)
     texts = docs.where(F.col("text").rlike(rf"\\(?:{known})\{{"))
-    pieces = texts.select("paper", F.posexplode(F.split("text", r"(?<=[{}])", -1)).alias("n", "piece"))
-    upto = Window.partitionBy("paper").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    brace = F.right("piece", F.lit(1))
-    braces = pieces.select(
-        "paper", "n", brace.alias("brace"), F.regexp_extract("piece", rf"\\({known})\{{\z", 1).alias("command"),
-        F.sum(F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)).over(upto).alias("depth"),
-        F.sum(F.char_length("piece")).over(upto).alias("at"),
-        (F.sum(F.regexp_count("piece", F.lit("\n"))).over(upto) + 1).alias("line")).where(F.col("brace").isin("{", "}"))
-    same = Window.partitionBy("paper", "level").orderBy("n")
-    pairs = braces.withColumn("level", F.col("depth") + (F.col("brace") == "}").cast("int")).withColumns({"to": F.lead("at").over(same), "end": F.lead("brace").over(same)})
-    spans = pairs.where("command <> '' AND end = '}'").groupBy("paper").agg(F.collect_list(F.struct("command", "line", "at", "to")).alias("spans"))
-    found = texts.select("paper", "text").join(spans, "paper").select("paper", "text", F.explode("spans").alias("s"))
-    return found.select("paper", "s.command", F.col("s.line").cast("int").alias("line"), F.substring("text", F.col("s.at") + 1, F.col("s.to") - F.col("s.at") - 1).alias("argument"))
+    return texts.select("paper", F.explode(arguments_of(F.col("text"), commands)).alias("a")).select("paper", "a.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import latex
-from marginalia.operators.arguments import command_arguments
+from marginalia.operators.arguments import arguments_of
 
 # fixed values: what counts as a citation command, and abbreviations that end no sentence
 CITE = r"\\cite(?:unverified|[tp]|yearpar)?\{([^}]+)\}"
@@ -58,19 +58,23 @@ def _body(docs: DataFrame) -> DataFrame:
     return docs.select("paper", latex.document_body(latex.strip_comments(F.col("text"))).alias("text"))
 
 
+def _names(found: Column, keep) -> Column:
+    return F.transform(F.filter(found, keep), lambda a: a["argument"])
+
+
 def dangling_refs(docs: DataFrame) -> DataFrame:
-    """``(paper, label)`` that the body refers to and doesn't define. Arguments are taken whole, as balanced braces hold them."""
-    rows = command_arguments(_body(docs), [*REFERENCES, "label"])
-    return rows.groupBy("paper", F.col("argument").alias("label")).agg(F.bool_or(F.col("command") == "label").alias("d")).where("NOT d").drop("d")
+    """``(paper, label)`` that the body refers to and doesn't define. Arguments are taken whole, as balanced braces hold them. Papers have one row each."""
+    found = _body(docs).where(F.col("text").rlike(rf"\\(?:{'|'.join(REFERENCES)})\{{")).select("paper", arguments_of(F.col("text"), [*REFERENCES, "label"]).alias("found"))
+    return found.select("paper", F.explode(F.array_except(_names(F.col("found"), lambda a: a["command"] != "label"), _names(F.col("found"), lambda a: a["command"] == "label"))).alias("label"))
 
 
 def unreferenced_figures(docs: DataFrame) -> DataFrame:
-    """``(paper, label)``: labels ``fig:...`` inside figures that nothing refers to."""
-    text = _body(docs)
+    """``(paper, label)``: labels ``fig:...`` inside figures that nothing refers to. Papers have one row each."""
     figures = F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{(?:figure|figure\*|subfigure)\}(.*?)\\end\{(?:figure|figure\*|subfigure)\}"), 1)
-    labels_ = F.array_distinct(F.flatten(F.transform(figures, lambda f: F.regexp_extract_all(f, F.lit(r"\\label\{(fig:[^}]+)\}"), 1))))
-    used = command_arguments(text, REFERENCES).select("paper", F.col("argument").alias("label"))
-    return text.select("paper", F.explode(labels_).alias("label")).join(used, ["paper", "label"], "left_anti")
+    labels_ = F.flatten(F.transform(figures, lambda f: F.regexp_extract_all(f, F.lit(r"\\label\{(fig:[^}]+)\}"), 1)))
+    # one row of both: a text may have its lines in another order when it is made again
+    found = _body(docs).select("paper", labels_.alias("labels"), arguments_of(F.col("text"), REFERENCES).alias("found"))
+    return found.select("paper", F.explode(F.array_except("labels", _names(F.col("found"), lambda a: F.lit(True)))).alias("label"))
 
 
 def aux_citations(aux: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Text operators on small manuscripts with edges."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from marginalia.operators import arguments, extract, sections
 
 DOC = r"\begin{document}" + "\n"
@@ -68,3 +72,18 @@ def test_footnotes_and_captures(spark):
     assert got(claims, "url") == [("https://A.org/x/",), ("https://b.org",), ("https://c.org",)]
     files = spark.createDataFrame([("https://a.org/x#y", "b.md"), ("https://a.org/x", "a.md")], "url string, file string")
     assert [r["file"] for r in sections.captured_footnotes(claims, files).orderBy("url").collect()] == ["a.md", None, None]
+
+
+def test_texts_are_read_once(spark):
+    """A text that is another each time it is made, as one collected from a shuffle can be, still gives its own arguments."""
+    mixed = F.udf(lambda lines: "\n".join(sorted(lines, key=lambda _: random.SystemRandom().random())), "string").asNondeterministic()
+    lines = F.array(*[F.lit("\\begin{figure}\\label{fig:" + "x" * n + "}\\end{figure} \\ref{fig:" + "x" * n + "}") for n in range(1, 9)])
+    made = spark.range(200).select(F.col("id").alias("paper"), mixed(lines).alias("text"))
+    assert got(arguments.command_arguments(made, ["ref"]).groupBy("argument").count(), "argument", "count") == [("fig:" + "x" * n, 200) for n in range(1, 9)]
+    assert extract.unreferenced_figures(made).count() == 0 and extract.dangling_refs(made).count() == 0
+
+
+def test_braces_without_partners(spark):
+    d = papers(spark, "} \\label{a} }} { \\label{b{c} \\ref{d}", "\\label{\\label{in} out}\n\n{}\\ref{é}")
+    assert got(arguments.command_arguments(d, ["label", "ref"]), "paper", "command", "line", "argument") == [
+        (0, "label", 1, "a"), (0, "ref", 1, "d"), (1, "label", 1, "\\label{in} out"), (1, "label", 1, "in"), (1, "ref", 3, "é")]
