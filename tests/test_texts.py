@@ -87,3 +87,12 @@ def test_braces_without_partners(spark):
     d = papers(spark, "} \\label{a} }} { \\label{b{c} \\ref{d}", "\\label{\\label{in} out}\n\n{}\\ref{é}")
     assert got(arguments.command_arguments(d, ["label", "ref"]), "paper", "command", "line", "argument") == [
         (0, "label", 1, "a"), (0, "ref", 1, "d"), (1, "label", 1, "\\label{in} out"), (1, "label", 1, "in"), (1, "ref", 3, "é")]
+
+
+def test_pages_that_share_a_key_keep_their_captures(spark):
+    """Two addresses whose synthetic keys are the same, as happens among a million."""
+    one, two = "https://a.org/537029", "https://a.org/2084523"
+    claims = sections.footnote_claims(papers(spark, DOC + f"A claim\\footnote{{\\url{{{one}}}}} holds.\n\nAnother\\footnote{{\\url{{{two}}}}} too."))
+    files = spark.createDataFrame([(two, "two.md"), (one + "/#x", "zero.md")], "url string, file string")
+    rows = sections.captured_footnotes(claims, files).collect()
+    assert len({r["key"] for r in rows}) == 1 and {r["url"]: r["file"] for r in rows} == {one: "zero.md", two: "two.md"}
