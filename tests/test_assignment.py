@@ -30,6 +30,21 @@ def test_rounds_equal_turns(spark):
     assert assignment.in_turn(df.limit(0)).count() == 0
 
 
+def test_rounds_and_folds_are_one_rule(spark, monkeypatch):
+    """Small groups are folded in a pass, large ones go in rounds, whose tables are merged; a group of many turns no longer takes a table a turn."""
+    rng = random.Random(8)
+    wishes = [(g, c, i, rng.randrange(4)) for g in range(9) for c in range(6) for i in range(6) if rng.random() < 0.2 + g / 12]
+    df = spark.createDataFrame(wishes + wishes[:5], "grp int, chooser int, item int, wish int")
+    monkeypatch.setattr(assignment, "MERGED", 2)
+    for small in (0, 12, 10_000):
+        assert {tuple(r) for r in assignment.in_turn(df, small).collect()} == in_turn_plain(wishes)
+    made = []
+    put = assignment.Scratch.put
+    monkeypatch.setattr(assignment.Scratch, "put", lambda self, *a, **b: made.append(1) or put(self, *a, **b))
+    same = spark.range(40).selectExpr("1 AS grp", "id AS chooser").crossJoin(spark.range(40).selectExpr("id AS item", "id AS wish"))
+    assert {(r["chooser"], r["item"]) for r in assignment.in_turn(same).collect()} == {(i, i) for i in range(40)} and len(made) < 5
+
+
 def test_findings_meet_expectations_in_order(spark):
     e = spark.createDataFrame([(1, "a", 1, "x"), (1, "a", 2, ""), (1, "a", 3, "x"), (1, "a", 4, None), (2, "a", 1, "%_"), (3, "b", 1, "")], "grp int, check string, exp int, context string")
     f = spark.createDataFrame([(1, "a", 1, "xy", None), (1, "a", 2, None, "axb"), (1, "a", 3, "z", "z"), (1, "b", 4, "x", "x"), (2, "a", 1, "q", "100%_"), (4, "a", 9, "", "")], "grp int, check string, finding int, context string, message string")
