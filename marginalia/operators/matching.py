@@ -124,3 +124,28 @@ def best_candidate(pairs: DataFrame, threshold: float = 0.70) -> DataFrame:
     score = (F.col("title_sim") * F.coalesce(0.5 + 0.5 * F.col("author_sim"), F.lit(1.0)) * year_factor(F.col("year"), F.col("cand_year")) * F.coalesce(0.9 + 0.1 * F.col("venue_sim"), F.lit(1.0)))
     w = Window.partitionBy("key").orderBy(F.desc("score"), "ord")
     return pairs.withColumn("score", score).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) & (F.col("score") >= threshold)).select("key", "ord", "score")
+
+
+def best_later_titles(items: DataFrame, scope: list[str], least: float) -> DataFrame:
+    """``(key, ord, score)`` of ``key, title`` and scope: the later key of the same scope whose title is most alike, ``least`` (over 0) or more, the first on a tie.
+
+    Titles are compared, not rows: each two that share a scope are scored once.
+    A scope's title can serve keys below its last one, so of a title's scores,
+    from the highest down, each serves the keys between the last key of higher
+    ones and its own, and a key has one of them at most. A hot title is sorted
+    in one task; its rows are never paired.
+    """
+    items = items.where("title <> ''").select(*scope, "key", "title")
+    groups = items.groupBy(*scope, "title").agg(F.max("key").alias("last"))
+    pairs = groups.drop("last").join(groups.withColumnRenamed("title", "other"), scope)
+    scored = pairs.select("title", "other").distinct().withColumn("score", title_similarity(F.col("title"), F.col("other"))).where(F.col("score") >= least)
+    pairs = pairs.join(scored, ["title", "other"])
+    levels = pairs.groupBy(*scope, "title", "score").agg(F.max("last").alias("last"))
+    higher = Window.partitionBy(*scope, "title").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("begin", F.max("last").over(higher)).where("begin IS NULL OR begin < last")
+    at = items.join(levels, [*scope, "title"]).where("key < last AND (begin IS NULL OR key >= begin)").select(*scope, "title", "key", "score")
+    asked = at.join(pairs.drop("last"), [*scope, "title", "score"]).select(*scope, F.col("other").alias("title"), "key", F.lit(0).alias("kind"), "score")
+    both = asked.unionByName(items.select(*scope, "title", "key", F.lit(1).alias("kind")), allowMissingColumns=True)
+    after = Window.partitionBy(*scope, "title").orderBy(F.desc("key"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("ord", F.last(F.when(F.col("kind") == 1, F.col("key")), ignorenulls=True).over(after)).where("kind = 0 AND ord IS NOT NULL")
+    return found.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "ord")).alias("best")).select("key", "best.ord", (-F.col("best.score")).alias("score"))
