@@ -8,7 +8,8 @@ Setext headings, HTML and nested blocks are text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.structure import stripped
@@ -32,24 +33,36 @@ def plain(text: Column) -> Column:
     return stripped(F.regexp_replace(c, r"\s+", " "))
 
 
+def grouped(lines: list[str], marks: str) -> list[dict]:
+    """Runs of lines by their marks (fence, heading, blank, text) as ``(n, kind, text, head)``; head is the last heading's line."""
+    out, n, opened, was, head = [], 0, False, None, None
+    for line, mark in zip(lines, marks):
+        kind = "code" if opened or mark == "f" else {"h": "heading", "b": "blank", "t": "text"}[mark]
+        begins = not opened if kind == "code" else kind != "text" or was != "text"
+        n, opened, was = n + begins, opened != (mark == "f"), kind
+        if kind == "heading":
+            head = line
+        if kind != "blank" and begins:
+            out.append({"n": n, "kind": kind, "text": [line], "head": head})
+        elif kind != "blank":
+            out[-1]["text"].append(line)
+    return [b | {"text": "\n".join(b["text"])} for b in out]
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """``(paper, n, kind, text, section)`` of ``(paper, text)``: headings, paragraphs and fenced code in their order, under the last heading before them."""
+    """``(paper, n, kind, text, section)`` of ``(paper, text)``: headings, paragraphs and fenced code in their order, under the last heading before them.
+
+    Lines are marked as columns, and grouped where their text is: no shuffle.
+    """
+    def group(lines: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([None if m is None else grouped(l, m) for l, m in zip(lines, marks)], dtype=object)
+
     body = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), FRONT, "")
-    rows = docs.select("paper", F.posexplode(F.split(body, "\n", -1)).alias("at", "line"))
-    order = Window.partitionBy("paper").orderBy("at")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("line").rlike(FENCE)
-    rows = rows.withColumns({"fence": fence, "open": F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1})
-    kind = F.when(F.col("open") | F.col("fence"), "code").when(F.col("line").rlike(HEADING), "heading").when(stripped(F.col("line")) == "", "blank").otherwise("text")
-    rows = rows.withColumn("kind", kind)
-    was = F.lag("kind").over(order)
-    begins = F.when(F.col("kind") == "code", F.col("fence") & ~F.col("open")).otherwise((F.col("kind") != "text") | was.isNull() | (was != "text"))
-    rows = rows.withColumn("n", F.sum(begins.cast("int")).over(upto)).where("kind <> 'blank'")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    made = rows.groupBy("paper", "n", "kind").agg(text.alias("text"))
-    title = F.when(F.col("kind") == "heading", plain(F.regexp_extract("text", HEADING, 2)))
-    last = F.last(title, ignorenulls=True).over(Window.partitionBy("paper").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return made.select("paper", "n", "kind", "text", F.coalesce(last, F.lit("")).alias("section"))
+    rows = docs.select("paper", F.split(body, "\n", -1).alias("lines"))
+    mark = lambda x: F.when(x.rlike(FENCE), "f").when(x.rlike(HEADING), "h").when(stripped(x) == "", "b").otherwise("t")
+    made = F.pandas_udf(group, "array<struct<n:long,kind:string,text:string,head:string>>")("lines", F.array_join(F.transform("lines", mark), ""))
+    found = rows.select("paper", F.explode(made).alias("b")).select("paper", "b.*")
+    return found.select("paper", "n", "kind", "text", F.coalesce(plain(F.regexp_extract("head", HEADING, 2)), F.lit("")).alias("section"))
 
 
 def _keys(docs: DataFrame) -> DataFrame:

@@ -55,3 +55,15 @@ def test_responses_and_addresses(spark):
     assert rows(structure.matched_responses(asked, got), "response", "key") == [(1, 3), (2, 2)]
     d = spark.createDataFrame([("https://A.org:8/x?q",), ("http://www.a.org",), ("no address",), (None,)], "url string")
     assert [r[0] for r in d.select(structure.www_variant(F.col("url"))).collect()] == ["https://www.a.org:8/x?q", "http://a.org", None, None]
+
+
+def test_markdown_blocks_take_no_shuffle(spark):
+    """Blocks are grouped where their text is."""
+    from marginalia.sources import markdown
+
+    text = "---\na: b\n---\nlead\n```x\n# no heading\n\n~~~\nafter\nmore\n\n## *One* ##\ntext\n# Two\n```\nopen\n"
+    blocks = markdown.blocks(spark.createDataFrame([(1, text), (2, None), (3, "")], "paper int, text string"))
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in blocks.orderBy("n").collect()] == [
+        (1, 1, "text", "lead", ""), (1, 2, "code", "```x\n# no heading\n\n~~~", ""), (1, 3, "text", "after\nmore", ""), (1, 5, "heading", "## *One* ##", "One"),
+        (1, 6, "text", "text", "One"), (1, 7, "heading", "# Two", "Two"), (1, 8, "code", "```\nopen\n", "Two")]
