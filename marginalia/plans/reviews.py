@@ -37,8 +37,7 @@ def markdown_labels(spark, d):
 @query("""SELECT l_orderkey AS paper, 'fig:' || (l_linenumber + 1) AS label, 'dangling' AS problem FROM lineitem EXCEPT SELECT l_orderkey, 'fig:' || l_linenumber, 'dangling' FROM lineitem WHERE l_quantity > 25
   UNION ALL (SELECT l_orderkey, 'fig:' || l_linenumber, 'unreferenced' FROM lineitem WHERE l_quantity > 25 EXCEPT SELECT l_orderkey, 'fig:' || (l_linenumber + 1), 'unreferenced' FROM lineitem)""")
 def markdown_references(spark, d):
-    papers = markdown_papers(spark, d)
-    return markdown.dangling_crossrefs(papers).withColumn("problem", F.lit("dangling")).unionByName(markdown.unreferenced_figures(papers).withColumn("problem", F.lit("unreferenced")))
+    return markdown.reference_problems(markdown_papers(spark, d))
 
 
 @query("SELECT DISTINCT l_orderkey AS paper, 'pandoc' AS style, 'a' || l_orderkey || '.bib|b.bib' AS paths FROM lineitem UNION ALL SELECT -1 - doc_id, CASE WHEN regexp_matches(text, '\\[\\d+(?:[,;\\s]+\\d+)*\\]') THEN 'numeric' ELSE 'none' END, '' FROM documents WHERE text NOT LIKE '%@%'")

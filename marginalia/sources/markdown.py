@@ -65,46 +65,65 @@ def blocks(docs: DataFrame) -> DataFrame:
     return found.select("paper", "n", "kind", "text", F.coalesce(plain(F.regexp_extract("head", HEADING, 2)), F.lit("")).alias("section"))
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _found_keys() -> Column:
+    """A block's keys, in their order."""
     prose = F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", ""), HEADING, "$2")
-    found = F.transform(F.regexp_extract_all(prose, F.lit(CITE), 1), lambda k: F.regexp_replace(k, r"\A\{|\}\z", ""))
+    return F.transform(F.regexp_extract_all(prose, F.lit(CITE), 1), lambda k: F.regexp_replace(k, r"\A\{|\}\z", ""))
+
+
+def _refers(key: Column) -> Column:
+    return F.greatest(*[key.startswith(p) for p in PREFIXES])
+
+
+def _keys(docs: DataFrame) -> DataFrame:
     rows = blocks(docs).where("kind <> 'code'").withColumn("context", F.when((F.col("kind") == "heading") | F.col("text").rlike(FIGURE), F.col("section")).otherwise(plain(F.col("text"))))
-    return rows.select("paper", "n", F.posexplode(found).alias("i", "key"), "context", "section")
+    return rows.select("paper", "n", F.posexplode(_found_keys()).alias("i", "key"), "context", "section")
 
 
 def citations(docs: DataFrame) -> DataFrame:
     """``(paper, n, i, key, context, section)`` of each citation: its block's text and the heading above; the heading's text for one in a heading or a figure."""
-    return _keys(docs).where(~F.greatest(*[F.col("key").startswith(p) for p in PREFIXES]))
+    return _keys(docs).where(~_refers(F.col("key")))
 
 
 def crossrefs(docs: DataFrame) -> DataFrame:
     """``(paper, n, i, target, kind, context, section)`` of references to figures, sections, tables, equations and listings."""
-    rows = _keys(docs).where(F.greatest(*[F.col("key").startswith(p) for p in PREFIXES]))
+    rows = _keys(docs).where(_refers(F.col("key")))
     return rows.select("paper", "n", "i", F.col("key").alias("target"), F.substring_index("key", ":", 1).alias("kind"), "context", "section")
 
 
-def labels(docs: DataFrame) -> DataFrame:
-    """``(paper, label, figure)``: ids in braces of any block, and of headings without one their own words; figures are paragraphs of one image."""
-    rows = blocks(docs)
+def _found_labels() -> Column:
+    """A block's labels."""
     first = F.when(F.col("kind") == "code", F.substring_index("text", "\n", 1)).otherwise(F.regexp_replace("text", r"`[^`]*`", ""))
     ids = F.regexp_extract_all(first, F.lit(r"\{[^}]*?#([\p{L}\p{N}_][\p{L}\p{N}_:.-]*)[^}]*\}"), 1)
     words = F.regexp_replace(F.regexp_replace(F.lower(plain(F.regexp_extract("text", HEADING, 2))), r"[^\p{L}\p{N}_ .-]", ""), r"\s+", "-")
     own = F.regexp_replace(words, r"\A[^\p{L}]+", "")
-    named = F.when((F.col("kind") == "heading") & (F.size(ids) == 0), F.array(F.when(own == "", "section").otherwise(own))).otherwise(ids)
-    figure = F.col("text").rlike(FIGURE)
-    made = rows.select("paper", figure.alias("figure"), F.explode(named).alias("label"))
+    return F.when((F.col("kind") == "heading") & (F.size(ids) == 0), F.array(F.when(own == "", "section").otherwise(own))).otherwise(ids)
+
+
+def labels(docs: DataFrame) -> DataFrame:
+    """``(paper, label, figure)``: ids in braces of any block, and of headings without one their own words; figures are paragraphs of one image."""
+    made = blocks(docs).select("paper", F.col("text").rlike(FIGURE).alias("figure"), F.explode(_found_labels()).alias("label"))
     return made.groupBy("paper", "label").agg(F.bool_or("figure").alias("figure"))
 
 
+def reference_problems(docs: DataFrame) -> DataFrame:
+    """``(paper, label, problem)``, each once: ``dangling`` that a cross-reference names and no block has, ``unreferenced`` figures ``fig:...`` that none names. Texts are read once for both."""
+    named = F.when(F.col("kind") != "code", F.filter(_found_keys(), _refers)).otherwise(F.array().cast("array<string>"))
+    uses = F.concat(F.transform(named, lambda x: F.struct(x.alias("label"), F.lit(True).alias("named"), F.lit(False).alias("figure"))),
+                    F.transform(_found_labels(), lambda x: F.struct(x.alias("label"), F.lit(False).alias("named"), (F.col("text").rlike(FIGURE) & x.startswith("fig:")).alias("figure"))))
+    rows = blocks(docs).select("paper", F.explode(uses).alias("u")).select("paper", "u.*")
+    every = rows.groupBy("paper", "label").agg(F.bool_or("named").alias("named"), F.bool_and("named").alias("only"), F.bool_or("figure").alias("figure"))
+    return every.select("paper", "label", F.when(F.col("only"), "dangling").when(F.col("figure") & ~F.col("named"), "unreferenced").alias("problem")).where("problem IS NOT NULL")
+
+
 def dangling_crossrefs(docs: DataFrame) -> DataFrame:
     """``(paper, label)`` that a cross-reference names and no block has."""
-    return crossrefs(docs).select("paper", F.col("target").alias("label")).distinct().join(labels(docs).select("paper", "label"), ["paper", "label"], "left_anti")
+    return reference_problems(docs).where("problem = 'dangling'").select("paper", "label")
 
 
 def unreferenced_figures(docs: DataFrame) -> DataFrame:
     """``(paper, label)`` of figures ``fig:...`` that no cross-reference names."""
-    figures = labels(docs).where(F.col("figure") & F.col("label").startswith("fig:")).select("paper", "label")
-    return figures.join(crossrefs(docs).select("paper", F.col("target").alias("label")), ["paper", "label"], "left_anti")
+    return reference_problems(docs).where("problem = 'unreferenced'").select("paper", "label")
 
 
 def bibliographies(docs: DataFrame) -> DataFrame:

@@ -67,3 +67,14 @@ def test_markdown_blocks_take_no_shuffle(spark):
     assert [tuple(r) for r in blocks.orderBy("n").collect()] == [
         (1, 1, "text", "lead", ""), (1, 2, "code", "```x\n# no heading\n\n~~~", ""), (1, 3, "text", "after\nmore", ""), (1, 5, "heading", "## *One* ##", "One"),
         (1, 6, "text", "text", "One"), (1, 7, "heading", "# Two", "Two"), (1, 8, "code", "```\nopen\n", "Two")]
+
+
+def test_markdown_references_are_found_in_one_reading(spark):
+    from marginalia.plans import catalogue, reviews  # noqa: F401
+    from marginalia.sources import markdown
+
+    d = spark.createDataFrame([(1, "![a](b){#fig:a}\n\n![c](d){#fig:c}\n\nsee @fig:c and @fig:x, @sec:y\n\n```{#lst:z}\n@fig:a\n```\n\n# Head {#sec:y}\n"), (2, None)], "paper int, text string")
+    assert sorted(tuple(r) for r in markdown.reference_problems(d).collect()) == [(1, "fig:a", "unreferenced"), (1, "fig:x", "dangling")]
+    assert [r["label"] for r in markdown.dangling_crossrefs(d).collect()] == ["fig:x"] and [r["label"] for r in markdown.unreferenced_figures(d).collect()] == ["fig:a"]
+    plan = catalogue.QUERIES["markdown_references"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
