@@ -120,6 +120,20 @@ def is_dead_status(c: Column) -> Column:
     return c.isin(404, 410)
 
 
+def inverted(words: Column) -> Column:
+    """``map<word, array<position>>`` of an array of words, where the array is."""
+    def index(arrays: pd.Series) -> pd.Series:
+        out = []
+        for row in arrays:
+            at: dict[str, list[int]] = {}
+            for i, w in enumerate(row if row is not None else ()):
+                at.setdefault(w, []).append(i)
+            out.append(None if row is None else at)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(index, "map<string, array<int>>")(words)
+
+
 def decode_inverted(index: Column) -> Column:
     """``map<word, array<position>>`` to text."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

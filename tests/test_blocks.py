@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import scalars
 from marginalia.operators import matching, vectors
 from marginalia.plans import catalogue
 
@@ -54,3 +55,10 @@ def test_registered_queries_pair_no_rows(spark):
     plan = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan("near_paraphrases") and "zip_with" not in plan("scoped_neighbours")
     assert "p_partkey" not in "".join(x for x in plan("fuzzy_part_matches").splitlines() if "Join" in x and "score" not in x)
+
+
+def test_inverted_abstracts_stay_with_their_document(spark):
+    df = catalogue.QUERIES["inverted_abstracts"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    made = spark.createDataFrame([(1, ["b", "a", "b", ""]), (2, []), (3, None)], "id int, w array<string>").select("id", scalars.inverted(F.col("w")).alias("index"))
+    assert {r["id"]: r["index"] for r in made.collect()} == {1: {"b": [0, 2], "a": [1], "": [3]}, 2: {}, 3: None}
