@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions import scalars
+from marginalia.functions import arrays, scalars
 from marginalia.operators.extract import CITE
 
 # fixed values: sections under so many characters join their neighbour, those over twice so many are split, and how far beyond its end a paragraph still claims a position
@@ -93,47 +93,68 @@ def claim_slice(docs: DataFrame) -> DataFrame:
     return docs.where(begin > 0).select("paper", F.substring("text", begin, F.greatest(end - begin, F.lit(0))).alias("text"), F.regexp_count(F.substring("text", F.lit(1), begin), F.lit("\n")).alias("line"))
 
 
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """docs with ``paragraphs``, an array of ``(start, text)``; see ``paragraphs``."""
+    rows = docs.withColumns({"__seps": F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(BREAK), 0)), "__pieces": F.split("text", BREAK, -1)})
+    rows = rows.withColumn("__ends", arrays.running(F.zip_with("__seps", "__pieces", lambda s, p: F.char_length(s) + F.char_length(p))))
+    placed = F.transform(F.arrays_zip(F.col("__seps").alias("sep"), F.col("__pieces").alias("piece"), F.col("__ends").alias("end")), lambda x: F.struct(
+        (x["end"] - F.char_length(x["piece"]) - F.when(x["sep"].startswith("\\"), F.char_length(x["sep"])).otherwise(0)).alias("start"),
+        stripped(F.when(x["sep"].startswith("\\"), F.concat(x["sep"], x["piece"])).otherwise(x["piece"])).alias("text")))
+    return rows.withColumn("paragraphs", F.filter(placed, lambda p: p["text"] != "")).drop("__seps", "__pieces", "__ends")
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """``(paper, ord, start, text)``: paragraphs between blank lines and section commands, which begin their paragraph.
 
     start, from 0, is where the paragraph begins in the text, blanks at its
     ends included; text is without them.
     """
-    seps = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(BREAK), 0))
-    pieces = docs.select("paper", F.posexplode(F.arrays_zip(seps.alias("sep"), F.split("text", BREAK, -1).alias("piece"))).alias("n", "p")).select("paper", "n", "p.sep", "p.piece")
-    upto = Window.partitionBy("paper").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    command = F.col("sep").startswith("\\")
-    at = F.sum(F.char_length("sep") + F.char_length("piece")).over(upto) - F.char_length("piece")
-    rows = pieces.select("paper", "n", F.when(command, at - F.char_length("sep")).otherwise(at).cast("int").alias("start"), stripped(F.when(command, F.concat("sep", "piece")).otherwise(F.col("piece"))).alias("text"))
-    return rows.where("text <> ''").select("paper", (F.row_number().over(Window.partitionBy("paper").orderBy("n")) - 1).alias("ord"), "start", "text")
+    return _paragraphs(docs).select("paper", F.posexplode("paragraphs").alias("ord", "p")).select("paper", "ord", "p.start", "p.text")
+
+
+def with_places(docs: DataFrame, wanted: dict[str, tuple[Column, str]]) -> DataFrame:
+    """docs and, by name, ``array<struct<at, match>>`` of every match of a pattern, which has no empty ones, in its text, from character 0; null for a null text.
+
+    Matches and what stands between them are taken from the text once, and only lengths are summed.
+    """
+    rows = docs.withColumns({f"__found_{n}": F.regexp_extract_all(text, F.lit(pattern), 0) for n, (text, pattern) in wanted.items()} | {f"__gaps_{n}": F.transform(F.split(text, pattern, -1), F.char_length) for n, (text, pattern) in wanted.items()})
+    rows = rows.withColumns({f"__gaps_{n}": arrays.running(F.zip_with(f"__gaps_{n}", f"__found_{n}", lambda g, m: g + F.coalesce(F.char_length(m), F.lit(0)))) for n in wanted})
+    placed = lambda n: F.zip_with(f"__found_{n}", F.slice(f"__gaps_{n}", F.lit(1), F.size(f"__found_{n}")), lambda m, end: F.struct((end - F.char_length(m)).alias("at"), m.alias("match")))
+    return rows.withColumns({n: F.when(F.col(f"__found_{n}").isNotNull(), placed(n)) for n in wanted}).drop(*(f"__{part}_{n}" for n in wanted for part in ("found", "gaps")))
+
+
+def _marked(docs: DataFrame, pattern: str) -> DataFrame:
+    """docs with ``marks``, an array of ``(at, match, line)`` in the order of the text; see ``occurrences``. Only texts that have one are cut."""
+    rows = with_places(docs.where(F.col("text").rlike(pattern)), {"marks": (F.col("text"), pattern)})
+    feeds = arrays.running(F.transform(F.split("text", "\n", -1), lambda x: F.char_length(x) + 1))
+    rows = rows.withColumn("__feeds", feeds).withColumn("__lines", arrays.ranks(F.transform("marks", lambda m: m["at"]), F.col("__feeds")))
+    return rows.withColumn("marks", F.zip_with("marks", "__lines", lambda m, n: F.struct(m["at"].alias("at"), m["match"].alias("match"), (n + 1).alias("line")))).drop("__feeds", "__lines")
 
 
 def occurrences(docs: DataFrame, pattern: str) -> DataFrame:
-    """``(paper, at, match, line)`` of every match of pattern, from character 0 and line 1 of ``(paper, text)``."""
-    found = F.concat(F.regexp_extract_all("text", F.lit(pattern), 0), F.array(F.lit("")))
-    pieces = docs.select("paper", F.posexplode(F.arrays_zip(F.split("text", pattern, -1).alias("piece"), found.alias("match"))).alias("n", "p")).select("paper", "n", "p.piece", "p.match")
-    w = Window.partitionBy("paper").orderBy("n")
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda f: F.sum(f("piece")).over(upto) + F.coalesce(F.sum(f("match")).over(before), F.lit(0))
-    feeds = lambda c: F.regexp_count(c, F.lit("\n"))
-    return pieces.select("paper", total(F.char_length).cast("int").alias("at"), "match", (total(feeds) + 1).cast("int").alias("line")).where("match <> ''")
+    """``(paper, at, match, line)`` of every match of pattern, from character 0 and line 1 of ``(paper, text)``; found where the text is, without a shuffle."""
+    return _marked(docs, pattern).select("paper", F.explode("marks").alias("m")).select("paper", "m.*")
 
 
 def windows(docs: DataFrame, pattern: str) -> DataFrame:
-    """``occurrences`` with ``context``: its paragraph after the one before, and before the next if it stands in the paragraph's last fifth.
+    """``docs`` but their text, and ``occurrences`` with ``context``: its paragraph after the one before, and before the next if it stands in the paragraph's last fifth.
 
     A paragraph claims positions up to 50 characters beyond its end, and the
     first that claims a position has it. A match that none claims gives no row.
+    Nothing is shuffled: both are found in the row that has the text.
     """
-    w = Window.partitionBy("paper").orderBy("ord")
-    own = F.struct("start", "text", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
-    held = paragraphs(docs).select("paper", (F.col("start") + F.char_length("text") + SLACK).alias("at"), F.lit(0).alias("kind"), own.alias("own"))
-    marks = occurrences(docs, pattern).select("paper", "at", F.lit(1).alias("kind"), "match", "line")
-    both = held.unionByName(marks, allowMissingColumns=True)
-    nearest = F.last("own", ignorenulls=True).over(Window.partitionBy("paper").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumn("own", nearest).where((F.col("kind") == 1) & (F.col("own.start") <= F.col("at")))
-    late = F.col("at") - F.col("own.start") > F.char_length("own.text") * F.lit(0.8)
-    return rows.select("paper", "at", "match", "line", F.concat_ws("\n\n", "own.before", "own.text", F.when(late, F.col("own.after"))).alias("context"))
+    rows = _paragraphs(_marked(docs, pattern))
+    claimed = F.transform("paragraphs", lambda p: p["start"] + F.char_length(p["text"]) + SLACK)
+    rows = rows.withColumn("__own", arrays.ranks(F.transform("marks", lambda m: m["at"]), claimed))
+
+    def told(m: Column, i: Column) -> Column:
+        here, part = F.get("paragraphs", i), lambda k: F.get("paragraphs", k)["text"]
+        late = m["at"] - here["start"] > F.char_length(here["text"]) * F.lit(0.8)
+        context = F.when(here["start"] <= m["at"], F.concat_ws("\n\n", part(i - 1), here["text"], F.when(late, part(i + 1))))
+        return F.struct(m["at"].alias("at"), m["match"].alias("match"), m["line"].alias("line"), context.alias("context"))
+
+    kept = [c for c in docs.columns if c != "text"]
+    return rows.select(*kept, F.explode(F.zip_with("marks", "__own", told)).alias("m")).select(*kept, "m.*").where("context IS NOT NULL")
 
 
 def clean_claim(text: Column, key: Column | None = None) -> Column:
@@ -146,8 +167,9 @@ def clean_claim(text: Column, key: Column | None = None) -> Column:
     text = F.regexp_replace(text, CITE, "[CITE]")
     text = F.regexp_replace(text, r"\\footnote\{[^}]*\}", "")
     text = F.regexp_replace(text, r"\\[a-zA-Z]+\{([^}]*)\}", "$1")
-    text = F.regexp_replace(F.regexp_replace(text, r"[{}~]", " "), r"\\\\", " ")
-    return stripped(F.regexp_replace(text, r"\s+", " "))
+    text = F.replace(F.regexp_replace(text, r"[{}~]", " "), F.lit("\\\\"), F.lit(" "))
+    # single spaces stay as they are, which most blanks are
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def citation_contexts(docs: DataFrame) -> DataFrame:
@@ -156,8 +178,7 @@ def citation_contexts(docs: DataFrame) -> DataFrame:
     line is that of the whole text, at the offset in what stands between the
     document's begin and its bibliography.
     """
-    body = claim_slice(docs)
-    found = windows(body, CITE).join(body.select("paper", F.col("line").alias("before")), "paper")
+    found = windows(claim_slice(docs).withColumnRenamed("line", "before"), CITE)
     keys = F.split(F.regexp_extract("match", CITE, 1), ",")
     rows = found.select("paper", (F.col("line") + F.col("before")).alias("line"), "at", "context", F.explode(keys).alias("key")).withColumn("key", stripped(F.col("key"))).where("key <> ''")
     return rows.select("paper", "key", "line", "at", clean_claim(F.col("context"), F.col("key")).alias("context"))
@@ -165,8 +186,7 @@ def citation_contexts(docs: DataFrame) -> DataFrame:
 
 def footnote_claims(docs: DataFrame) -> DataFrame:
     """``(paper, key, url, line, context)``: each address in a footnote, under the key that stands for it, with the text around the footnote."""
-    body = claim_slice(docs)
-    found = windows(body, FOOTNOTE).join(body.select("paper", F.col("line").alias("before")), "paper")
+    found = windows(claim_slice(docs).withColumnRenamed("line", "before"), FOOTNOTE)
     rows = found.select("paper", (F.col("line") + F.col("before")).alias("line"), clean_claim(F.col("context")).alias("context"), F.explode(F.regexp_extract_all("match", F.lit(r"\\url\{([^}]+)\}"), 1)).alias("url"))
     rows = rows.withColumn("url", stripped(F.col("url"))).where("url <> '' AND context <> ''")
     return rows.select("paper", scalars.synthetic_key(scalars.normalize_url(F.col("url"))).alias("key"), "url", "line", "context")

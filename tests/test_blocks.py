@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import scalars
-from marginalia.operators import matching, vectors
+from marginalia.functions import arrays, scalars
+from marginalia.operators import injection, matching, sections, vectors
 from marginalia.plans import catalogue
 
 
@@ -62,3 +62,26 @@ def test_inverted_abstracts_stay_with_their_document(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     made = spark.createDataFrame([(1, ["b", "a", "b", ""]), (2, []), (3, None)], "id int, w array<string>").select("id", scalars.inverted(F.col("w")).alias("index"))
     assert {r["id"]: r["index"] for r in made.collect()} == {1: {"b": [0, 2], "a": [1], "": [3]}, 2: {}, 3: None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_and_ranks_within_arrays(spark):
+    d = spark.createDataFrame([(0, [3, 1, 2], [1, 4]), (1, [], [5]), (2, None, None), (3, [7, 7], []), (4, [2], [1, 2, 3])], "id int, a array<int>, b array<int>")
+    rows = d.select("id", arrays.running(F.col("a")).alias("s"), arrays.ranks(F.col("a"), F.col("b")).alias("r")).collect()
+    assert {r["id"]: (r["s"] or [], r["r"] or []) for r in rows} == {0: ([3, 4, 6], [1, 1, 1]), 1: ([], []), 2: ([], []), 3: ([7, 14], [0, 0]), 4: ([2], [2])}
+    again = d.repartition(1).where("id > 2").select("id", arrays.ranks(F.col("a"), F.col("b")).alias("r")).collect()
+    assert {r["id"]: r["r"] for r in again} == {3: [0, 0], 4: [2]}
+
+
+def test_errors_and_contexts_are_made_where_the_text_is(spark):
+    d = spark.range(3).select(F.col("id").alias("paper"), F.lit("\\begin{document} \\cite{a}\n\nsee \\ref{b}").alias("text"))
+    assert "Exchange" not in _plan(injection.inject_errors(d, 1, numbers=True)) and "Exchange" not in _plan(sections.citation_contexts(d))
+
+
+def test_matches_beyond_the_first_plane_keep_their_places(spark):
+    text = "\U0001d54f\n\U0001d54f \\cite{a}\nb \\cite{c} é\\cite{d}"
+    got = [tuple(r) for r in sections.occurrences(spark.createDataFrame([(1, text), (2, None), (3, "none")], "paper int, text string"), sections.CITE).collect()]
+    assert got == [(1, text.index(m), m, text[: text.index(m)].count("\n") + 1) for m in ("\\cite{a}", "\\cite{c}", "\\cite{d}")]
