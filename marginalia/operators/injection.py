@@ -7,10 +7,10 @@ original text, from the first to the last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.sections import occurrences
+from marginalia.operators.sections import with_places
 
 # fixed values: where errors go, what they look like, and how many citations a paper gets
 SENTENCE = r"[A-Z][^.!?]{30,120}\."
@@ -27,64 +27,83 @@ def drawn(seed: int, *parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _chosen(places: DataFrame, seed: int, kind: str, most: int) -> DataFrame:
-    """places ``(paper, at, ...)`` with the least hashes, numbered from 0 in their order."""
-    least = Window.partitionBy("paper").orderBy(drawn(seed, F.col("paper"), kind, F.col("at")), "at")
-    return places.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= most).withColumn("i", F.row_number().over(Window.partitionBy("paper").orderBy("at")) - 1).drop("__r")
+def _chosen(at: Column, seed: int, kind: str, most: int) -> Column:
+    """The places with the least hashes, of an array, in their order."""
+    drawn_ = F.transform(at, lambda a: F.struct(drawn(seed, F.col("paper"), kind, a).alias("hash"), a.alias("at")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(drawn_), 1, most), lambda x: x["at"]))
 
 
-def fake_citations(docs: DataFrame, seed: int) -> DataFrame:
-    """Edits that cite keys no bibliography has, after up to three sentences; only where entries are listed in the manuscript."""
-    places = occurrences(docs.where(F.contains("text", F.lit(r"\bibitem"))), SENTENCE).withColumn("at", F.col("at") + F.char_length("match"))
+def _edit(at: Column, rule_id: str, cut: Column, put: Column, context: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), F.lit(rule_id).alias("rule_id"), cut.cast("int").alias("cut"), put.alias("put"), context.alias("context"))
+
+
+def _fake_citations(sentences: Column, seed: int) -> Column:
+    """Edits that cite keys no bibliography has, after up to three sentences."""
     year = 2020 + drawn(seed, F.col("paper"), "year") % 7
-    key = F.concat(F.lit("fakename"), year, F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("i") + 1).cast("int")))
-    rows = _chosen(places, seed, "cite", CITATIONS).withColumn("key", key)
-    return rows.select("paper", "at", F.lit(0).alias("cut"), F.concat(F.lit(r" \cite{"), "key", F.lit("}")).alias("put"), F.lit("dangling-cite").alias("rule_id"), F.col("key").alias("context"))
+    ends = _chosen(F.transform(sentences, lambda m: m["at"] + F.char_length(m["match"])), seed, "cite", CITATIONS)
+
+    def cited(at: Column, i: Column) -> Column:
+        key = F.concat(F.lit("fakename"), year, F.element_at(F.array(*map(F.lit, SUFFIXES)), i + 1))
+        return _edit(at, "dangling-cite", F.lit(0), F.concat(F.lit(r" \cite{"), key, F.lit("}")), key)
 
+    return F.transform(ends, cited)
+
+
+def _broken_references(kinds: list[Column], seed: int) -> Column:
+    """One edit, or none: a label that a named reference, else any, refers to is replaced; without references one is put before a sentence."""
+    def hashed(kind: int):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), drawn(seed, F.col("paper"), "ref", m["at"]).alias("hash"), m["at"].alias("at"), m["match"].alias("match"))
 
-def broken_references(docs: DataFrame, seed: int) -> DataFrame:
-    """One edit a paper: a label that a named reference, else any, refers to is replaced; without references one is put before a sentence."""
-    kinds = [occurrences(docs, pattern).select("paper", "at", "match", F.lit(k).alias("kind")) for k, pattern in enumerate((NAMED_REF, ANY_REF, NEXT_SENTENCE))]
-    places = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
-    best = places.groupBy("paper").agg(F.min(F.struct("kind", drawn(seed, F.col("paper"), "ref", F.col("at")).alias("hash"), "at", "match")).alias("p"))
     label = F.concat(F.lit("fig:phantom"), 10 + drawn(seed, F.col("paper"), "label") % 90)
-    rows = best.join(docs.select("paper", "text"), "paper").withColumns({"label": label, "from": F.when(F.col("p.kind") == 2, F.col("p.at") + 2).otherwise(F.col("p.at") + F.char_length("p.match"))})
-    close = F.call_function("locate", F.lit("}"), F.col("text"), F.col("from") + 1)
-    rows = rows.where((F.col("p.kind") == 2) | (close > 0))
-    return rows.select("paper", F.col("from").alias("at"), F.when(F.col("p.kind") == 2, 0).otherwise(close - 1 - F.col("from")).alias("cut"),
-                       F.when(F.col("p.kind") == 2, F.concat(F.lit(r"As shown in Figure~\ref{"), "label", F.lit("}, "))).otherwise(F.col("label")).alias("put"), F.lit("dangling-ref").alias("rule_id"), F.col("label").alias("context"))
-
-
-def drifted_numbers(docs: DataFrame, seed: int) -> DataFrame:
-    """One edit a paper: a measured number of the abstract times 0.6, 0.7, 1.3 or 1.4, with one decimal."""
-    begin = F.instr("text", r"\begin{abstract}") - 1
-    own = docs.select("paper", F.regexp_extract("text", ABSTRACT, 1).alias("abstract"), (begin + len(r"\begin{abstract}")).alias("begin")).where("abstract <> ''")
-    rows = _chosen(occurrences(own.select("paper", F.col("abstract").alias("text")), MEASURE), seed, "number", 1).join(own.select("paper", "begin"), "paper")
+
+    def broken(p: Column) -> Column:
+        fresh = p["kind"] == 2
+        start = F.when(fresh, p["at"] + 2).otherwise(p["at"] + F.char_length(p["match"]))
+        close = F.call_function("locate", F.lit("}"), F.col("text"), start + 1)
+        edit = _edit(start, "dangling-ref", F.when(fresh, 0).otherwise(close - 1 - start), F.when(fresh, F.concat(F.lit(r"As shown in Figure~\ref{"), label, F.lit("}, "))).otherwise(label), label)
+        return F.when(fresh | (close > 0), edit)
+
+    return F.array_compact(F.transform(F.array_compact(F.array(F.array_min(F.concat(*[F.transform(marks, hashed(k)) for k, marks in enumerate(kinds)])))), broken))
+
+
+def _drifted_numbers(measures: Column, begin: Column, seed: int) -> Column:
+    """One edit, or none: a measured number of the abstract times 0.6, 0.7, 1.3 or 1.4, with one decimal."""
     factor = F.element_at(F.array(*map(F.lit, FACTORS)), (drawn(seed, F.col("paper"), "factor") % len(FACTORS) + 1).cast("int"))
-    put = F.format_string("%.1f", F.round(F.col("match").cast("double") * factor, 1))
-    return rows.select("paper", (F.col("at") + F.col("begin")).alias("at"), F.char_length("match").alias("cut"), put.alias("put"), F.lit("cross-section-consistency").alias("rule_id"), F.concat("match", F.lit(" -> "), put).alias("context"))
+    chosen = _chosen(F.transform(measures, lambda m: m["at"]), seed, "number", 1)
+
+    def drifted(m: Column) -> Column:
+        put = F.format_string("%.1f", F.round(m["match"].cast("double") * factor, 1))
+        return _edit(m["at"] + begin, "cross-section-consistency", F.char_length(m["match"]), put, F.concat(m["match"], F.lit(" -> "), put))
+
+    return F.transform(F.filter(measures, lambda m: F.array_contains(chosen, m["at"])), drifted)
 
 
 def inject_errors(docs: DataFrame, seed: int = 0, numbers: bool = False) -> DataFrame:
     """``(paper, text, injections)`` of ``(paper, text)``: edited texts and ``(rule_id, context, at)`` of each error, at its place in the original.
 
-    Papers without a place for an error stay as they are, with no injections.
-    Edits don't overlap: one inside what another cuts is left out. Papers have
-    one row each; null texts stay null.
+    Citations go only where entries are listed in the manuscript. Papers without
+    a place for an error stay as they are, with no injections. Edits don't
+    overlap: one inside what another cuts is left out. Papers have one row each;
+    null texts stay null. All is found and made in the row that has the text,
+    without a shuffle or a join; a paper has five edits at most.
     """
-    edits = fake_citations(docs, seed).unionByName(broken_references(docs, seed))
+    text, abstract = F.col("text"), F.nullif(F.regexp_extract("text", ABSTRACT, 1), F.lit(""))
+    # places of a kind are looked for only where there is none of a better kind
+    wanted = {"__said": (F.when(F.contains(text, F.lit(r"\bibitem")), text), SENTENCE), "__ref0": (text, NAMED_REF), "__ref1": (F.when(~text.rlike(NAMED_REF), text), ANY_REF), "__ref2": (F.when(~text.rlike(ANY_REF), text), NEXT_SENTENCE)}
+    if numbers:
+        wanted["__measured"] = (abstract, MEASURE)
+    rows = with_places(docs, wanted)
+    rows = rows.withColumns({name: F.coalesce(name, F.array().cast("array<struct<at:int,match:string>>")) for name in wanted})
+    edits = [_fake_citations(F.col("__said"), seed), _broken_references([F.col(f"__ref{k}") for k in range(3)], seed)]
     if numbers:
-        edits = edits.unionByName(drifted_numbers(docs, seed))
-    before = F.max(F.col("at") + F.col("cut")).over(Window.partitionBy("paper").orderBy("at", "rule_id").rowsBetween(Window.unboundedPreceding, -1))
-    edits = edits.withColumn("__end", before).where("__end IS NULL OR at >= __end").drop("__end")
-    by = edits.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("at", "rule_id", "cut", "put", "context"))).alias("edits"))
-    rows = docs.join(by, "paper", "left")
+        edits.append(_drifted_numbers(F.col("__measured"), F.instr("text", r"\begin{abstract}") - 1 + len(r"\begin{abstract}"), seed))
+    rows = rows.withColumn("__all", F.array_sort(F.concat(*edits))).drop(*wanted)
+    rows = rows.withColumn("edits", F.filter("__all", lambda e, i: ~F.exists(F.slice("__all", F.lit(1), i), lambda p: p["at"] + p["cut"] > e["at"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, e: F.struct((e["at"] + e["cut"]).cast("int").alias("at"), F.concat(s["out"], F.substring("text", s["at"] + 1, e["at"] - s["at"]), e["put"]).alias("out"))
     spliced = F.aggregate("edits", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.char_length("text"))))
     said = F.transform("edits", lambda e: F.struct(e["rule_id"].alias("rule_id"), e["context"].alias("context"), e["at"].alias("at")))
-    none = F.array().cast("array<struct<rule_id:string,context:string,at:int>>")
-    return rows.select(*(c for c in docs.columns if c != "text"), F.coalesce(spliced, "text").alias("text"), F.coalesce(said.cast("array<struct<rule_id:string,context:string,at:int>>"), none).alias("injections"))
+    return rows.select(*(c for c in docs.columns if c != "text"), F.coalesce(spliced, "text").alias("text"), said.cast("array<struct<rule_id:string,context:string,at:int>>").alias("injections"))
 
 
 def injection_report(injected: DataFrame, findings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import assignment, constraints, extract, injection
 from marginalia.plans.catalogue import query, table
+from marginalia.scratch import Scratch
 from marginalia.sources import readers
 
 _NUMBERED = """l AS (SELECT l_orderkey // 3 AS grp, l_partkey AS p, l_suppkey AS s, (row_number() OVER (PARTITION BY l_orderkey // 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))::INT AS n FROM lineitem)"""
@@ -111,7 +112,7 @@ def injected_texts(spark, d):
 @query(f"""WITH {_INJECTED} SELECT rule_id, count(*) AS injected, count(*) AS found, 1.0::DOUBLE AS recall FROM j JOIN (SELECT DISTINCT paper FROM f) USING (paper) GROUP BY rule_id""")
 def injection_recall(spark, d):
     """The checks of dangling citations and references find every injected error."""
-    made = _injected(spark, d)
+    made = Scratch(spark, "injection_recall").put(_injected(spark, d), "made")  # read by each check
     texts = made.select("paper", "text")
     cites = extract.cite_keys(texts).join(readers.bibitems(texts), ["paper", "key"], "left_anti").select("paper", F.lit("dangling-cite").alias("rule_id"), F.col("key").alias("context"))
     refs = extract.dangling_refs(texts).select("paper", F.lit("dangling-ref").alias("rule_id"), F.col("label").alias("context"))
