@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.plans.catalogue import query, table
 from marginalia.plans.texts import text_of
+from marginalia.scratch import Scratch
 from marginalia.sources import bibtex, catalogues, tei
 
 
@@ -163,7 +164,7 @@ def tei_references(spark, d):
   SELECT paper, 'ref' || (n - 1) AS key, CASE WHEN q % 5 > 0 THEN 'A & ' || n ELSE '' END AS section, 'One  [' || (n - 1) || ']  and  two   [999]   1' AS context FROM l
   UNION ALL SELECT paper, 'ref' || (n - 1), unnest(['Inner ' || n, CASE WHEN q % 5 > 0 THEN 'A & ' || n ELSE '' END]), 'tail ' || n FROM l WHERE n % 2 = 0""")
 def tei_citations(spark, d):
-    papers = parsed_papers(spark, d)
+    papers = Scratch(spark, "tei_citations").put(parsed_papers(spark, d), "papers")  # read twice
     return tei.inline_citations(papers, tei.references(papers).select("paper", "ord", text_of("ref", F.col("ord")).alias("key")))
 
 

@@ -2,12 +2,14 @@
 
 Headers and references are read from TEI by ``from_xml``. A body's divisions
 nest to any depth, which a schema can't say, so they are found like braces: the
-text is cut at tags of divisions, and a running sum gives the depth of each.
+text is cut at tags of divisions, and one reading of the pieces gives each
+division its own text and those around it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.structure import stripped
@@ -76,21 +78,34 @@ def references(parsed: DataFrame) -> DataFrame:
         *(idno(kind).alias(name) for name, kind in IDNOS.items()), F.get(F.filter(ptrs, lambda p: p["_type"] == "url"), F.lit(0))["_target"].alias("url"), _some(F.get(F.filter(r["note"], lambda n: n["_type"] == "raw_reference"), F.lit(0))["_VALUE"]).alias("raw"))
 
 
-def _divisions(parsed: DataFrame) -> DataFrame:
-    """``(paper, n, div, depth, piece)``: pieces of the body between tags of divisions, in order, with the division that each stands directly in."""
-    body = F.regexp_extract("tei", r"(?s)<body\b[^>]*>(.*)</body>", 1)
-    pieces = parsed.select("paper", F.posexplode(F.split(body, r"(?=<div\b[^>/]*>)|(?<=</div>)|(?=</div>)", -1)).alias("n", "piece"))
-    order = Window.partitionBy("paper").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    opens, closes = F.col("piece").rlike(r"\A<div\b[^>/]*>"), F.col("piece").startswith("</div>")
-    rows = pieces.withColumns({"opens": opens, "depth": F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order)})
-    # a piece of depth d stands in the division that opened last at that depth
-    at = Window.partitionBy("paper", "depth").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.where("depth > 0").withColumn("div", F.max(F.when(F.col("opens"), F.col("n"))).over(at)).select("paper", "n", "div", "depth", "piece")
+def nested(pieces: list[str], marks: str) -> list[dict]:
+    """Divisions by the marks of pieces (opens, closes, text) as ``(around, xml)`` in their order: places of those around and its own, and what stands directly in it."""
+    out, within, below = [], [], 0
+    for piece, mark in zip(pieces, marks):
+        # an end of what wasn't begun takes a later begin to make up for it
+        if mark == "o" and below:
+            below -= 1
+        elif mark == "o":
+            within = [*within, len(out)]
+            out.append({"around": within, "xml": []})
+        elif mark == "c" and within:
+            within = within[:-1]
+        elif mark == "c":
+            below += 1
+        if within:
+            out[within[-1]]["xml"].append(piece)
+    return [d | {"xml": "".join(d["xml"])} for d in out]
 
 
-def _join(rows: DataFrame, *keys: str) -> DataFrame:
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "")
-    return rows.groupBy(*keys).agg(text.alias("xml"))
+def _divisions(parsed: DataFrame) -> DataFrame:
+    """``(paper, divs)``: divisions of the body in their order, see ``nested``; found where the text is, without a shuffle."""
+    def read(pieces: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([None if m is None else nested(p, m) for p, m in zip(pieces, marks)], dtype=object)
+
+    body = F.regexp_extract("tei", r"(?s)<body\b[^>]*>(.*)</body>", 1)
+    rows = parsed.select("paper", F.split(body, r"(?=<div\b[^>/]*>)|(?<=</div>)|(?=</div>)", -1).alias("pieces"))
+    mark = lambda x: F.when(x.rlike(r"\A<div\b[^>/]*>"), "o").when(x.startswith("</div>"), "c").otherwise("t")
+    return rows.select("paper", F.pandas_udf(read, "array<struct<around:array<int>,xml:string>>")("pieces", F.array_join(F.transform("pieces", mark), "")).alias("divs"))
 
 
 def _head(xml: Column) -> Column:
@@ -104,14 +119,11 @@ def body_sections(parsed: DataFrame) -> DataFrame:
     them. A division without a heading is ``Section n``, n being one more than
     the number of sections before it in the division around it.
     """
-    own = _join(_divisions(parsed), "paper", "div", "depth")
+    rows = _divisions(parsed).select("paper", F.posexplode("divs").alias("ord", "d")).select("paper", "ord", "d.around", "d.xml")
     paragraphs = F.filter(F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<p\b[^>/]*>(.*?)</p>"), 1), lambda p: stripped(content(p))), lambda p: p != "")
-    order = Window.partitionBy("paper").orderBy("div")
-    rows = own.select("paper", "div", (F.col("depth") - 1).cast("int").alias("level"), _head(F.col("xml")).alias("title"), F.array_join(paragraphs, "\n\n").alias("text"), (F.row_number().over(order) - 1).alias("ord"))
-    # the section around is the last one before of a smaller level
-    depths = rows.select(F.max("level")).first()[0] or 0
-    around = F.coalesce(*[F.when(F.col("level") == k + 1, F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(order)) for k in range(depths)], F.lit(-1)) if depths else F.lit(-1)
-    return rows.select("paper", "ord", "level", F.coalesce("title", F.concat(F.lit("Section "), (F.col("ord") - around).cast("string"))).alias("title"), "text")
+    depth = F.size("around")
+    up = F.when(depth > 1, F.get("around", depth - 2)).otherwise(-1)
+    return rows.select("paper", "ord", (depth - 1).alias("level"), F.coalesce(_head(F.col("xml")), F.concat(F.lit("Section "), (F.col("ord") - up).cast("string"))).alias("title"), F.array_join(paragraphs, "\n\n").alias("text"))
 
 
 def inline_citations(parsed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -122,26 +134,19 @@ def inline_citations(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     its paragraph, or what follows it directly where it stands in none.
     References to what isn't listed give no row.
     """
-    pieces = _divisions(parsed)
-    divs = pieces.select("paper", "div", "depth").distinct()
-    heads = _join(pieces, "paper", "div").select("paper", "div", F.coalesce(_head(F.col("xml")), F.lit("")).alias("section"))
     blocks = F.regexp_extract_all("xml", F.lit(r"(?s)<p\b[^>/]*>.*?</p>|<ref\b[^>]*>.*?</ref>[^<]*"), 0)
-    found = _join(pieces, "paper", "div", "depth").select("paper", "div", "depth", F.posexplode(blocks).alias("block", "b"))
+    heads = F.transform("divs", lambda d: F.coalesce(_head(d["xml"]), F.lit("")))
+    divs = _divisions(parsed).withColumn("heads", heads)
+    named = F.transform("divs", lambda d: F.struct(F.transform(d["around"], lambda i: F.get("heads", i)).alias("sections"), d["xml"].alias("xml")))
+    found = divs.select("paper", F.explode(named).alias("d")).select("paper", "d.sections", "d.xml").select("paper", "sections", F.explode(blocks).alias("b"))
     inside = F.col("b").startswith("<p")
     context = F.when(inside, F.left(F.regexp_replace(content(F.regexp_replace(F.regexp_replace("b", r"(?s)\A(?:<[^>]*>)+|(?:<[^>]*>)+\z", ""), r"(?s)(?:<[^>]*>)+", "\u0001")), "\u0001", " "), F.lit(200))).otherwise(content(F.regexp_extract("b", r"(?s)</ref>([^<]*)\z", 1)))
     refs = F.regexp_extract_all("b", F.lit(r"(<ref\b[^>]*>)"), 1)
-    marks = found.select("paper", "div", "depth", "block", stripped(context).alias("context"), F.posexplode(refs).alias("m", "ref")).where(F.col("ref").rlike(r"\btype=\"bibr\""))
-    marks = marks.withColumn("ord", F.regexp_extract("ref", r"\btarget=\"#b(\d+)\"", 1)).where("ord <> ''").withColumn("ord", F.col("ord").cast("int")).join(keys.select("paper", "ord", "key"), ["paper", "ord"])
-    around = marks.join(_around(divs), ["paper", "div"]).select("paper", F.explode("around").alias("div"), "key", "context")
-    return around.join(heads, ["paper", "div"]).select("paper", "key", "section", "context")
-
-
-def _around(divs: DataFrame) -> DataFrame:
-    """``(paper, div, around)``: a division and those it is nested in."""
-    deepest = divs.select(F.max("depth")).first()[0] or 0
-    upto = Window.partitionBy("paper").orderBy("div").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.array(*[F.last(F.when(F.col("depth") == k, F.col("div")), ignorenulls=True).over(upto) for k in range(1, deepest + 1)]).cast("array<int>")
-    return divs.select("paper", "div", F.slice(last, F.lit(1), F.col("depth").cast("int")).alias("around"))
+    # a block's context is made once, before its references part
+    told = found.where(F.contains("b", F.lit('type="bibr"'))).select("paper", "sections", stripped(context).alias("context"), refs.alias("refs"))
+    marks = told.select("paper", "sections", "context", F.explode("refs").alias("ref")).where(F.col("ref").rlike(r"\btype=\"bibr\""))
+    marks = marks.select("paper", "sections", "context", F.regexp_extract("ref", r"\btarget=\"#b(\d+)\"", 1).alias("ord")).where("ord <> ''").withColumn("ord", F.col("ord").cast("int"))
+    return marks.join(keys.select("paper", "ord", "key"), ["paper", "ord"]).select("paper", "key", F.explode("sections").alias("section"), "context")
 
 
 def figure_labels(parsed: DataFrame) -> DataFrame:

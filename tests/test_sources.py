@@ -84,3 +84,15 @@ def test_captured_pages(spark):
     assert got(captures.mhtml_pages(d), "path", "url", "html") == [("q", "http://a.org/", "<p>50%+ café = ok</p>"), ("s", None, "<b>x</b>")]
     pages = spark.createDataFrame([(1, "<body><nav>no</nav><article><h1>T</h1><p>One  two<br>three</p><script>x<y</script></article><p>out</p></body>"), (2, "plain &amp;lt; <b>bold</b>"), (3, None), (4, "<MAIN class=x>a\n b</MAIN>")], "id int, html string")
     assert {r["id"]: r["t"] for r in pages.select("id", captures.article_text(F.col("html")).alias("t")).collect()} == {1: "T\nOne two\nthree", 2: "plain &lt; bold", 3: None, 4: "a b"}
+
+
+def test_divisions_are_found_where_the_text_is(spark):
+    d = spark.range(2).select(F.col("id").alias("paper"), F.lit(TEI).alias("tei"))
+    assert "Exchange" not in tei.body_sections(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unmatched_ends_of_divisions(spark):
+    """An end without a begin shifts the depth of what follows; a division that is never closed holds the rest."""
+    body = "</div><div><p>lost</p><div><p>a</p><div><head>In</head><p>b</p></div></div></div><div><p>c</p>"
+    d = spark.createDataFrame([(1, f"<body>{body}</body>")], "paper int, tei string")
+    assert got(tei.body_sections(d), "ord", "level", "title", "text") == [(0, 0, "Section 1", "a"), (1, 1, "In", "b")]
