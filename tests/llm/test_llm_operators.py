@@ -538,6 +538,34 @@ def test_mixer_equals_plain_version_and_is_a_distribution():
     assert lm.mixed_scores(train[:3], before[:3], before2[:3], np.zeros(3, int), lm.Code([5])).tolist() == [0, 0, 0]
 
 
+def test_hot_contexts_know_the_whole_corpus(spark):
+    """A word before and a pair that fill many shards have in each of them the counts of all."""
+    rng = np.random.default_rng(4)
+    code = lm.Code([9, 7, 5, 3, 1])
+    n = 4000
+    before, before2, symbol, train = rng.integers(0, 3, n).astype(np.uint32), rng.integers(0, 3, n).astype(np.uint32), rng.integers(0, 5, n), rng.random(n) < 0.8
+    pairs = lm.pair_of(before, before2)
+    met = {int(c): np.bincount(symbol[train & (x == c)], minlength=5) for x in (before.astype(np.int64), pairs) for c in np.unique(x)}
+    counts = {c: (np.arange(5), k) for c, k in met.items()}
+
+    def seen(part, names):
+        token = np.repeat(np.arange(len(part)), code.length[symbol[part]])
+        at = lm._spread(code.start[symbol[part]], code.length[symbol[part]])
+        got = np.zeros((2, len(token)), np.float32)
+        lm.whole_counts(counts, names[part], token, code.node[at], code.bit[at], train[part][token], code, *got)
+        plain = lm.context_counts(np.unique(names[part], return_inverse=True)[1], None, token, code.node[at], code.bit[at], train[part][token], 8)
+        return got, np.array(plain)
+
+    for names in (before.astype(np.int64), pairs):
+        got, plain = seen(np.arange(n), names)
+        assert (got == plain).all()
+        half, torn = seen(np.arange(0, n, 2), names)
+        assert (half[0] > 1.5 * torn[0]).mean() > 0.9  # a shard's own counts are those of a sample
+    docs = make(spark, [(i, "a b a b c a b d" if i % 3 else "a b e") for i in range(400)])
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score_documents(docs, shard=s).collect()} for s in (250_000, 100))
+    assert max(abs(one[i] - many[i]) for i in one) < 0.25  # weights are learnt by shard, counts are not
+
+
 def test_spelling_is_a_distribution():
     n, ones = lm.empty_tables()
     words = [b"the", b"then", b"cat", lm.END]
