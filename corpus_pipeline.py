@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, langid, line_dedup, near_copies, packing
+from marginalia.llm import decontaminate, langid, line_dedup, near_copies, packing, simhash
 from marginalia.llm.text import without
 from marginalia.scratch import Scratch
 
@@ -27,9 +27,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    groups = near_copies.near_copy_components(docs)
-    return without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+    """Documents that are no near copy of one of a lesser id.
+
+    Operator 7 links texts whose fingerprints differ in two bits or fewer. Most
+    near copies are further apart, so a text also goes where five-word shingles
+    link it: a Jaccard similarity of 0.8 or more.
+    """
+    prints, sets = simhash.near_duplicate_components(docs), near_copies.near_copy_components(docs)
+    told = [c.where(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash") for c in (prints, sets)]
+    return without(docs, told[0].unionByName(told[1]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

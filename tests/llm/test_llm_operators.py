@@ -620,3 +620,15 @@ def test_report_hash(spark):
         s = plain_spans(r["text"])
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in s).encode()).hexdigest()
         assert (got[r["doc_id"]]["n_assign"], got[r["doc_id"]]["n_hex"]) == (sum(k == "assign" for k, *_ in s), sum(k == "hex" for k, *_ in s))
+
+
+def test_near_dedup_goes_by_fingerprints_too(spark):
+    """Repeats outweigh what differs in a fingerprint, but not in a set of shingles."""
+    import corpus_pipeline
+
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    docs = make(spark, [(1, "one two three four five " * 200 + tail("x")), (2, "one two three four five " * 200 + tail("y")), (3, tail("z"))])
+    prints = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs).collect()}
+    sets = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_components(docs).collect()}
+    assert prints == {1: 1, 2: 1, 3: 3} and sets == {1: 1, 2: 2, 3: 3}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()) == [1, 3]
