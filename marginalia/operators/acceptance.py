@@ -9,8 +9,8 @@ from marginalia.functions import scalars
 from marginalia.operators import matching
 from marginalia.operators.structure import stripped
 
-# fixed values: cover pages, kinds of entries that may be short, particles that begin a surname, and how much of a file is looked at
-TEMPLATES = {"eric_document_resume": r"(?i)\bDOCUMENT\s+RESUME\b", "core_ac_uk_landing": r"(?i)View\s+metadata,\s+citation\s+and\s+similar\s+papers\s+at\s+core\.ac\.uk"}
+# fixed values: cover pages with a word that each has in small letters, kinds of entries that may be short, particles that begin a surname, and how much of a file is looked at
+TEMPLATES = {"eric_document_resume": ("resume", r"(?i)\bDOCUMENT\s+RESUME\b"), "core_ac_uk_landing": ("core.ac.uk", r"(?i)View\s+metadata,\s+citation\s+and\s+similar\s+papers\s+at\s+core\.ac\.uk")}
 CORPORATE = ["book", "techreport", "manual", "inbook", "inproceedings", "incollection"]
 PARTICLES = ["van", "de", "von", "der", "den", "du", "da", "la", "le"]
 SHORTEST, TOP, WINDOW = 1500, 3000, 8000
@@ -47,10 +47,10 @@ def acceptance(files: DataFrame) -> DataFrame:
     rows = rows.withColumns({"__folded": scalars.fold(F.col("__text")), "__surnames": F.split(scalars.fold(F.array_join("__names", "\u0001")), "\u0001")})
     sim = F.when(blank(F.col("title")) | blank(F.col("found_title")), 0.0).otherwise(matching.title_similarity(scalars.normalize_title(F.col("title")), scalars.normalize_title(F.col("found_title"))))
     rows = rows.withColumns({
-        "template": F.coalesce(*[F.when(F.left("__text", F.lit(TOP)).rlike(p), name) for name, p in TEMPLATES.items()]), "body_chars": F.char_length("__text"), "title_sim": F.coalesce(sim, F.lit(0.0)),
-        "surnames": F.size(F.filter(F.array_distinct("__surnames"), lambda n: (n != "") & F.regexp_like(F.col("__folded"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), n, F.lit(r"\E(?![a-z0-9])"))))),
+        "template": F.coalesce(*[F.when(F.contains(F.lower(F.left("__text", F.lit(TOP))), F.lit(word)) & F.left("__text", F.lit(TOP)).rlike(p), name) for name, (word, p) in TEMPLATES.items()]), "body_chars": F.char_length("__text"), "title_sim": F.coalesce(sim, F.lit(0.0)),
+        "surnames": F.size(F.filter(F.array_distinct("__surnames"), lambda n: (n != "") & F.contains("__folded", n) & F.regexp_like(F.col("__folded"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), n, F.lit(r"\E(?![a-z0-9])"))))),
         "doi_found": ~blank(F.col("doi")) & F.contains(F.lower(F.regexp_replace("__text", r"\s+", "")), F.lower(F.regexp_replace(F.coalesce("doi", F.lit("")), r"\s+|^https?://(?:dx\.)?doi\.org/", ""))),
-        "year_found": F.coalesce(F.regexp_like("__text", F.concat(F.lit(r"(?<!\d)"), F.col("year").cast("string"), F.lit(r"(?!\d)"))), F.lit(False))})
+        "year_found": F.coalesce(F.contains("__text", F.col("year").cast("string")) & F.regexp_like("__text", F.concat(F.lit(r"(?<!\d)"), F.col("year").cast("string"), F.lit(r"(?!\d)"))), F.lit(False))})
     s, n, year, authors = F.col("title_sim"), F.col("surnames"), F.col("year_found"), F.col("__known")
     titled, dated = ~blank(F.col("title")), F.col("year").isNotNull()
     corporate = F.coalesce(F.col("entry_type").isin(CORPORATE), F.lit(False))
