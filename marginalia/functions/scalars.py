@@ -64,8 +64,7 @@ def normalize_title(c: Column) -> Column:
 def normalize_venue(c: Column) -> Column:
     """Normalised title without boilerplate prefixes (each taken off once, in order) and a trailing year."""
     v = normalize_title(c)
-    for p in VENUE_PREFIXES:
-        v = F.when(v.startswith(p), F.substring(v, len(p) + 1, 1_000_000)).otherwise(v)
+    v = F.regexp_replace(v, "^" + "".join(f"(?:{re.escape(p)})?" for p in VENUE_PREFIXES), "")
     return F.regexp_replace(v, r"[,\s]+\d{4}$", "")
 
 
@@ -147,8 +146,13 @@ def acquisition_exhausted(reasons: Column, definitive: list[str]) -> Column:
 
 def fold(c: Column) -> Column:
     """Compatibility forms, no combining marks, lower case, blanks collapsed: for matching in any script."""
+    blanks, others = re.compile(r"\s+"), re.compile(r"[^\x00-\x7f]")
+
+    def bare(t: str) -> str:  # ASCII has no other forms and no marks
+        return t if t.isascii() else others.sub(lambda m: "" if unicodedata.combining(m[0]) else m[0], unicodedata.normalize("NFKD", t))
+
     def folded(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else re.sub(r"\s+", " ", "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).lower()))
+        return s.map(lambda t: None if t is None else blanks.sub(" ", bare(t).lower()))
 
     folded.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(folded, "string")(c)

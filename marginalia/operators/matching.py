@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import product
+from itertools import accumulate, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,7 @@ from marginalia.functions import scalars
 
 def indel_ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths; 1 for two empty strings. Bit-parallel over the first string."""
-    if not a and not b:
+    if a == b:
         return 1.0
     at: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -28,13 +28,21 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
+@lru_cache(maxsize=50_000)
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string to a window of the longer, windows at the ends being shorter."""
+    """The best ratio of the shorter string to a window of the longer, windows at the ends being shorter; those that can't be better are passed over."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 1.0 if not long else 0.0
-    n = len(short)
-    return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    if short in long:
+        return 1.0
+    n, best, known = len(short), 0.0, set(short)
+    upto = [0, *accumulate(c in known for c in long)]
+    for i in range(1 - n, len(long)):
+        low, high = max(0, i), min(i + n, len(long))
+        if 2 * (upto[high] - upto[low]) > best * (n + high - low):
+            best = max(best, indel_ratio(short, long[low:high]))
+    return best
 
 
 def _pairwise(f):
@@ -81,6 +89,7 @@ def name_variants(name: str) -> frozenset[str]:
     return frozenset(v for v in made if any(len(w) > 1 for w in v.split()))
 
 
+@lru_cache(maxsize=50_000)
 def best_ratio(ours: frozenset[str], theirs: frozenset[str]) -> float:
     """The best ratio of any two; pairs whose lengths allow no better one are passed over."""
     if ours & theirs:
@@ -104,15 +113,23 @@ def author_overlap(query: list[str], candidate: list[str]) -> float:
 def author_similarity(a: Column, b: Column) -> Column:
     """``author_overlap`` of two arrays of names, once for each pair of arrays in a batch."""
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([author_overlap(list(p) if p is not None else [], list(q) if q is not None else []) for p, q in zip(x, y)], dtype="float64")
+        pairs = [(tuple(p) if p is not None else (), tuple(q) if q is not None else ()) for p, q in zip(x, y)]
+        known = {pair: author_overlap(*map(list, pair)) for pair in set(pairs)}
+        return pd.Series([known[pair] for pair in pairs], dtype="float64")
 
     return F.pandas_udf(score, "double")(a, b)
 
 
+def best_title_ratio(a: str, b: str) -> float:
+    if not a or not b:
+        return 0.0
+    forms = lambda t: {t, t.partition(":")[0].strip(" ")}
+    return max(indel_ratio(x, y) for x in forms(a) for y in forms(b))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """The best ratio of whole titles and what stands before a colon; 0 if either is empty."""
-    heads = [(x, y) for x in (a, F.trim(F.substring_index(a, ":", 1))) for y in (b, F.trim(F.substring_index(b, ":", 1)))]
-    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(F.greatest(*[fuzzy_ratio(x, y) for x, y in heads]))
+    return F.coalesce(F.pandas_udf(_pairwise(best_title_ratio), "double")(a, b), F.lit(0.0))
 
 
 def year_factor(a: Column, b: Column) -> Column:
