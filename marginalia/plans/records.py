@@ -120,7 +120,8 @@ _CLAIMS = """c AS (SELECT l_orderkey AS paper, (row_number() OVER (PARTITION BY
 
 def _claims(spark, d):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), n.alias("ord"), F.concat(F.lit("k"), F.col("l_partkey") % 3).alias("key"), (F.col("l_linenumber") % 2).alias("line"), (F.col("l_tax") > 0.02).alias("local"))
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax"), "l_orderkey")
+    return li.select(F.col("l_orderkey").alias("paper"), n.alias("ord"), F.concat(F.lit("k"), F.col("l_partkey") % 3).alias("key"), (F.col("l_linenumber") % 2).alias("line"), (F.col("l_tax") > 0.02).alias("local"))
 
 
 @query(f"""WITH {_CLAIMS}, v AS (SELECT paper, key, line FROM c WHERE local QUALIFY row_number() OVER (PARTITION BY paper ORDER BY ord) <= 2)

@@ -49,3 +49,8 @@ def test_fold_equals_plain_version(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.fold(F.col("t")).alias("f")).collect()
     assert all(r["f"] == plain(r["t"]) for r in rows)
 
+
+def test_tasks_of_claims_grow_with_the_input(spark):
+    """Windows hold a task's rows, so its share may not grow with the table."""
+    plan = catalogue.QUERIES["limited_claims"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
