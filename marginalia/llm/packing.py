@@ -28,10 +28,13 @@ MAX_TOKENS = 4096
 
 
 def pieces(docs: DataFrame, tokenizer: str, style: str = "split", end_id: int = 1, max_tokens: int = MAX_TOKENS,
-           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)`` of every document, longer ones cut every ``max_tokens``; ``ids`` on request."""
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: int = 900_000) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)`` of every document, longer ones cut every ``max_tokens``; ``ids`` on request.
+
+    ``keep``: pieces of text whose ids a task remembers: fewer take less memory and more time, ids are the same.
+    """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_texts = encoding.encoder(tokenizer, style)
+        encode_texts = encoding.encoder(tokenizer, style, keep)
         for pdf in batches:
             texts, doc_ids = pdf["text"].tolist(), pdf["doc_id"]
             for p in encoding.portions(texts):
@@ -181,14 +184,14 @@ def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, group_bins: int = 1000,
     return out.drop("salt", "grp", "fill")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", keep: int = 900_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for every piece of every document.
 
     Null texts are empty: their end id is packed all the same. Rows that share
     an id are packed each for itself; rows without one keep null. Empty tables
-    give none. Further columns are not carried.
+    give none. Further columns are not carried. ``keep``: see ``pieces``.
     """
-    return pack(pieces(docs, tokenizer, max_tokens=max_tokens, id_col=id_col, text_col=text_col), max_tokens)
+    return pack(pieces(docs, tokenizer, max_tokens=max_tokens, id_col=id_col, text_col=text_col, keep=keep), max_tokens)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -373,6 +373,18 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_with_a_small_table(spark):
+    """The pipeline's encoders remember few pieces; what they pack is the same, and the table stays small."""
+    path, docs = public_tokenizers.path("word_bpe_49k.json"), documents(spark)
+    small, usual = (packing.pieces(docs, path, keep=keep).toPandas().sort_values(["doc_id", "piece"]).reset_index(drop=True) for keep in (200, 900_000))
+    assert small.equals(usual)
+    e = encoding.encoder(path, "split", 200)
+    assert e is not encoding.encoder(path, "split") and e is encoding.encoder(path, "split", 200)
+    for i in range(40):
+        e([f"w{i}x{j}" for j in range(50)])
+        assert len(e.pieces) <= 200 + 50
+
+
 def test_local_search_helps_and_keeps_items():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1300, 2000, 4000)
