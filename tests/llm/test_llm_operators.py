@@ -578,6 +578,26 @@ def test_hot_contexts_know_the_whole_corpus(spark):
     assert max(abs(one[i] - many[i]) for i in one) < 0.25  # weights are learnt by shard, counts are not
 
 
+def test_hot_contexts_are_not_counted_again(monkeypatch):
+    """What comes with the corpus's counts is left out of a shard's own, whose table is then the others' alone."""
+    rng, n = np.random.default_rng(3), 3000
+    code = lm.Code([50, 30, 10, 5, 5])
+    symbol, before, before2 = (rng.integers(0, 5, n) for _ in range(3))
+    counts = {c: (np.arange(5), np.bincount(symbol[before == c], minlength=5)) for c in (0, 1)}
+    met, count = [], lm.context_counts
+
+    def watched(context, some, token, *rest):
+        seen, ones = count(context, some, token, *rest)
+        met.append(np.unique(token[seen > 0]))
+        return seen, ones
+
+    monkeypatch.setattr(lm, "context_counts", watched)
+    train = np.ones(n, bool)
+    got = lm.mixed_scores(train, before, before2, symbol, code, room=6, counts=counts)
+    assert len(met[0]) == (before > 1).sum()
+    assert np.allclose(got, lm.mixed_scores(train, before, before2, symbol, code, room=6), atol=1e-6)
+
+
 def test_spelling_is_a_distribution():
     n, ones = lm.empty_tables()
     words = [b"the", b"then", b"cat", lm.END]
