@@ -35,6 +35,19 @@ def arguments_of(text: Column, commands: list[str]) -> Column:
     return F.pandas_udf(read, "array<struct<command:string,line:int,argument:string>>")(text)
 
 
+#: Texts in which every opening brace is closed before the next one opens. Possessive, so that long texts need no stack.
+FLAT = r"(?s)\A(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\z"
+
+
+def named_arguments(text: Column, commands: list[str]) -> Column:
+    """``array<struct<command, argument>>`` of a text, see ``command_arguments``; only texts with nested or unmatched braces leave the JVM."""
+    pattern = F.lit(rf"\\({'|'.join(commands)})\{{([^{{}}]*)\}}")
+    flat = text.rlike(FLAT)
+    nested = F.transform(arguments_of(F.when(~flat, text), commands), lambda a: F.struct(a["command"].alias("command"), a["argument"].alias("argument")))
+    plain = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("command"), F.regexp_extract_all(text, pattern, 2).alias("argument"))
+    return F.when(flat, plain).otherwise(nested)
+
+
 def command_arguments(docs: DataFrame, commands: list[str]) -> DataFrame:
     """``(paper, command, line, argument)`` of every ``\\command{argument}`` in ``(paper, text)``.
 

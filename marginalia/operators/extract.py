@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import latex
-from marginalia.operators.arguments import arguments_of
+from marginalia.operators.arguments import named_arguments
 
 # fixed values: what counts as a citation command, and abbreviations that end no sentence
 CITE = r"\\cite(?:unverified|[tp]|yearpar)?\{([^}]+)\}"
@@ -55,7 +55,8 @@ REFERENCES = ["ref", "eqref", "pageref"]
 
 
 def _body(docs: DataFrame) -> DataFrame:
-    return docs.select("paper", latex.document_body(latex.strip_comments(F.col("text"))).alias("text"))
+    # in a lambda, so that comments are cut once and not for each use of the text
+    return docs.select("paper", F.get(F.transform(F.array(latex.strip_comments(F.col("text"))), latex.document_body), F.lit(0)).alias("text"))
 
 
 def _names(found: Column, keep) -> Column:
@@ -64,7 +65,7 @@ def _names(found: Column, keep) -> Column:
 
 def dangling_refs(docs: DataFrame) -> DataFrame:
     """``(paper, label)`` that the body refers to and doesn't define. Arguments are taken whole, as balanced braces hold them. Papers have one row each."""
-    found = _body(docs).where(F.col("text").rlike(rf"\\(?:{'|'.join(REFERENCES)})\{{")).select("paper", arguments_of(F.col("text"), [*REFERENCES, "label"]).alias("found"))
+    found = _body(docs).select("paper", named_arguments(F.col("text"), [*REFERENCES, "label"]).alias("found"))
     return found.select("paper", F.explode(F.array_except(_names(F.col("found"), lambda a: a["command"] != "label"), _names(F.col("found"), lambda a: a["command"] == "label"))).alias("label"))
 
 
@@ -73,7 +74,7 @@ def unreferenced_figures(docs: DataFrame) -> DataFrame:
     figures = F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{(?:figure|figure\*|subfigure)\}(.*?)\\end\{(?:figure|figure\*|subfigure)\}"), 1)
     labels_ = F.flatten(F.transform(figures, lambda f: F.regexp_extract_all(f, F.lit(r"\\label\{(fig:[^}]+)\}"), 1)))
     # one row of both: a text may have its lines in another order when it is made again
-    found = _body(docs).select("paper", labels_.alias("labels"), arguments_of(F.col("text"), REFERENCES).alias("found"))
+    found = _body(docs).select("paper", labels_.alias("labels"), named_arguments(F.col("text"), REFERENCES).alias("found"))
     return found.select("paper", F.explode(F.array_except("labels", _names(F.col("found"), lambda a: F.lit(True)))).alias("label"))
 
 

@@ -24,6 +24,21 @@ def test_arguments_are_balanced_over_lines(spark):
     assert arguments.command_arguments(d.limit(0), ["label"]).count() == 0
 
 
+def test_flat_texts_are_read_without_python(spark, monkeypatch):
+    """Texts go to Python only if their braces nest or don't match; what is found is the same."""
+    rng = random.Random(5)
+    parts = ["\\ref{", "\\label{", "\\eqref{a}", "\\label{b}", "{", "}", "a", "\n", "\\xref{q}"]
+    texts = ["\\ref{a}" * 20_000, "\\ref{}", "", "} \\ref{a}", "{\\ref{a}}"] + ["".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(300)]
+    d, names = papers(spark, *texts, None), ["ref", "eqref", "label"]
+    want = {r["paper"]: r["a"] and [(x["command"], x["argument"]) for x in r["a"]] for r in d.select("paper", arguments.arguments_of(F.col("text"), names).alias("a")).collect()}
+    assert {r["paper"]: r["a"] and [tuple(x) for x in r["a"]] for r in d.select("paper", arguments.named_arguments(F.col("text"), names).alias("a")).collect()} == want
+    sent, read = [], arguments.arguments_of
+    monkeypatch.setattr(arguments, "arguments_of", lambda text, commands: sent.append(text) or read(text, commands))
+    extract.dangling_refs(papers(spark, "\\ref{a}")).collect()
+    flat = papers(spark, "\\ref{a} \\label{b}", "\\ref{a{b}}", "\\ref{open")
+    assert [r[0] is None for r in flat.select(sent[0]).collect()] == [True, False, False]
+
+
 def test_references_of_the_body(spark):
     d = papers(spark, "\\ref{before}\n" + DOC + "\\ref{a} \\ref{b} % \\label{b}\n\\eqref{a\nb}\n\\label{a}\n\\begin{verbatim}\\ref{v}\\end{verbatim}\n\\end{document}\\ref{later}", "\\pageref{all of it}")
     assert got(extract.dangling_refs(d), "paper", "label") == [(0, "a\nb"), (0, "b"), (0, "v"), (1, "all of it")]
