@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exploded(rows: DataFrame, name: str, values: Column, *kept: str | Column) -> DataFrame:
+    """``kept`` and, as ``name``, each value of an array, which holds no nulls.
+
+    Spark asks an inner explode for arrays that aren't empty, and that condition
+    moves down to the source with all that the array is made of, which is then made twice.
+    """
+    return rows.select(*kept, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def _edges(rows: pa.Array) -> np.ndarray:
     """Where each row's values begin in ``rows.flatten()``, and where the last ends; null arrays are empty."""
     sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

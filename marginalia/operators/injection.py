@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.sections import with_places
+from marginalia.functions import places
 
 # fixed values: where errors go, what they look like, and how many citations a paper gets
 SENTENCE = r"[A-Z][^.!?]{30,120}\."
@@ -30,7 +30,7 @@ def drawn(seed: int, *parts: Column | str) -> Column:
 def _chosen(at: Column, seed: int, kind: str, most: int) -> Column:
     """The places with the least hashes, of an array, in their order."""
     drawn_ = F.transform(at, lambda a: F.struct(drawn(seed, F.col("paper"), kind, a).alias("hash"), a.alias("at")))
-    return F.array_sort(F.transform(F.slice(F.array_sort(drawn_), 1, most), lambda x: x["at"]))
+    return F.sort_array(F.transform(F.slice(F.sort_array(drawn_), 1, most), lambda x: x["at"]))
 
 
 def _edit(at: Column, rule_id: str, cut: Column, put: Column, context: Column) -> Column:
@@ -49,11 +49,9 @@ def _fake_citations(sentences: Column, seed: int) -> Column:
     return F.transform(ends, cited)
 
 
-def _broken_references(kinds: list[Column], seed: int) -> Column:
+def _broken_references(marks: Column, seed: int) -> Column:
     """One edit, or none: a label that a named reference, else any, refers to is replaced; without references one is put before a sentence."""
-    def hashed(kind: int):
-        return lambda m: F.struct(F.lit(kind).alias("kind"), drawn(seed, F.col("paper"), "ref", m["at"]).alias("hash"), m["at"].alias("at"), m["match"].alias("match"))
-
+    hashed = lambda m: F.struct(m["kind"].alias("kind"), drawn(seed, F.col("paper"), "ref", m["at"]).alias("hash"), m["at"].alias("at"), m["match"].alias("match"))
     label = F.concat(F.lit("fig:phantom"), 10 + drawn(seed, F.col("paper"), "label") % 90)
 
     def broken(p: Column) -> Column:
@@ -63,7 +61,7 @@ def _broken_references(kinds: list[Column], seed: int) -> Column:
         edit = _edit(start, "dangling-ref", F.when(fresh, 0).otherwise(close - 1 - start), F.when(fresh, F.concat(F.lit(r"As shown in Figure~\ref{"), label, F.lit("}, "))).otherwise(label), label)
         return F.when(fresh | (close > 0), edit)
 
-    return F.array_compact(F.transform(F.array_compact(F.array(F.array_min(F.concat(*[F.transform(marks, hashed(k)) for k, marks in enumerate(kinds)])))), broken))
+    return F.array_compact(F.transform(F.array_compact(F.array(F.array_min(F.transform(marks, hashed)))), broken))
 
 
 def _drifted_numbers(measures: Column, begin: Column, seed: int) -> Column:
@@ -89,15 +87,15 @@ def inject_errors(docs: DataFrame, seed: int = 0, numbers: bool = False) -> Data
     """
     text, abstract = F.col("text"), F.nullif(F.regexp_extract("text", ABSTRACT, 1), F.lit(""))
     # places of a kind are looked for only where there is none of a better kind
-    wanted = {"__said": (F.when(F.contains(text, F.lit(r"\bibitem")), text), SENTENCE), "__ref0": (text, NAMED_REF), "__ref1": (F.when(~text.rlike(NAMED_REF), text), ANY_REF), "__ref2": (F.when(~text.rlike(ANY_REF), text), NEXT_SENTENCE)}
+    wanted = {"__said": places.matches(F.when(F.contains(text, F.lit(r"\bibitem")), text), SENTENCE), "__refs": places.matches(text, NAMED_REF, ANY_REF, NEXT_SENTENCE)}
     if numbers:
-        wanted["__measured"] = (abstract, MEASURE)
-    rows = with_places(docs, wanted)
-    rows = rows.withColumns({name: F.coalesce(name, F.array().cast("array<struct<at:int,match:string>>")) for name in wanted})
-    edits = [_fake_citations(F.col("__said"), seed), _broken_references([F.col(f"__ref{k}") for k in range(3)], seed)]
+        wanted["__measured"] = places.matches(abstract, MEASURE)
+    rows = docs.withColumns(wanted)
+    rows = rows.withColumns({name: F.coalesce(name, F.array().cast("array<struct<kind:int,at:int,match:string>>")) for name in wanted})
+    edits = [_fake_citations(F.col("__said"), seed), _broken_references(F.col("__refs"), seed)]
     if numbers:
         edits.append(_drifted_numbers(F.col("__measured"), F.instr("text", r"\begin{abstract}") - 1 + len(r"\begin{abstract}"), seed))
-    rows = rows.withColumn("__all", F.array_sort(F.concat(*edits))).drop(*wanted)
+    rows = rows.withColumn("__all", F.sort_array(F.concat(*edits))).drop(*wanted)
     rows = rows.withColumn("edits", F.filter("__all", lambda e, i: ~F.exists(F.slice("__all", F.lit(1), i), lambda p: p["at"] + p["cut"] > e["at"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, e: F.struct((e["at"] + e["cut"]).cast("int").alias("at"), F.concat(s["out"], F.substring("text", s["at"] + 1, e["at"] - s["at"]), e["put"]).alias("out"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import arrays
 from marginalia.operators import assignment, constraints, extract, injection
 from marginalia.plans.catalogue import query, table
 from marginalia.scratch import Scratch
@@ -89,8 +90,9 @@ _INJECTED = rf"""
 def _injected(spark, d):
     s = F.col("l_suppkey")
     line = F.concat(F.lit("We follow the line of work number "), "l_partkey", F.lit(" on parts."), F.when(F.col("l_quantity") > 10, F.concat(F.lit(" See Figure"), F.when(s % 2 == 0, " ").otherwise("~"), F.lit("\\ref{fig:"), "l_linenumber", F.lit("} now."))).otherwise(""))
-    li = table(spark, d, "lineitem")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
+    # items are dealt to their paper's task as they are, and written out there
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+    lines = F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t"))))["t"], "\n")
     paper = F.col("l_orderkey")
     head = F.concat(F.lit("\\begin{abstract}We gain "), paper % 90 + 10, F.lit(" pp.\\end{abstract}\n"))
     docs = li.groupBy(paper.alias("paper")).agg(F.concat(F.first(head), lines, F.when(F.first(paper) % 2 == 0, "\n\\bibitem{a} x").otherwise("")).alias("text"))
@@ -100,7 +102,7 @@ def _injected(spark, d):
 
 @query(f"""WITH {_INJECTED} SELECT j.paper, rule_id, context, pos::INT AS "at" FROM j JOIN (SELECT DISTINCT paper FROM f) USING (paper)""")
 def injected_errors(spark, d):
-    return _injected(spark, d).select("paper", F.explode("injections").alias("i")).select("paper", "i.*")
+    return arrays.exploded(_injected(spark, d), "i", F.col("injections"), "paper").select("paper", "i.*")
 
 
 @query(rf"""WITH {_INJECTED} SELECT x.paper, md5('\begin{{abstract}}We gain ' || (x.paper % 90 + 10) || ' pp.\end{{abstract}}' || chr(10) || string_agg(line, chr(10) ORDER BY i) || CASE WHEN x.paper % 2 = 0 THEN chr(10) || '\bibitem{{a}} x' ELSE '' END) AS text
