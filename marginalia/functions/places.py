@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -64,30 +65,29 @@ def blocks(text: str, part: re.Pattern) -> tuple[list[int], list[str]]:
     return starts, parts
 
 
-def contexts(text: Column, pattern: str, part: str, slack: int, late: float) -> Column:
-    """``array<struct<at, match, line, context>>`` of every match of pattern; see ``sections.windows``. Null for a null text."""
+def contexts(text: Column, pattern: str, part: str, slack: int, late: float, tell: Callable[[str, list[str]], list[tuple[str, str | None]]]) -> Column:
+    """``array<struct<at, line, told, context>>``: what ``tell`` makes of every match of pattern and the paragraphs around it, see ``sections.windows``, with the match's place and line. Null for a null text."""
     def find(rows: pa.Array) -> pa.Array:
         wanted, parts = re.compile(pattern, re.ASCII), re.compile(part, re.ASCII)
-        sizes, ats, found, lines, around = [], [], [], [], []
+        sizes, ats, lines, names, said = [], [], [], [], []
         for t in texts(rows):
+            before = len(ats)
             marks = list(wanted.finditer(t)) if t else []
-            sizes.append(None if t is None else len(marks))
-            if not marks:
-                continue
-            starts, pieces = blocks(t, parts)
+            starts, pieces = blocks(t, parts) if marks else ([], [])
             claimed = [s + len(p) + slack for s, p in zip(starts, pieces)]
             line, seen = 1, 0
             for m in marks:
                 at = m.start()
                 line, seen = line + t.count("\n", seen, at), at
-                i, context = bisect_right(claimed, at), None
+                i, around = bisect_right(claimed, at), []
                 if i < len(starts) and starts[i] <= at:
-                    here = pieces[i]
-                    context = "\n\n".join(pieces[max(i - 1, 0) : i + 1 + (at - starts[i] > len(here) * late)])
-                ats.append(at)
-                found.append(m.group())
-                lines.append(line)
-                around.append(context)
-        return _table(sizes, at=(ats, pa.int32()), match=(found, pa.string()), line=(lines, pa.int32()), context=(around, pa.string()))
-
-    return F.arrow_udf(find, "array<struct<at:int,match:string,line:int,context:string>>")(text)
+                    around = pieces[max(i - 1, 0) : i + 1 + (at - starts[i] > len(pieces[i]) * late)]
+                for name, context in tell(m.group(), around):
+                    ats.append(at)
+                    lines.append(line)
+                    names.append(name)
+                    said.append(context)
+            sizes.append(None if t is None else len(ats) - before)
+        return _table(sizes, at=(ats, pa.int32()), line=(lines, pa.int32()), told=(names, pa.string()), context=(said, pa.string()))
+
+    return F.arrow_udf(find, "array<struct<at:int,line:int,told:string,context:string>>")(text)

@@ -5,14 +5,17 @@ Lengths and offsets are in code points. Papers have one row each.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions import arrays, scalars
+from marginalia.functions import arrays, places, scalars
 from marginalia.operators.extract import CITE
 
-# fixed values: sections under so many characters join their neighbour, those over twice so many are split, and how far beyond its end a paragraph still claims a position
-TINY, LARGE, SLACK = 200, 4000, 50
+# fixed values: sections under so many characters join their neighbour, those over twice so many are split, how far beyond its end a paragraph still claims a position, and what share of it is before its last part
+TINY, LARGE, SLACK, LATE = 200, 4000, 50, 0.8
 HEADING = r"(?md)^(#{1,3}\s+.+)$"
 BREAK = r"\n\s*\n|\\(?:sub)*section\*?\{"
 FOOTNOTE = r"\\footnote\{(?:[^{}]|\{[^{}]*\})*\\url\{[^}]+\}(?:[^{}]|\{[^{}]*\})*\}"
@@ -112,28 +115,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return _paragraphs(docs).select("paper", F.posexplode("paragraphs").alias("ord", "p")).select("paper", "ord", "p.start", "p.text")
 
 
-def with_places(docs: DataFrame, wanted: dict[str, tuple[Column, str]]) -> DataFrame:
-    """docs and, by name, ``array<struct<at, match>>`` of every match of a pattern, which has no empty ones, in its text, from character 0; null for a null text.
-
-    Matches and what stands between them are taken from the text once, and only lengths are summed.
-    """
-    rows = docs.withColumns({f"__found_{n}": F.regexp_extract_all(text, F.lit(pattern), 0) for n, (text, pattern) in wanted.items()} | {f"__gaps_{n}": F.transform(F.split(text, pattern, -1), F.char_length) for n, (text, pattern) in wanted.items()})
-    rows = rows.withColumns({f"__gaps_{n}": arrays.running(F.zip_with(f"__gaps_{n}", f"__found_{n}", lambda g, m: g + F.coalesce(F.char_length(m), F.lit(0)))) for n in wanted})
-    placed = lambda n: F.zip_with(f"__found_{n}", F.slice(f"__gaps_{n}", F.lit(1), F.size(f"__found_{n}")), lambda m, end: F.struct((end - F.char_length(m)).alias("at"), m.alias("match")))
-    return rows.withColumns({n: F.when(F.col(f"__found_{n}").isNotNull(), placed(n)) for n in wanted}).drop(*(f"__{part}_{n}" for n in wanted for part in ("found", "gaps")))
+def _as_found(match: str, around: list[str]) -> list[tuple[str, str | None]]:
+    return [(match, "\n\n".join(around) or None)]
 
 
-def _marked(docs: DataFrame, pattern: str) -> DataFrame:
-    """docs with ``marks``, an array of ``(at, match, line)`` in the order of the text; see ``occurrences``. Only texts that have one are cut."""
-    rows = with_places(docs.where(F.col("text").rlike(pattern)), {"marks": (F.col("text"), pattern)})
-    feeds = arrays.running(F.transform(F.split("text", "\n", -1), lambda x: F.char_length(x) + 1))
-    rows = rows.withColumn("__feeds", feeds).withColumn("__lines", arrays.ranks(F.transform("marks", lambda m: m["at"]), F.col("__feeds")))
-    return rows.withColumn("marks", F.zip_with("marks", "__lines", lambda m, n: F.struct(m["at"].alias("at"), m["match"].alias("match"), (n + 1).alias("line")))).drop("__feeds", "__lines")
+def _told(docs: DataFrame, pattern: str, tell, *kept: str) -> DataFrame:
+    return arrays.exploded(docs, "m", places.contexts(F.col("text"), pattern, BREAK, SLACK, LATE, tell), *kept).select(*kept, "m.*")
 
 
 def occurrences(docs: DataFrame, pattern: str) -> DataFrame:
     """``(paper, at, match, line)`` of every match of pattern, from character 0 and line 1 of ``(paper, text)``; found where the text is, without a shuffle."""
-    return _marked(docs, pattern).select("paper", F.explode("marks").alias("m")).select("paper", "m.*")
+    return _told(docs, pattern, _as_found, "paper").select("paper", "at", F.col("told").alias("match"), "line")
 
 
 def windows(docs: DataFrame, pattern: str) -> DataFrame:
@@ -141,35 +133,93 @@ def windows(docs: DataFrame, pattern: str) -> DataFrame:
 
     A paragraph claims positions up to 50 characters beyond its end, and the
     first that claims a position has it. A match that none claims gives no row.
-    Nothing is shuffled: both are found in the row that has the text.
+    Nothing is shuffled: both are found in one reading of the text, in its row.
     """
-    rows = _paragraphs(_marked(docs, pattern))
-    claimed = F.transform("paragraphs", lambda p: p["start"] + F.char_length(p["text"]) + SLACK)
-    rows = rows.withColumn("__own", arrays.ranks(F.transform("marks", lambda m: m["at"]), claimed))
-
-    def told(m: Column, i: Column) -> Column:
-        here, part = F.get("paragraphs", i), lambda k: F.get("paragraphs", k)["text"]
-        late = m["at"] - here["start"] > F.char_length(here["text"]) * F.lit(0.8)
-        context = F.when(here["start"] <= m["at"], F.concat_ws("\n\n", part(i - 1), here["text"], F.when(late, part(i + 1))))
-        return F.struct(m["at"].alias("at"), m["match"].alias("match"), m["line"].alias("line"), context.alias("context"))
-
     kept = [c for c in docs.columns if c != "text"]
-    return rows.select(*kept, F.explode(F.zip_with("marks", "__own", told)).alias("m")).select(*kept, "m.*").where("context IS NOT NULL")
-
-
-def clean_claim(text: Column, key: Column | None = None) -> Column:
-    """Markup unwrapped; citations are ``[CITE]``, those that name key ``[TARGET_CITE]``; footnotes go, blanks collapse."""
-    for command in ("textbf", "emph", "texttt"):
-        text = F.regexp_replace(text, rf"\\{command}\{{([^}}]+)\}}", "$1")
-    if key is not None:
-        named = F.concat(F.lit(r"\\cite(?:unverified|[tp]|yearpar)?\{(?:[^}]*,)?\s*\Q"), key, F.lit(r"\E\s*(?:,[^}]*)?\}"))
-        text = F.regexp_replace(text, named, F.lit("[TARGET_CITE]"))
-    text = F.regexp_replace(text, CITE, "[CITE]")
-    text = F.regexp_replace(text, r"\\footnote\{[^}]*\}", "")
-    text = F.regexp_replace(text, r"\\[a-zA-Z]+\{([^}]*)\}", "$1")
-    text = F.replace(F.regexp_replace(text, r"[{}~]", " "), F.lit("\\\\"), F.lit(" "))
-    # single spaces stay as they are, which most blanks are
-    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
+    return _told(docs, pattern, _as_found, *kept).where("context IS NOT NULL").select(*kept, "at", F.col("told").alias("match"), "line", "context")
+
+
+_UNWRAPPED = [(f"\\{c}{{", re.compile(rf"\\{c}\{{([^}}]+)\}}")) for c in ("textbf", "emph", "texttt")]
+_CITE, _NOTE, _COMMAND = re.compile(CITE), re.compile(r"\\footnote\{[^}]*\}"), re.compile(r"\\[a-zA-Z]+\{([^}]*)\}")
+_BLANK = ["{", "}", "~", "\\\\", *places.BLANKS.replace(" ", "")]
+
+
+def _plain(text: str) -> str:
+    """Without footnotes, commands, braces, line ends and runs of blanks, in this order."""
+    if "\\" in text:
+        text = _COMMAND.sub(r"\1", _NOTE.sub("", text))
+    for gone in _BLANK:
+        if gone in text:
+            text = text.replace(gone, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ")
+
+
+def _unwrapped(text: str) -> str:
+    for begin, pattern in _UNWRAPPED:
+        if begin in text:
+            text = pattern.sub(r"\1", text)
+    return text
+
+
+def _open(text: str) -> bool:
+    """Whether what begins with a brace may end in a paragraph after this one."""
+    return text.rfind("{") > text.rfind("}")
+
+
+@lru_cache(256)  # a paragraph is before, in and after its matches
+def _paragraph(text: str) -> tuple[str, set[str], list[str], list[list[str]]] | None:
+    """A paragraph cleaned by itself: the text, the keys it cites, what stands between its citations, and the keys of each. None where it can't be told from its neighbours, a citation stands inside another or a footnote may hold one."""
+    if "\0" in text or _open(text):
+        return None
+    for begin, pattern in _UNWRAPPED:
+        if begin in text:
+            text = pattern.sub(r"\1", text)
+            if _open(text):
+                return None
+    parts = _CITE.split(text)
+    cited, noted = parts[1::2], r"\footnote{" in text
+    text = "\0".join(parts[::2])
+    if cited and (noted or _open(text) or any(r"\cite" in c for c in cited)) or noted and _open(_NOTE.sub("", text)):
+        return None
+    text = _plain(text)
+    if not cited:
+        return text, set(), [text], []
+    names = [[k.strip(places.BLANKS) for k in c.split(",")] for c in cited]
+    return text.replace("\0", "[CITE]"), {k for n in names for k in n}, text.split("\0"), names
+
+
+def clean_claims(around: list[str], keys: list[str] | None = None) -> list[str]:
+    """The text of paragraphs for each key: markup unwrapped; citations are ``[CITE]``, those that name the key ``[TARGET_CITE]``; footnotes go, blanks collapse. Without keys, one text."""
+    each = [_paragraph(p) for p in around]
+    if None in each:  # all together, and the key's own citations before the others
+        text = _unwrapped("\n\n".join(around))
+        named = [re.sub(rf"\\cite(?:unverified|[tp]|yearpar)?\{{(?:[^}}]*,)?\s*{re.escape(k)}\s*(?:,[^}}]*)?\}}", "[TARGET_CITE]", text, flags=re.ASCII) for k in keys] if keys else [text]
+        return [_plain(_CITE.sub("[CITE]", t)) for t in named]
+    out = []
+    for key in keys or [None]:
+        said = []
+        for plain, cited, pieces, names in each:
+            if key in cited:
+                plain = "".join(x for n, piece in zip(names, pieces) for x in (piece, "[TARGET_CITE]" if key in n else "[CITE]")) + pieces[-1]
+            if plain:
+                said.append(plain)
+        out.append(" ".join(said))
+    return out
+
+
+def _cited(match: str, around: list[str]) -> list[tuple[str, str]]:
+    keys = [k for x in match[match.index("{") + 1 : -1].split(",") if (k := x.strip(places.BLANKS))]
+    return list(zip(keys, clean_claims(around, keys))) if around and keys else []
+
+
+_URL = re.compile(r"\\url\{([^}]+)\}")
+
+
+def _footnoted(match: str, around: list[str]) -> list[tuple[str, str]]:
+    urls = [u for x in _URL.findall(match) if (u := x.strip(places.BLANKS))]
+    return [(u, c) for c in clean_claims(around) if c for u in urls]
 
 
 def citation_contexts(docs: DataFrame) -> DataFrame:
@@ -178,18 +228,14 @@ def citation_contexts(docs: DataFrame) -> DataFrame:
     line is that of the whole text, at the offset in what stands between the
     document's begin and its bibliography.
     """
-    found = windows(claim_slice(docs).withColumnRenamed("line", "before"), CITE)
-    keys = F.split(F.regexp_extract("match", CITE, 1), ",")
-    rows = found.select("paper", (F.col("line") + F.col("before")).alias("line"), "at", "context", F.explode(keys).alias("key")).withColumn("key", stripped(F.col("key"))).where("key <> ''")
-    return rows.select("paper", "key", "line", "at", clean_claim(F.col("context"), F.col("key")).alias("context"))
+    found = _told(claim_slice(docs).withColumnRenamed("line", "before"), CITE, _cited, "paper", "before")
+    return found.select("paper", F.col("told").alias("key"), (F.col("line") + F.col("before")).alias("line"), "at", "context")
 
 
 def footnote_claims(docs: DataFrame) -> DataFrame:
     """``(paper, key, url, line, context)``: each address in a footnote, under the key that stands for it, with the text around the footnote."""
-    found = windows(claim_slice(docs).withColumnRenamed("line", "before"), FOOTNOTE)
-    rows = found.select("paper", (F.col("line") + F.col("before")).alias("line"), clean_claim(F.col("context")).alias("context"), F.explode(F.regexp_extract_all("match", F.lit(r"\\url\{([^}]+)\}"), 1)).alias("url"))
-    rows = rows.withColumn("url", stripped(F.col("url"))).where("url <> '' AND context <> ''")
-    return rows.select("paper", scalars.synthetic_key(scalars.normalize_url(F.col("url"))).alias("key"), "url", "line", "context")
+    found = _told(claim_slice(docs).withColumnRenamed("line", "before"), FOOTNOTE, _footnoted, "paper", "before")
+    return found.select("paper", scalars.synthetic_key(scalars.normalize_url(F.col("told"))).alias("key"), F.col("told").alias("url"), (F.col("line") + F.col("before")).alias("line"), "context")
 
 
 def captured_footnotes(claims: DataFrame, captures: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 def joined(rows: DataFrame, line: Column, between: str) -> Column:
     """A group's lines in the order of line number and text."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), between)
+    return F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t"))))["t"], between)
 
 
 def text_of(*parts) -> Column:
@@ -108,7 +108,8 @@ x AS (SELECT paper, i, t, pos, concat_ws(chr(10), b.before, b.own, CASE WHEN pos
 
 
 def _manuscript(spark, d, line: Column) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    # items are dealt to their paper's task as they are, and written out there
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
     body = joined(li, line, "\n\n")
     return li.groupBy(F.col("l_orderkey").alias("paper")).agg(text_of("\\documentclass{a}\n\\begin{document}\n", body, "\n\\bibliography{refs}\n").alias("text"))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import places
+from marginalia.operators import sections
 from marginalia.plans import catalogue, catalogues, evaluation, texts  # noqa: F401  they add to the catalogue
 
 
@@ -13,7 +14,7 @@ def readings(spark, name):
     return plan.count("ArrowEvalPython"), plan
 
 
-@pytest.mark.parametrize("name", ["injected_errors"])
+@pytest.mark.parametrize("name", ["injected_errors", "citation_contexts", "footnote_claims"])
 def test_a_text_is_read_once(spark, name):
     """An explode's own condition moved below, with all that its array is made of."""
     times, plan = readings(spark, name)
@@ -34,3 +35,14 @@ def test_matches_are_those_of_spark(spark):
 def test_bytes_that_are_no_text(spark):
     d = spark.sql("SELECT cast(x'61ff2e2042' AS string) AS text UNION ALL SELECT 'c. D'")
     assert sorted(m["at"] for r in d.select(places.matches(F.col("text"), r"\.\s+[A-Z]").alias("m")).collect() for m in r["m"]) == [1, 2]
+
+
+@pytest.mark.parametrize("around, keys, want", [
+    (["a \\cite{x, y} b", "\\emph{c}  \\cite{y}~d"], ["x", "y"], ["a [TARGET_CITE] b c [CITE] d", "a [TARGET_CITE] b c [TARGET_CITE] d"]),
+    (["a \\emph{b", "c} \\cite{x}"], ["x"], ["a b c [TARGET_CITE]"]),  # a command over two paragraphs
+    (["\\cite{a \\cite{b}"], ["a \\cite{b", "b"], ["[TARGET_CITE]", "\\cite a [TARGET_CITE]"]),  # a citation in another
+    (["p\\footnote{\\cite{x}} q", "{", "r \\\\ s"], ["x"], ["p q r s"]),
+    (["a \\cite{x} {\\cite{y}"], None, ["a [CITE] [CITE]"]),
+])
+def test_claims_of_paragraphs_and_of_all_together(around, keys, want):
+    assert sections.clean_claims(around, keys) == want
