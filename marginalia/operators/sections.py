@@ -240,5 +240,6 @@ def footnote_claims(docs: DataFrame) -> DataFrame:
 
 def captured_footnotes(claims: DataFrame, captures: DataFrame) -> DataFrame:
     """Footnote claims with ``file`` of the capture ``(url, file)`` of the same page, the first by name; null where there is none. Pages are the same by address: of a million, two share a key."""
-    pages = captures.groupBy(scalars.normalize_url(F.col("url")).alias("page")).agg(F.min("file").alias("file"))
+    once = captures.groupBy("url").agg(F.min("file").alias("file"))  # most addresses are written the same way
+    pages = once.groupBy(scalars.normalize_url(F.col("url")).alias("page")).agg(F.min("file").alias("file"))
     return claims.withColumn("page", scalars.normalize_url(F.col("url"))).join(pages, "page", "left").select(*claims.columns, "file")
