@@ -25,10 +25,10 @@ def texts(rows: pa.Array) -> list[str | None]:
         return [None if b is None else b.decode("utf-8", "replace") for b in rows.cast(pa.binary()).to_pylist()]
 
 
-def _table(sizes: list[int | None], **columns: tuple[list, pa.DataType]) -> pa.Array:
+def table(sizes: list[int | None], **columns: pa.Array) -> pa.Array:
     """An array of structs for each row, of its size; null for None."""
     edges = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])]).astype(np.int32)
-    of = pa.StructArray.from_arrays([pa.array(*c) for c in columns.values()], list(columns))
+    of = pa.StructArray.from_arrays(list(columns.values()), list(columns))
     return pa.ListArray.from_arrays(pa.array(edges), of, mask=pa.array([n is None for n in sizes], pa.bool_()))
 
 
@@ -47,7 +47,7 @@ def matches(text: Column, *patterns: str) -> Column:
                     kinds.extend([kind] * (len(ats) - before))
                     break
             sizes.append(None if t is None else len(ats) - before)
-        return _table(sizes, kind=(kinds, pa.int32()), at=(ats, pa.int32()), match=(found, pa.string()))
+        return table(sizes, kind=pa.array(kinds, pa.int32()), at=pa.array(ats, pa.int32()), match=pa.array(found, pa.string()))
 
     return F.arrow_udf(find, "array<struct<kind:int,at:int,match:string>>")(text)
 
@@ -88,6 +88,6 @@ def contexts(text: Column, pattern: str, part: str, slack: int, late: float, tel
                     names.append(name)
                     said.append(context)
             sizes.append(None if t is None else len(ats) - before)
-        return _table(sizes, at=(ats, pa.int32()), line=(lines, pa.int32()), told=(names, pa.string()), context=(said, pa.string()))
+        return table(sizes, at=pa.array(ats, pa.int32()), line=pa.array(lines, pa.int32()), told=pa.array(names, pa.string()), context=pa.array(said, pa.string()))
 
     return F.arrow_udf(find, "array<struct<at:int,line:int,told:string,context:string>>")(text)

@@ -134,7 +134,7 @@ def parsed_papers(spark, d):
     book = F.when(F.col("q") % 2 == 0, text_of("<analytic><title level=\"a\" type=\"main\"> Part ", F.col("p"), " </title><author><persName><forename type=\"first\">Ann</forename><forename type=\"middle\">B</forename><surname>Lee</surname></persName></author>", idno, "</analytic><monogr><title level=\"j\">Journal &amp; Co</title><imprint><date type=\"published\" when=\"2001-05\" /></imprint></monogr>"))
     book = book.otherwise(text_of("<monogr><title level=\"m\">Series</title><title>Book ", F.col("p"), "</title><author><persName><surname>Chan</surname></persName></author><imprint><date when=\"1999\" /></imprint></monogr><ptr type=\"url\" target=\"http://x/", F.col("p"), "\" />"))
     bibl = text_of('<biblStruct xml:id="b', F.col("n") - 1, '">', book, '<note type="raw_reference">raw ', F.col("p"), "</note></biblStruct>")
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("t")))), lambda x: x["t"]), "")
+    joined = lambda c: F.array_join(F.sort_array(F.collect_list(F.struct("n", c.alias("t"))))["t"], "")
     figures = F.array_join(F.collect_list(text_of(F.when(F.col("q") % 4 == 0, '<figure type="table">').otherwise("<figure>"), F.when(F.col("q") % 3 > 0, text_of("<label> ", F.col("n"), " </label>")).otherwise(""), "<figDesc>x</figDesc></figure>")), "")
     return li.groupBy("paper").agg(text_of('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a" type="main">Paper ', F.col("paper"), ' &amp; more</title></titleStmt><sourceDesc><author><persName><forename>Ann</forename><surname>Lee</surname></persName></author><author><email>x</email></author></sourceDesc></fileDesc>'
                                            "<profileDesc><abstract><div><p>In short, ", F.count("*"), " items.</p></div></abstract></profileDesc></teiHeader><text><body>", joined(div), figures, "</body><back><div><listBibl>", joined(bibl), "</listBibl></div></back></text></TEI>").alias("tei"))

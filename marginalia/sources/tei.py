@@ -8,10 +8,16 @@ division its own text and those around it.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import arrays
+from marginalia.functions.places import BLANKS, table, texts
 from marginalia.operators.structure import stripped
 
 _NAME = "struct<forename:array<string>,surname:array<string>,roleName:array<string>,genName:array<string>>"
@@ -119,13 +125,66 @@ def body_sections(parsed: DataFrame) -> DataFrame:
     them. A division without a heading is ``Section n``, n being one more than
     the number of sections before it in the division around it.
     """
-    rows = _divisions(parsed).select("paper", F.posexplode("divs").alias("ord", "d")).select("paper", "ord", "d.around", "d.xml")
+    rows = _divisions(parsed).select("paper", F.posexplode_outer("divs").alias("ord", "d")).where("d IS NOT NULL").select("paper", "ord", "d.around", "d.xml")
     paragraphs = F.filter(F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<p\b[^>/]*>(.*?)</p>"), 1), lambda p: stripped(content(p))), lambda p: p != "")
     depth = F.size("around")
     up = F.when(depth > 1, F.get("around", depth - 2)).otherwise(-1)
     return rows.select("paper", "ord", (depth - 1).alias("level"), F.coalesce(_head(F.col("xml")), F.concat(F.lit("Section "), (F.col("ord") - up).cast("string"))).alias("title"), F.array_join(paragraphs, "\n\n").alias("text"))
 
 
+_BODY, _TAG = re.compile(r"<body\b[^>]*>"), re.compile(r"(<(?:div\b[^<>/]*(?:<(?!div\b)[^<>/]*)*|/div)>)")
+_HEAD, _BLOCK = re.compile(r"<head\b[^>]*>([^<]*)"), re.compile(r"(?s)<(?:p\b[^>/]*>.*?</p>|ref\b[^>]*>.*?</ref>[^<]*)")
+_TAGS, _AFTER, _REF = re.compile(r"(?:<[^>]*>)+"), re.compile(r"</ref>([^<]*)\Z"), re.compile(r"<ref\b[^>]*>")
+_BIBR, _TARGET = re.compile(r'\btype="bibr"'), re.compile(r'\btarget="#b([0-9]+)"')
+
+
+def _entities(text: str) -> str:
+    if "&" in text:
+        for entity, char in _ENTITIES.items():
+            text = text.replace(entity, char)
+    return text
+
+
+def _around(block: str) -> str:
+    """A paragraph's first 200 characters, or what follows a reference in none."""
+    if block.startswith("<p"):
+        # it begins and ends with tags
+        return _entities(_TAGS.sub("\1", block)[1:-1]).replace("\1", " ")[:200].strip(BLANKS)
+    found = _AFTER.search(block)
+    return _entities(found[1]).strip(BLANKS) if found else ""
+
+
+def _told(tei: str) -> list[tuple[list[str], str, str]]:
+    """Headings around, context and entry of each inline reference of a paper, in the order of the divisions."""
+    begin, out = _BODY.search(tei), []
+    body = tei[begin.end() : max(tei.rfind("</body>"), begin.end())] if begin else ""
+    if 'type="bibr"' not in body:
+        return out
+    pieces = _TAG.split(body)
+    divs = nested(pieces, ["t" if i % 2 == 0 else "c" if x == "</div>" else "o" for i, x in enumerate(pieces)])
+    heads = [_entities(found[1]).strip(BLANKS) if (found := _HEAD.search(d["xml"])) else "" for d in divs]
+    for d in divs:
+        for block in _BLOCK.findall(d["xml"]):
+            if 'type="bibr"' in block:
+                context, sections = _around(block), [heads[i] for i in d["around"]]
+                for ref in _REF.findall(block):
+                    if 'type="bibr"' in ref and _BIBR.search(ref) and (entry := _TARGET.search(ref)):
+                        out.append((sections, context, entry[1]))
+    return out
+
+
+def _bibliographic(tei: Column) -> Column:
+    """``array<struct<sections, context, ord>>``, see ``_told``, read where the text is, without a shuffle; null for a null text."""
+    def find(rows: pa.Array) -> pa.Array:
+        told = [None if t is None else _told(t) for t in texts(rows)]
+        sections, context, ord = zip(*(m for ms in told for m in ms or [])) if any(told) else ((), (), ())
+        edges = np.cumsum([0, *map(len, sections)], dtype=np.int32)
+        named = pa.ListArray.from_arrays(pa.array(edges), pa.array([x for s in sections for x in s], pa.string()))
+        return table([m if m is None else len(m) for m in told], sections=named, context=pa.array(context, pa.string()), ord=pa.array(ord, pa.string()))
+
+    return F.arrow_udf(find, "array<struct<sections:array<string>,context:string,ord:string>>")(tei)
+
+
 def inline_citations(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     """``(paper, key, section, context)`` of each inline reference to an entry ``(paper, ord, key)`` of the list.
 
@@ -134,18 +193,7 @@ def inline_citations(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     its paragraph, or what follows it directly where it stands in none.
     References to what isn't listed give no row.
     """
-    blocks = F.regexp_extract_all("xml", F.lit(r"(?s)<p\b[^>/]*>.*?</p>|<ref\b[^>]*>.*?</ref>[^<]*"), 0)
-    heads = F.transform("divs", lambda d: F.coalesce(_head(d["xml"]), F.lit("")))
-    divs = _divisions(parsed).withColumn("heads", heads)
-    named = F.transform("divs", lambda d: F.struct(F.transform(d["around"], lambda i: F.get("heads", i)).alias("sections"), d["xml"].alias("xml")))
-    found = divs.select("paper", F.explode(named).alias("d")).select("paper", "d.sections", "d.xml").select("paper", "sections", F.explode(blocks).alias("b"))
-    inside = F.col("b").startswith("<p")
-    context = F.when(inside, F.left(F.regexp_replace(content(F.regexp_replace(F.regexp_replace("b", r"(?s)\A(?:<[^>]*>)+|(?:<[^>]*>)+\z", ""), r"(?s)(?:<[^>]*>)+", "\u0001")), "\u0001", " "), F.lit(200))).otherwise(content(F.regexp_extract("b", r"(?s)</ref>([^<]*)\z", 1)))
-    refs = F.regexp_extract_all("b", F.lit(r"(<ref\b[^>]*>)"), 1)
-    # a block's context is made once, before its references part
-    told = found.where(F.contains("b", F.lit('type="bibr"'))).select("paper", "sections", stripped(context).alias("context"), refs.alias("refs"))
-    marks = told.select("paper", "sections", "context", F.explode("refs").alias("ref")).where(F.col("ref").rlike(r"\btype=\"bibr\""))
-    marks = marks.select("paper", "sections", "context", F.regexp_extract("ref", r"\btarget=\"#b(\d+)\"", 1).alias("ord")).where("ord <> ''").withColumn("ord", F.col("ord").cast("int"))
+    marks = arrays.exploded(parsed, "m", _bibliographic(F.col("tei")), "paper").select("paper", "m.sections", "m.context", F.col("m.ord").cast("int").alias("ord"))
     return marks.join(keys.select("paper", "ord", "key"), ["paper", "ord"]).select("paper", "key", F.explode("sections").alias("section"), "context")
 
 
@@ -153,4 +201,4 @@ def figure_labels(parsed: DataFrame) -> DataFrame:
     """``(paper, label)`` of figures with a label; tables aren't figures."""
     figures = F.filter(F.regexp_extract_all("tei", F.lit(r"(?s)<figure\b.*?</figure>"), 0), lambda f: ~F.contains(f, F.lit('type="table"')))
     labels = F.transform(figures, lambda f: F.regexp_extract(f, r"(?s)<label>\s*([^<]+?)\s*</label>", 1))
-    return parsed.select("paper", F.explode(labels).alias("label")).where("label <> ''")
+    return arrays.exploded(parsed, "label", labels, "paper").where("label <> ''")
