@@ -66,8 +66,8 @@ def references(parsed: DataFrame) -> DataFrame:
     neither a journal nor a book; the first that does is the venue. Unknown
     parts are null.
     """
-    listed = F.regexp_extract_all("tei", F.lit(r"(?s)<biblStruct\b[^>]*/>|<biblStruct\b.*?</biblStruct>"), 0)
-    rows = parsed.select("paper", F.posexplode(listed).alias("ord", "xml")).withColumn("r", F.from_xml("xml", REFERENCE, {"rowTag": "biblStruct", "attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}))
+    listed = F.regexp_extract_all("tei", F.lit(r"(?s)<biblStruct\b(?:[^>]*/>|.*?</biblStruct>)"), 0)
+    rows = parsed.select("paper", F.posexplode_outer(listed).alias("ord", "xml")).where("xml IS NOT NULL").withColumn("r", F.from_xml("xml", REFERENCE, {"rowTag": "biblStruct", "attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}))
     r = F.col("r")
     own = lambda t: F.coalesce(t["_level"], F.lit("")).isin("j", "m")
     text = lambda rows, keep: F.get(F.filter(F.transform(F.filter(F.coalesce(rows, F.array()), keep), lambda t: _some(t["_VALUE"])), lambda t: t.isNotNull()), F.lit(0))

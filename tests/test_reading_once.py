@@ -21,6 +21,13 @@ def test_a_text_is_read_once(spark, name):
     assert times == 1 and "Filter (size(" not in plan
 
 
+@pytest.mark.parametrize("name", ["tei_references", "tei_citations", "tei_sections", "tei_figures"])
+def test_papers_are_read_once(spark, name):
+    """Neither a list of references nor divisions are asked for being empty before they are made."""
+    times, plan = readings(spark, name)
+    assert "size(" not in "".join(x for x in plan.splitlines() if "Filter" in x and "sections" not in x) and times == {"tei_citations": 1, "tei_sections": 1}.get(name, 0)
+
+
 def test_matches_are_those_of_spark(spark):
     texts = ["x. A . B.\u0085C.\x1cD.\tE", "\U0001d54f\U0001d54f. Z 12 ٣", "", None, "none"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
