@@ -45,7 +45,7 @@ PLAUSIBLE = 0.40
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def without_bibliography(text: Column) -> Column:

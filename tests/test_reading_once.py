@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import places
-from marginalia.operators import sections
+from marginalia.operators import sections, structure
 from marginalia.plans import catalogue, catalogues, evaluation, texts  # noqa: F401  they add to the catalogue
 
 
@@ -53,3 +53,11 @@ def test_bytes_that_are_no_text(spark):
 ])
 def test_claims_of_paragraphs_and_of_all_together(around, keys, want):
     assert sections.clean_claims(around, keys) == want
+
+
+def test_blanks_at_ends_need_no_pattern(spark):
+    """A pattern was tried at every character of each part of a reference."""
+    texts = [" a b ", "\t\n\x0b\f\r", "", None, " a ", "\x1ca ", "a", "\n\U0001d54f \n", "\u0085 a"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", structure.stripped(F.col("t")).alias("s"), F.regexp_replace("t", r"\A\s+|\s+\z", "").alias("want"))
+    assert all(r["s"] == r["want"] for r in d.collect())
+    assert r"\s+\z" not in readings(spark, "tei_references")[1]
